@@ -17,6 +17,15 @@ OUTSIDE = -1  # line is not inside a compressed body
 INSIDE = -2  # line is inside a body (and is not its closing line)
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn`` as a lambda variable.
+
+    Referencing a column expression several times inside a lambda would
+    re-evaluate it on every access; a one-element ``transform`` binds it once.
+    """
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def empty(type_str: str) -> Column:
     return F.array().cast(type_str)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.arrays import INSIDE, RANGE_TYPE, count_true, empty, line_states
+from ..functions.arrays import INSIDE, RANGE_TYPE, count_true, empty, let, line_states
 from ..functions.text import leading_ws, py_strip
 
 # --- fixed values ---------------------------------------------------------
@@ -136,13 +136,14 @@ def js_ranges(feats: Column) -> Column:
 
 def skeleton_js_ts(lines: Column) -> Column:
     """struct(skeleton, method_count, class_count, ranges) for JS/TS files."""
-    feats = js_features(lines)
-    return _assemble_js(feats, js_ranges(feats))
+    return let(js_features(lines), lambda feats: let(js_ranges(feats), lambda ranges: _assemble_js(feats, ranges)))
 
 
 def _assemble_js(feats: Column, ranges: Column) -> Column:
-    states = line_states(ranges, F.size(feats))
+    return let(line_states(ranges, F.size(feats)), lambda states: _emit_js(feats, ranges, states))
 
+
+def _emit_js(feats: Column, ranges: Column, states: Column) -> Column:
     def out(f, i):
         st = F.get(states, i)
         decl = F.when(
@@ -204,10 +205,16 @@ def c_ranges(feats: Column) -> Column:
 
 
 def skeleton_c_like(lines: Column) -> Column:
-    feats = c_features(lines)
-    ranges = c_ranges(feats)
-    states = line_states(ranges, F.size(feats))
+    return let(
+        c_features(lines),
+        lambda feats: let(
+            c_ranges(feats),
+            lambda ranges: let(line_states(ranges, F.size(feats)), lambda states: _emit_c(feats, ranges, states)),
+        ),
+    )
+
 
+def _emit_c(feats: Column, ranges: Column, states: Column) -> Column:
     def out(f, i):
         st = F.get(states, i)
         return (

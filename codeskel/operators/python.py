@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.arrays import empty
+from ..functions.arrays import empty, let
 from ..functions.text import WS_CLASS, indent_width, py_strip
 
 # --- fixed values ---------------------------------------------------------
@@ -129,8 +129,10 @@ def python_fold(feats: Column) -> Column:
     )
 
     def step(a, f):
+        return let(F.filter(a["stack"], lambda e: e["ind"] < f["ind"]), lambda stack_p: _step(a, f, stack_p))
+
+    def _step(a, f, stack_p):
         i = a["i"]
-        # code features for this line given the quote state on entry
         g = F.when(a["q"] == "", f["n0"]).when(a["q"] == '"""', f["nd"]).otherwise(f["ns"])
         in_str_whole = (a["q"] != "") & g.isNull()
         q2 = F.when(in_str_whole, a["q"]).otherwise(g["q"])
@@ -138,13 +140,10 @@ def python_fold(feats: Column) -> Column:
         cont2 = F.when(in_str_whole, F.lit(False)).otherwise(g["cont"])
         start = (a["q"] == "") & (a["depth"] == 0) & ~a["cont"] & ~f["blank"]
         end = (q2 == "") & (depth2 == 0) & ~cont2
-
         ind, kind = f["ind"], f["kind"]
         deeper = ind > a["pind"]
-        # resolve a pending def header at the first deeper statement (decorators wait)
         resolve_def = start & (a["pend"] == P_DEF) & deeper & (kind != K_DECO)
         is_doc = start & (a["pend"] != P_NONE) & deeper & f["isstr"]
-        stack_p = F.filter(a["stack"], lambda e: e["ind"] < ind)
         reach = F.forall(stack_p, lambda e: e["blk"])
         is_cd = start & reach & ((kind == K_CLASS) | (kind == K_DEF))
         is_cls = is_cd & (kind == K_CLASS)
@@ -256,12 +255,17 @@ def collapse_gaps(lines: Column, segs: Column) -> Column:
 
 def skeleton_python(lines: Column) -> Column:
     """struct(skeleton, method_count, class_count, malformed, segs) for Python files."""
-    fold = python_fold(python_features(lines))
-    segs = kept_segments(fold["segs"], fold["moddoc"], F.size(lines))
-    return F.struct(
-        F.array_join(collapse_gaps(lines, segs), "\n").alias("skeleton"),
-        fold["methods"].alias("method_count"),
-        fold["classes"].alias("class_count"),
-        fold["malformed"].alias("malformed"),
-        segs.alias("segs"),
+
+    def build(fold, segs):
+        return F.struct(
+            F.array_join(collapse_gaps(lines, segs), "\n").alias("skeleton"),
+            fold["methods"].alias("method_count"),
+            fold["classes"].alias("class_count"),
+            fold["malformed"].alias("malformed"),
+            segs.alias("segs"),
+        )
+
+    return let(
+        python_fold(python_features(lines)),
+        lambda fold: let(kept_segments(fold["segs"], fold["moddoc"], F.size(lines)), lambda segs: build(fold, segs)),
     )
