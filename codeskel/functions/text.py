@@ -16,6 +16,12 @@ WS_CLASS = (
     "[\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680"
     "\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 )
+# The same set as a plain string, for trim(str, chars).
+WS_CHARS = (
+    "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 # Characters per token of both token estimators.
 CHARS_PER_TOKEN = 3.8
 # --------------------------------------------------------------------------
@@ -50,11 +56,12 @@ def split_lf_lines(text) -> Column:
 
 
 def py_strip(text) -> Column:
-    return F.regexp_replace(_c(text), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    """str.strip(): trims the str.isspace() characters at both ends."""
+    return F.trim(_c(text), F.lit(WS_CHARS))
 
 
 def py_lstrip(text) -> Column:
-    return F.regexp_replace(_c(text), f"^{WS_CLASS}+", "")
+    return F.ltrim(_c(text), F.lit(WS_CHARS))
 
 
 def indent_width(line) -> Column:
@@ -64,7 +71,7 @@ def indent_width(line) -> Column:
 
 def leading_ws(line) -> Column:
     """line[:len(line) - len(line.lstrip())]."""
-    return F.regexp_extract(_c(line), f"^{WS_CLASS}*", 0)
+    return F.substring(_c(line), 1, indent_width(line))
 
 
 def tokens_floor(n_chars) -> Column:

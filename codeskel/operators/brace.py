@@ -111,7 +111,9 @@ def _fold_ranges(feats: Column, opens, counts, resets=None) -> Column:
 
 def js_features(lines: Column) -> Column:
     def feat(line):
-        s = py_strip(line)
+        return let(py_strip(line), lambda s: _feat(line, s))
+
+    def _feat(line, s):
         sig = line.rlike(JS_SIG_RE)
         fn_like = _contains_any(s, ("function", "=>", "("))
         kept = _starts_any(s, JS_KEEP_PREFIXES) | sig
@@ -171,7 +173,9 @@ def _emit_js(feats: Column, ranges: Column, states: Column) -> Column:
 
 def c_features(lines: Column) -> Column:
     def feat(line, i):
-        s = py_strip(line)
+        return let(py_strip(line), lambda s: _feat(line, i, s))
+
+    def _feat(line, i, s):
         nxt = F.get(lines, i + 1)
         rule1 = _starts_any(s, C_KEEP_PREFIXES) | _contains_any(s, C_KEEP_CONTAINS)
         sig = (

@@ -65,14 +65,17 @@ def _count_chars(s: Column, chars: str) -> Column:
 
 def _code_feats(s: Column) -> Column:
     """Exit delimiter, bracket net and continuation of code text ``s``."""
-    c = F.regexp_replace(s, _TOKEN_RE, "$1")
-    exit_delim = F.regexp_extract(c, "(\"\"\"|''')$", 1)
-    net = (_count_chars(c, "([{") - _count_chars(c, ")]}")).cast("int")
-    return F.struct(
-        exit_delim.alias("q"),
-        net.alias("net"),
-        ((exit_delim == "") & c.endswith("\\")).alias("cont"),
-    )
+
+    def feats(c):
+        exit_delim = F.when(c.endswith('"""'), F.lit('"""')).when(c.endswith("'''"), F.lit("'''")).otherwise(F.lit(""))
+        net = (_count_chars(c, "([{") - _count_chars(c, ")]}")).cast("int")
+        return F.struct(
+            exit_delim.alias("q"),
+            net.alias("net"),
+            (~c.endswith('"""') & ~c.endswith("'''") & c.endswith("\\")).alias("cont"),
+        )
+
+    return let(F.regexp_replace(s, _TOKEN_RE, "$1"), feats)
 
 
 def _after(line: Column, delim: str) -> Column:
@@ -82,7 +85,9 @@ def _after(line: Column, delim: str) -> Column:
 
 def python_features(lines: Column) -> Column:
     def feat(line):
-        s = py_strip(line)
+        return let(py_strip(line), lambda s: _feat(line, s))
+
+    def _feat(line, s):
         kind = (
             F.when(s.rlike(r"^class\b"), F.lit(K_CLASS))
             .when(s.rlike(r"^(async\s+)?def\b"), F.lit(K_DEF))

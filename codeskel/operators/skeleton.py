@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import reduction_pct, split_lines, tokens_floor
 from .brace import skeleton_c_like, skeleton_js_ts
 from .python import skeleton_python
+from ..functions.arrays import let
 
 # --- fixed values ---------------------------------------------------------
 # Extension routing of the skeletonizer.
@@ -71,51 +72,76 @@ def _pick(s: Column) -> Column:
     )
 
 
-def skeletonize_lines(df: DataFrame, content: str, lines: str, lang: str) -> DataFrame:
-    """Add ``_sk = struct(skeleton, method_count, class_count)``; K8 fallback included.
+_EXPR_CACHE: dict[tuple, Column] = {}
 
-    Each language's fold is its own projected column, evaluated once per row and
-    only for rows of that language.
+
+def _session_key() -> str:
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    return sc.applicationId if sc is not None else ""
+
+
+def memo_column(name: str, build) -> Column:
+    """Build a large column expression once per Spark application and reuse it.
+
+    The skeletonizer expressions have thousands of nodes; building them costs
+    thousands of py4j calls, so they are constructed once and then only
+    re-analysed against each new plan.
     """
-    lg = F.col(lang)
-    df = df.withColumn("_py", F.when(lg == "python", skeleton_python(F.col(lines))))
-    df = df.withColumn(
-        "_br",
-        F.when(lg == "js_ts", skeleton_js_ts(F.col(lines))).when(lg == "c_like", skeleton_c_like(F.col(lines))),
-    )
-    generic = F.struct(
-        skeleton_generic(F.col(content), F.col(lines)).alias("skeleton"),
-        F.lit(0).alias("method_count"),
-        F.lit(0).alias("class_count"),
-    )
-    sk = (
-        F.when(F.col("_py").isNotNull() & ~F.col("_py.malformed"), _pick(F.col("_py")))
-        .when(F.col("_br").isNotNull(), _pick(F.col("_br")))
-        .otherwise(generic)
-    )
-    return df.withColumn("_sk", sk).drop("_py", "_br")
+    key = (name, _session_key())
+    col = _EXPR_CACHE.get(key)
+    if col is None:
+        col = build()
+        _EXPR_CACHE[key] = col
+    return col
+
+
+def skeleton_column(content: str, lines: str, lang: str) -> Column:
+    """``struct(skeleton, method_count, class_count)`` by language, K8 fallback included.
+
+    One CASE over the language: only the chosen language's fold is evaluated
+    for a row, and each fold is evaluated once (``let``).
+    """
+
+    def build():
+        lg, ln, ct = F.col(lang), F.col(lines), F.col(content)
+        generic = F.struct(
+            skeleton_generic(ct, ln).alias("skeleton"),
+            F.lit(0).alias("method_count"),
+            F.lit(0).alias("class_count"),
+        )
+        py = let(skeleton_python(ln), lambda p: F.when(p["malformed"], generic).otherwise(_pick(p)))
+        return (
+            F.when(lg == "python", py)
+            .when(lg == "js_ts", _pick(skeleton_js_ts(ln)))
+            .when(lg == "c_like", _pick(skeleton_c_like(ln)))
+            .otherwise(generic)
+        )
+
+    return memo_column(f"skeleton:{content}:{lines}:{lang}", build)
 
 
 def skeletonize(files: DataFrame, content: str = "content", path: str = "path", keep_content: bool = True) -> DataFrame:
     """Add ``language, skeleton`` and the metric columns to a files table."""
-    lines = split_lines(F.col(content))
-    df = files.withColumn("_lines", lines).withColumn("language", language(file_ext(path)))
-    df = skeletonize_lines(df, content, "_lines", "language")
-    raw_chars = F.length(F.col(content))
+    base = [c for c in files.columns if keep_content or c != content]
+    df = files.select("*", split_lines(F.col(content)).alias("_lines"), language(file_ext(path)).alias("language"))
+    df = df.select(*base, "language", "_lines", F.length(content).alias("_raw_chars"),
+                   skeleton_column(content, "_lines", "language").alias("_sk"))
     skel = F.col("_sk.skeleton")
-    out = (
-        df.withColumn("skeleton", skel)
-        .withColumn("original_lines", F.size("_lines"))
-        .withColumn("skeleton_lines", F.size(split_lines(skel)))
-        .withColumn("original_char_count", raw_chars)
-        .withColumn("skeleton_char_count", F.length(skel))
-        .withColumn("raw_tokens_est", tokens_floor(F.col("original_char_count")))
-        .withColumn("skeleton_tokens_est", tokens_floor(F.col("skeleton_char_count")))
-        .withColumn("reduction_pct", reduction_pct(F.col("raw_tokens_est"), F.col("skeleton_tokens_est")))
-        .withColumn("method_count", F.col("_sk.method_count"))
-        .withColumn("class_count", F.col("_sk.class_count"))
-        .drop("_lines", "_sk")
+    raw_tok = tokens_floor(F.col("_raw_chars"))
+    skel_tok = tokens_floor(F.length(skel))
+    return df.select(
+        *base,
+        "language",
+        skel.alias("skeleton"),
+        F.size("_lines").alias("original_lines"),
+        F.size(split_lines(skel)).alias("skeleton_lines"),
+        F.col("_raw_chars").alias("original_char_count"),
+        F.length(skel).alias("skeleton_char_count"),
+        raw_tok.alias("raw_tokens_est"),
+        skel_tok.alias("skeleton_tokens_est"),
+        reduction_pct(raw_tok, skel_tok).alias("reduction_pct"),
+        F.col("_sk.method_count").alias("method_count"),
+        F.col("_sk.class_count").alias("class_count"),
     )
-    if not keep_content:
-        out = out.drop(content)
-    return out

@@ -14,10 +14,11 @@ from ..operators import metrics as M
 from ..operators.skeleton import METRIC_COLUMNS, skeleton_generic, skeletonize
 from ..sources.files import scan_supported_files
 from ..sources.fixtures import code_files
+from ..sources.tables import read_table
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return read_table(spark, sf, "documents", "doc_id")
 
 
 def _file_metrics(spark: SparkSession, sf: str, scanned: bool) -> DataFrame:

@@ -20,6 +20,7 @@ Template rules (k = l_linenumber, name = run_{l_orderkey}_{l_linenumber}):
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _NL = "chr(10)"
@@ -159,7 +160,10 @@ def code_files_sql(dialect: str = "duckdb", part: str = "part", lineitem: str =
     )
 
 
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+_MATERIALIZED: dict[tuple[str, str], DataFrame] = {}
+
+
+def build_code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``code_files(repo, path, ext, content)`` built by Spark from part and lineitem."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -169,6 +173,22 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(text, part=part, lineitem=lineitem)
 
 
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as an input table: built once per session and kept persisted.
+
+    It stands in for a stored files table, so it is spread over the cores by a
+    hash of ``path`` (the skeletonizers are row-local and CPU-bound).  The
+    lineage is short and deterministic, so a lost executor recomputes it.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    df = _MATERIALIZED.get(key)
+    if df is None:
+        n = max(8, spark.sparkContext.defaultParallelism * 2)
+        df = build_code_files(spark, sf_dir).repartition(n, "path").persist(StorageLevel.MEMORY_AND_DISK)
+        _MATERIALIZED[key] = df
+    return df
+
+
 def code_files_cte(dialect: str = "duckdb") -> str:
     """``code_files AS (...)`` for use inside a WITH clause of an oracle query."""
     return f"code_files AS ({code_files_sql(dialect)})"
