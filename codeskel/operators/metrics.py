@@ -53,12 +53,23 @@ def repo_totals(metrics: DataFrame) -> DataFrame:
     )
 
 
-def method_fetch_totals(fetches: DataFrame) -> DataFrame:
-    """A3: number of fetched bodies and their tokens per repo (found bodies only)."""
-    return fetches.groupBy("repo").agg(
-        F.count(F.lit(1)).alias("selective_method_fetches"),
-        F.sum("tokens").cast("long").alias("method_tokens_fetched"),
+def method_fetch_totals(fetches: DataFrame, found: str | None = None) -> DataFrame:
+    """A3: number of fetched bodies and their tokens per repo.
+
+    With ``found`` (a boolean column name) only those rows count; the test is
+    folded into the aggregate instead of a filter, so an expensive upstream
+    projection is not pushed into (and evaluated again by) a filter.
+    """
+    if found is None:
+        return fetches.groupBy("repo").agg(
+            F.count(F.lit(1)).alias("selective_method_fetches"),
+            F.sum("tokens").cast("long").alias("method_tokens_fetched"),
+        )
+    agg = fetches.groupBy("repo").agg(
+        F.count(F.when(F.col(found), F.lit(1))).alias("selective_method_fetches"),
+        F.sum(F.when(F.col(found), F.col("tokens"))).cast("long").alias("method_tokens_fetched"),
     )
+    return agg.filter(F.col("selective_method_fetches") > 0)
 
 
 def _finish_summary(df: DataFrame) -> DataFrame:

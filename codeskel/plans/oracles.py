@@ -407,3 +407,135 @@ SELECT doc_id, cast(i + 1 AS INTEGER) AS line_no, line, {strip_sql('line')} AS s
        cast({lstrip_len_sql('line')} AS INTEGER) AS indent
 FROM (SELECT doc_id, generate_subscripts(arr, 1) - 1 AS i, unnest(arr) AS line
       FROM (SELECT doc_id, {splitlines_sql('text')} AS arr FROM documents))"""
+
+
+# ------------------------------------------------------------------ search
+
+def lf_lines_sql(x: str) -> str:
+    arr = f"string_split({x}, {NL})"
+    return f"(CASE WHEN {arr}[-1] = '' THEN {arr}[1:len({arr}) - 1] ELSE {arr} END)"
+
+
+_DOC_LINES = f"""
+dl AS (
+  SELECT repo, path, generate_subscripts(arr, 1) AS line_no, unnest(arr) AS line
+  FROM (SELECT source AS repo, printf('docs/%08d.txt', doc_id) AS path, {lf_lines_sql('text')} AS arr FROM documents)
+)"""
+
+
+def _report(matches: str, symbols: str) -> str:
+    return f"""
+c AS (SELECT symbol, repo, count(*) AS ref_count FROM {matches} GROUP BY symbol, repo),
+t AS (SELECT *, row_number() OVER (PARTITION BY symbol, repo ORDER BY path, line_no) AS rk FROM {matches})
+SELECT t.symbol, t.repo, c.ref_count, cast(t.rk AS INTEGER) AS rank, t.path, cast(t.line_no AS INTEGER) AS line_no, t.text
+FROM t JOIN c ON c.symbol = t.symbol AND c.repo = t.repo WHERE t.rk <= 50
+UNION ALL
+SELECT symbol, NULL, 0::BIGINT, NULL::INTEGER, NULL, NULL::INTEGER, NULL
+FROM {symbols} WHERE symbol NOT IN (SELECT symbol FROM c)"""
+
+
+def find_references(symbol: str = "ther") -> str:
+    return f"""WITH {_DOC_LINES},
+sy AS (SELECT {_q(symbol)} AS symbol),
+m AS (SELECT {_q(symbol)} AS symbol, repo, path, line_no, {strip_sql('line')} AS text FROM dl WHERE contains(line, {_q(symbol)})),
+{_report('m', 'sy')}"""
+
+
+def find_references_multi() -> str:
+    return f"""WITH {_DOC_LINES},
+sy AS (SELECT DISTINCT w AS symbol FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark)
+       WHERE length(w) >= 5),
+m AS (SELECT sy.symbol, dl.repo, dl.path, dl.line_no, {strip_sql('dl.line')} AS text
+      FROM dl JOIN sy ON contains(dl.line, sy.symbol)),
+{_report('m', 'sy')}"""
+
+
+# ------------------------------------------------------------------ lookups
+
+def _method_bodies_ctes() -> str:
+    from ..sources.fixtures import method_requests_sql
+
+    return f"""WITH {code_files_cte('duckdb')},
+req AS ({method_requests_sql()}),
+f AS (SELECT repo, path, content, {ext_sql('path')} AS ext, {splitlines_sql('content')} AS arr FROM code_files),
+ln AS (SELECT repo, path, ext, len(arr) AS n, generate_subscripts(arr, 1) - 1 AS i, unnest(arr) AS line FROM f),
+lnf AS (
+  SELECT *, s <> '' AND NOT starts_with(s, '#') AS code,
+         sum(net) OVER (PARTITION BY repo, path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cs
+  FROM (SELECT *, {strip_sql('line')} AS s, {lstrip_len_sql('line')} AS ind,
+               (length(line) - length(replace(line, '{{', ''))) - (length(line) - length(replace(line, '}}', ''))) AS net
+        FROM ln)
+),
+pyok AS (SELECT repo, path FROM f WHERE ext = '.py' AND NOT contains(content, {NL} || 'BROKEN = (')),
+pydef AS (
+  SELECT l.repo, l.path, l.i, l.ind, regexp_extract(l.s, '^(?:async\\s+)?def\\s+([A-Za-z0-9_]+)\\s*\\(', 1) AS name
+  FROM lnf l JOIN pyok USING (repo, path) WHERE regexp_matches(l.s, '^(async\\s+)?def\\s+')
+),
+pynext AS (
+  SELECT d.repo, d.path, d.name, d.i AS s,
+         coalesce(min(l.i) FILTER (WHERE l.i > d.i AND l.code AND l.ind <= d.ind), max(l.n)) AS nx
+  FROM pydef d JOIN lnf l ON l.repo = d.repo AND l.path = d.path
+  GROUP BY d.repo, d.path, d.name, d.i
+),
+pyast AS (
+  SELECT r.repo, r.path, r.method, p.s, max(l.i) AS e
+  FROM req r JOIN pynext p ON p.repo = r.repo AND p.path = r.path AND p.name = r.method
+  JOIN lnf l ON l.repo = p.repo AND l.path = p.path AND l.i >= p.s AND l.i < p.nx AND l.code
+  WHERE p.s = (SELECT min(p2.s) FROM pynext p2 WHERE p2.repo = p.repo AND p2.path = p.path AND p2.name = p.name)
+  GROUP BY r.repo, r.path, r.method, p.s
+),
+calls AS (
+  SELECT repo, path, i, unnest(regexp_extract_all(line, '([A-Za-z0-9_]+)\\s*\\(', 1)) AS name FROM lnf
+),
+starts AS (
+  SELECT r.repo, r.path, r.method, min(c.i) AS s
+  FROM req r JOIN calls c ON c.repo = r.repo AND c.path = r.path AND c.name = r.method
+  WHERE NOT EXISTS (SELECT 1 FROM pyast a WHERE a.repo = r.repo AND a.path = r.path AND a.method = r.method)
+  GROUP BY r.repo, r.path, r.method
+),
+fb AS (
+  SELECT st.repo, st.path, st.method, st.s,
+         coalesce(min(l.i) FILTER (WHERE l.i > st.s AND l.i <= least(st.s + 149, l.n - 1) AND (
+                    (l.ext = '.py' AND l.code AND l.ind <= h.ind)
+                    OR (l.ext <> '.py' AND l.cs - (h.cs - h.net) <= 0 AND contains(l.line, '}}')))),
+                  least(st.s + 149, max(l.n) - 1)) AS e
+  FROM starts st JOIN lnf h ON h.repo = st.repo AND h.path = st.path AND h.i = st.s
+  JOIN lnf l ON l.repo = st.repo AND l.path = st.path
+  GROUP BY st.repo, st.path, st.method, st.s
+),
+rng AS (SELECT repo, path, method, s, e FROM pyast UNION ALL SELECT repo, path, method, s, e FROM fb),
+bod AS (
+  SELECT g.repo, g.path, g.method, string_agg(l.line, {NL} ORDER BY l.i) AS body
+  FROM rng g JOIN lnf l ON l.repo = g.repo AND l.path = g.path AND l.i BETWEEN g.s AND g.e
+  GROUP BY g.repo, g.path, g.method
+),
+mb AS (
+  SELECT r.repo, r.path, r.method,
+         CASE WHEN f.path IS NULL THEN 'file not found' WHEN b.body IS NULL OR b.body = '' THEN 'method not found'
+              ELSE 'found' END AS status,
+         b.body AS body0
+  FROM req r LEFT JOIN f ON f.repo = r.repo AND f.path = r.path
+  LEFT JOIN bod b ON b.repo = r.repo AND b.path = r.path AND b.method = r.method
+),
+mb2 AS (
+  SELECT repo, path, method, status,
+         CASE WHEN status = 'found' THEN body0 END AS body,
+         CASE WHEN status = 'found' THEN {tokens_ceil_sql('body0')} ELSE 0 END::INTEGER AS tokens
+  FROM mb
+)"""
+
+
+def method_bodies() -> str:
+    return _method_bodies_ctes() + """
+SELECT repo, path, method, status, body, tokens,
+       CASE status WHEN 'file not found' THEN 'Error: File ''' || path || ''' not found.'
+                   WHEN 'method not found' THEN 'Method ''' || method || ''' not found in ''' || path || '''.'
+                   ELSE '=== METHOD BODY: ' || method || ' in ' || path || ' (~' || cast(tokens AS VARCHAR)
+                        || ' tokens) ===' || chr(10) || body END AS result
+FROM mb2"""
+
+
+def method_fetch_totals() -> str:
+    return _method_bodies_ctes() + """
+SELECT repo, count(*) AS selective_method_fetches, sum(tokens)::BIGINT AS method_tokens_fetched
+FROM mb2 WHERE status = 'found' GROUP BY repo"""

@@ -13,7 +13,9 @@ from ..functions.text import indent_width, py_strip, split_lines, tokens_ceil, t
 from ..operators import metrics as M
 from ..operators.skeleton import METRIC_COLUMNS, skeleton_generic, skeletonize
 from ..sources.files import scan_supported_files
-from ..sources.fixtures import code_files
+from ..sources.fixtures import code_files, method_requests
+from ..operators import search as S
+from ..operators.lookup import method_bodies as _method_bodies
 from ..sources.tables import read_table
 
 
@@ -110,3 +112,46 @@ def file_lines(spark, sf):
         py_strip(F.col("line")).alias("stripped"),
         indent_width(F.col("line")).cast("int").alias("indent"),
     )
+
+
+# ------------------------------------------------------------------ search
+
+SEARCH_SYMBOL = "ther"
+
+
+def _doc_files(spark, sf):
+    d = _docs(spark, sf)
+    return d.select(
+        F.col("source").alias("repo"), F.format_string("docs/%08d.txt", F.col("doc_id")).alias("path"),
+        F.col("text").alias("content"),
+    )
+
+
+def _benchmark_symbols(spark, sf):
+    """Distinct lower-case words of at least 5 letters from the benchmark texts."""
+    b = spark.read.parquet(f"{sf}/benchmark.parquet")
+    words = b.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("symbol"))
+    return words.filter(F.length("symbol") >= 5).distinct()
+
+
+def find_references(spark, sf):
+    lines = S.search_lines(_doc_files(spark, sf))
+    syms = spark.range(1).select(F.lit(SEARCH_SYMBOL).alias("symbol"))
+    return S.reference_report(S.find_references(lines, SEARCH_SYMBOL), syms)
+
+
+def find_references_multi(spark, sf):
+    lines = S.search_lines(_doc_files(spark, sf))
+    syms = _benchmark_symbols(spark, sf)
+    return S.reference_report(S.match_symbols(lines, syms), syms)
+
+
+# ------------------------------------------------------------------ lookups
+
+def method_bodies(spark, sf):
+    return _method_bodies(code_files(spark, sf), method_requests(spark, sf))
+
+
+def method_fetch_totals(spark, sf):
+    mb = method_bodies(spark, sf).withColumn("_found", F.col("status") == "found")
+    return M.method_fetch_totals(mb, found="_found")

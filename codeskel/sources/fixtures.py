@@ -189,6 +189,35 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df
 
 
+_REQUESTS = """
+WITH p AS (
+  SELECT p_partkey, p_brand,
+         CASE WHEN p_partkey % 11 = 0 THEN 'node_modules/' WHEN p_partkey % 13 = 0 THEN 'build/' ELSE '' END
+         || lower(p_type) || '/part_' || cast(p_partkey AS string) ||
+         CASE p_partkey % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.java' WHEN 3 THEN '.js' ELSE '.md' END
+         AS path
+  FROM {part}
+)
+SELECT p.p_brand AS repo, p.path AS path,
+       'run_' || cast(l.l_orderkey AS string) || '_' || cast(l.l_linenumber AS string) AS method
+FROM p JOIN {lineitem} l ON l.l_partkey = p.p_partkey
+UNION ALL SELECT p_brand, path, 'missing_' || cast(p_partkey AS string) FROM p
+UNION ALL SELECT p_brand, path || '.bak', 'main' FROM p
+"""
+
+
+def method_requests_sql(part: str = "part", lineitem: str = "lineitem") -> str:
+    """Method lookups: every line item asks for its method; each part also asks
+    for a method that does not exist and for a file that does not exist."""
+    return _REQUESTS.format(part=part, lineitem=lineitem)
+
+
+def method_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return spark.sql(method_requests_sql("{part}", "{lineitem}"), part=part, lineitem=lineitem)
+
+
 def code_files_cte(dialect: str = "duckdb") -> str:
     """``code_files AS (...)`` for use inside a WITH clause of an oracle query."""
     return f"code_files AS ({code_files_sql(dialect)})"
