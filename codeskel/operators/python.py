@@ -274,3 +274,19 @@ def skeleton_python(lines: Column) -> Column:
         python_fold(python_features(lines)),
         lambda fold: let(kept_segments(fold["segs"], fold["moddoc"], F.size(lines)), lambda segs: build(fold, segs)),
     )
+
+
+def segments_from_flags(keep: Column) -> Column:
+    """Kept runs of a boolean array as sorted ``(s, e)`` segments (0-based, inclusive)."""
+    n = F.size(keep)
+    idx = F.sequence(F.lit(0), n - 1)
+    starts = F.filter(idx, lambda i: F.get(keep, i) & ((i == 0) | ~F.coalesce(F.get(keep, i - 1), F.lit(False))))
+    ends = F.filter(idx, lambda i: F.get(keep, i) & ~F.coalesce(F.get(keep, i + 1), F.lit(False)))
+    return F.when(n == 0, empty(SEG_TYPE)).otherwise(
+        F.transform(starts, lambda s, k: _seg(s, F.get(ends, k)))
+    )
+
+
+def collapse_dropped(lines: Column, keep: Column) -> Column:
+    """K5 for any keep predicate: kept lines verbatim, each dropped run one marker."""
+    return let(segments_from_flags(keep), lambda segs: F.array_join(collapse_gaps(lines, segs), "\n"))

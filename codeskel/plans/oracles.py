@@ -539,3 +539,69 @@ def method_fetch_totals() -> str:
     return _method_bodies_ctes() + """
 SELECT repo, count(*) AS selective_method_fetches, sum(tokens)::BIGINT AS method_tokens_fetched
 FROM mb2 WHERE status = 'found' GROUP BY repo"""
+
+
+# ------------------------------------------------------------------ gaps, ranges, prompts, refs
+
+def skeleton_gaps() -> str:
+    return f"""WITH d AS (SELECT doc_id, {splitlines_sql('text')} AS arr FROM documents),
+l AS (SELECT doc_id, len(arr) AS n, generate_subscripts(arr, 1) - 1 AS i, unnest(arr) AS line FROM d),
+k AS (SELECT *, length({strip_sql('line')}) >= 40 AS k, {lstrip_len_sql('line')} AS ind FROM l),
+k2 AS (SELECT *, lag(k) OVER w AS pk, lag(ind) OVER w AS pind,
+              min(CASE WHEN k THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nk
+       FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+o AS (SELECT doc_id, i, CASE WHEN k THEN line WHEN pk IS NULL OR pk THEN repeat(' ', coalesce(pind, 0) + 4)
+               || '...  # [Body compressed: ' || cast(coalesce(nk, n) - i AS VARCHAR) || ' lines]' END AS txt FROM k2)
+SELECT d.doc_id, coalesce((SELECT string_agg(txt, {NL} ORDER BY i) FROM o WHERE o.doc_id = d.doc_id AND txt IS NOT NULL), '') AS skeleton
+FROM d"""
+
+
+def body_ranges() -> str:
+    return "WITH " + _FILES_CTES + "," + _JS_CTES + "," + _C_CTES + """,
+jr AS (
+  SELECT repo, path, close_open + 1 AS body_start, i + 1 AS body_end FROM jst WHERE close_open IS NOT NULL
+  UNION ALL
+  SELECT t.repo, t.path, t.start + 1, NULL FROM jst t
+  JOIN (SELECT repo, path, max(i) AS mi FROM jst GROUP BY repo, path) m ON m.repo = t.repo AND m.path = t.path AND m.mi = t.i
+  WHERE t.in_body
+)
+SELECT repo, path, cast(body_start AS INTEGER) AS body_start, cast(body_end AS INTEGER) AS body_end FROM jr
+UNION ALL
+SELECT repo, path, cast(o + 1 AS INTEGER), cast(c + 1 AS INTEGER) FROM cpair"""
+
+
+def compress_messages() -> str:
+    hit = "(role = 'assistant' AND length(text) > 1000)"
+    return f"""SELECT conv_id, turn, role,
+  CASE WHEN {hit} THEN '[Tool Output: Compressed ' || cast(len(arr) AS VARCHAR) || ' lines (~'
+       || cast({tokens_ceil_sql('text')} AS VARCHAR) || ' tokens)]' || {NL} || array_to_string(arr[1:5], {NL}) || {NL} || '...'
+       ELSE text END AS content,
+  {hit} AS compressed
+FROM (SELECT *, {splitlines_sql('text')} AS arr FROM conversations)"""
+
+
+def prompt_assembly() -> str:
+    b = "'=== [CACHE_BOUNDARY: {}] ==='"
+    return f"""WITH d AS (SELECT doc_id AS conv_id, {generic_sql('text', 'arr')} AS skeleton
+           FROM (SELECT doc_id, text, {splitlines_sql('text')} AS arr FROM documents)),
+s AS (SELECT conv_id, turn, text AS system FROM conversations WHERE role = 'system')
+SELECT s.conv_id, s.turn,
+  {b.format('SYSTEM_PROMPT')} || {NL} || {strip_sql('s.system')} || {NL} || {NL} ||
+  {b.format('REPO_SKELETON')} || {NL} || {strip_sql('d.skeleton')} || {NL} || {NL} ||
+  {b.format('USER_CONTEXT_START')} || {NL} AS cached_prompt,
+  {tokens_ceil_sql('s.system')} AS system_tokens, {tokens_ceil_sql('d.skeleton')} AS skeleton_tokens
+FROM s JOIN d ON d.conv_id = s.conv_id"""
+
+
+def repo_ref_normalise() -> str:
+    return f"""WITH r AS (SELECT url AS ref, {strip_sql("coalesce(url, '')")} AS t0 FROM pages),
+r2 AS (SELECT ref, CASE WHEN t0 = '' THEN '.' ELSE t0 END AS t FROM r),
+r3 AS (SELECT ref, t,
+         (starts_with(t, 'http://') OR starts_with(t, 'https://') OR starts_with(t, 'git@')
+          OR contains(t, 'github.com') OR contains(t, 'gitlab.com') OR ends_with(t, '.git')) AS is_url,
+         CASE WHEN starts_with(t, 'github.com/') OR starts_with(t, 'gitlab.com/') THEN 'https://' || t ELSE t END AS u
+       FROM r2)
+SELECT ref, is_url, CASE WHEN is_url THEN u END AS url,
+       CASE WHEN is_url THEN replace(string_split(rtrim(u, '/'), '/')[-1], '.git', '')
+            ELSE nullif(nullif(string_split(rtrim(t, '/'), '/')[-1], ''), '.') END AS repo_name
+FROM r3"""

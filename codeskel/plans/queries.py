@@ -15,6 +15,12 @@ from ..operators.skeleton import METRIC_COLUMNS, skeleton_generic, skeletonize
 from ..sources.files import scan_supported_files
 from ..sources.fixtures import code_files, method_requests
 from ..operators import search as S
+from ..operators import prompts as P
+from ..operators.brace import c_features, c_ranges, js_features, js_ranges
+from ..operators.python import collapse_dropped
+from ..operators.skeleton import file_ext, language
+from ..sources.files import repo_ref_normalise as _refs
+from ..functions.arrays import let
 from ..operators.lookup import method_bodies as _method_bodies
 from ..sources.tables import read_table
 
@@ -155,3 +161,53 @@ def method_bodies(spark, sf):
 def method_fetch_totals(spark, sf):
     mb = method_bodies(spark, sf).withColumn("_found", F.col("status") == "found")
     return M.method_fetch_totals(mb, found="_found")
+
+
+# ------------------------------------------------------------------ gaps, ranges
+
+GAP_KEEP_MIN_CHARS = 40
+
+
+def skeleton_gaps(spark, sf):
+    """K5 on documents: lines shorter than 40 stripped characters are dropped."""
+    d = _docs(spark, sf).withColumn("_lines", split_lines(F.col("text")))
+    keep = F.transform(F.col("_lines"), lambda ln: F.length(py_strip(ln)) >= GAP_KEEP_MIN_CHARS)
+    return d.select("doc_id", collapse_dropped(F.col("_lines"), keep).alias("skeleton"))
+
+
+def body_ranges(spark, sf):
+    """K6: compressed body ranges of brace-language files, 1-based lines."""
+    cf = code_files(spark, sf)
+    lines = split_lines(F.col("content"))
+    lang = language(file_ext(F.col("path")))
+    rng = F.when(lang == "js_ts", let(js_features(lines), js_ranges)).when(
+        lang == "c_like", let(c_features(lines), c_ranges)
+    )
+    return cf.select("repo", "path", F.explode(rng).alias("r")).select(
+        "repo", "path", (F.col("r.o") + 1).alias("body_start"), (F.col("r.c") + 1).alias("body_end")
+    )
+
+
+# ------------------------------------------------------------------ prompts, refs
+
+COMPRESS_ROLE = "assistant"
+
+
+def compress_messages(spark, sf):
+    conv = read_table(spark, sf, "conversations", "conv_id").withColumnRenamed("text", "content")
+    out = P.compress_messages(conv, role=COMPRESS_ROLE, limit=P.COMPRESS_MIN_CHARS)
+    return out.select("conv_id", "turn", "role", "content", "compressed")
+
+
+def prompt_assembly(spark, sf):
+    """System turns paired with the generic skeleton of the document of the same id."""
+    conv = read_table(spark, sf, "conversations", "conv_id").filter(F.col("role") == "system")
+    docs = _docs(spark, sf).withColumn("_lines", split_lines(F.col("text")))
+    docs = docs.select(F.col("doc_id").alias("conv_id"), skeleton_generic(F.col("text"), F.col("_lines")).alias("skeleton"))
+    pairs = conv.select("conv_id", "turn", F.col("text").alias("system")).join(docs, "conv_id")
+    return P.assemble_prompts(pairs).select("conv_id", "turn", "cached_prompt", "system_tokens", "skeleton_tokens")
+
+
+def repo_ref_normalise(spark, sf):
+    pages = read_table(spark, sf, "pages").select(F.col("url").alias("ref"))
+    return _refs(pages)
