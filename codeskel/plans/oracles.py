@@ -605,3 +605,68 @@ SELECT ref, is_url, CASE WHEN is_url THEN u END AS url,
        CASE WHEN is_url THEN replace(string_split(rtrim(u, '/'), '/')[-1], '.git', '')
             ELSE nullif(nullif(string_split(rtrim(t, '/'), '/')[-1], ''), '.') END AS repo_name
 FROM r3"""
+
+
+# ------------------------------------------------------------------ reports
+
+def _sampled(n: int) -> str:
+    return f"""
+hl AS (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY path DESC) AS rd FROM sm),
+h20 AS (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY path) AS rank FROM hl WHERE rd <= 20),
+smp AS (SELECT repo, path, rank FROM h20 WHERE rank <= {n})"""
+
+
+def _map_header_sql() -> str:
+    rule = "=" * 65
+    return (
+        f"'{rule}' || {NL} || 'CODESKEL REPOSITORY SKELETON MAP' || {NL} || 'Files Scanned: ' || "
+        "cast(total_files_scanned AS VARCHAR) || ' | Raw Tokens: ~' || cast(total_raw_tokens AS VARCHAR) || "
+        f"' -> Skeleton Tokens: ~' || cast(total_skeleton_tokens AS VARCHAR) || {NL} || 'Overall Reduction: ' || "
+        "cast(reduction_pct AS VARCHAR) || '% | Compression Ratio: ' || compression_ratio || "
+        f"{NL} || '{rule}' || {NL} || {NL}"
+    )
+
+
+def skeleton_map() -> str:
+    return _scanned_metrics() + ",\nsu AS (" + _summary_select("sm", "repo") + f""")
+SELECT repo, NULL::VARCHAR AS path, {_map_header_sql()} AS entry FROM su
+UNION ALL
+SELECT repo, path, '--- FILE: ' || path || ' (Raw: ~' || cast(raw_tokens_est AS VARCHAR) || ' tokens -> Skeleton: ~'
+       || cast(skeleton_tokens_est AS VARCHAR) || ' tokens | Reduction: ' || cast(reduction_pct AS VARCHAR) || '%) ---'
+       || {NL} || skeleton || {NL} AS entry
+FROM sm"""
+
+
+def sequence_diagram() -> str:
+    from .report import DIAGRAM_HEAD, DIAGRAM_NO_FILES, DIAGRAM_TAIL
+
+    a, b = DIAGRAM_TAIL.split("{repo}")
+    clean = "replace(replace({x}, '\\', '/'), '\"', '')"
+    node = ("'    participant F' || cast(rank - 1 AS VARCHAR) || ' as \"' || " + clean.format(x="path")
+            + " || '\"' || chr(10)")
+    return _scanned_metrics() + "," + _sampled(3) + f""",
+nd AS (SELECT repo, string_agg({node}, '' ORDER BY rank) AS nodes FROM smp GROUP BY repo)
+SELECT r.repo, {_q(DIAGRAM_HEAD)} || coalesce(nd.nodes, {_q(DIAGRAM_NO_FILES)}) || {_q(a)} || {clean.format(x='r.repo')} || {_q(b)} AS diagram
+FROM (SELECT DISTINCT repo FROM sm) r LEFT JOIN nd ON nd.repo = r.repo"""
+
+
+def callable_candidates() -> str:
+    head = strip_sql("replace(replace(split_part(s, '(', 1), 'def ', ''), 'function ', '')")
+    return f"""WITH {code_files_cte('duckdb')},
+f AS (SELECT repo, path, {splitlines_sql('content')} AS arr FROM code_files WHERE {scan_pred_sql('path')}),
+l AS (SELECT repo, path, generate_subscripts(arr, 1) AS line_no, unnest(arr) AS line FROM f),
+c AS (SELECT repo, path, line_no, {head} AS head
+      FROM (SELECT *, {strip_sql('line')} AS s FROM l)
+      WHERE (starts_with(s, 'def ') OR starts_with(s, 'function ') OR contains(line, ' class ')) AND contains(s, '(')),
+c2 AS (SELECT repo, path, line_no, CASE WHEN head = '' THEN '' ELSE string_split_regex(head, {_q(_WS + '+')})[-1] END AS name FROM c),
+bad AS (SELECT repo, path, min(line_no) AS b FROM c2 WHERE name = '' GROUP BY repo, path)
+SELECT c2.repo, c2.path, cast(c2.line_no AS INTEGER) AS line_no, c2.name
+FROM c2 LEFT JOIN bad ON bad.repo = c2.repo AND bad.path = c2.path
+WHERE (bad.b IS NULL OR c2.line_no < bad.b) AND c2.name <> ''"""
+
+
+def sample_file_pair() -> str:
+    return _scanned_metrics() + "," + _sampled(1) + """
+SELECT smp.repo, smp.path AS filename, f.content AS original, sm.skeleton, sm.raw_tokens_est AS raw_tokens,
+       sm.skeleton_tokens_est AS skeleton_tokens
+FROM smp JOIN f ON f.repo = smp.repo AND f.path = smp.path JOIN sm ON sm.repo = smp.repo AND sm.path = smp.path"""

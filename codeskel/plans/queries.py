@@ -21,6 +21,7 @@ from ..operators.python import collapse_dropped
 from ..operators.skeleton import file_ext, language
 from ..sources.files import repo_ref_normalise as _refs
 from ..functions.arrays import let
+from . import report as R
 from ..operators.lookup import method_bodies as _method_bodies
 from ..sources.tables import read_table
 
@@ -211,3 +212,39 @@ def prompt_assembly(spark, sf):
 def repo_ref_normalise(spark, sf):
     pages = read_table(spark, sf, "pages").select(F.col("url").alias("ref"))
     return _refs(pages)
+
+
+# ------------------------------------------------------------------ reports
+
+def _scanned(spark, sf):
+    return R.scanned_metrics(code_files(spark, sf))
+
+
+def skeleton_map(spark, sf):
+    return R.skeleton_map(_scanned(spark, sf))
+
+
+def sequence_diagram(spark, sf):
+    return R.sequence_diagram(_scanned(spark, sf), code_files(spark, sf))
+
+
+def callable_candidates(spark, sf):
+    from ..sources.files import scan_supported_files as _scan
+
+    return R.callable_candidates(_scan(code_files(spark, sf)))
+
+
+def deep_dive_samples(spark, sf):
+    return R.deep_dive_samples(_scanned(spark, sf), code_files(spark, sf))
+
+
+def sample_file_pair(spark, sf):
+    return R.sample_file_pair(_scanned(spark, sf), code_files(spark, sf))
+
+
+def repo_report(spark, sf):
+    return R.repo_report(code_files(spark, sf))
+
+
+def repo_report_snippet(spark, sf):
+    return R.repo_report_snippet(R.repo_report(code_files(spark, sf)))
