@@ -670,3 +670,20 @@ def sample_file_pair() -> str:
 SELECT smp.repo, smp.path AS filename, f.content AS original, sm.skeleton, sm.raw_tokens_est AS raw_tokens,
        sm.skeleton_tokens_est AS skeleton_tokens
 FROM smp JOIN f ON f.repo = smp.repo AND f.path = smp.path JOIN sm ON sm.repo = smp.repo AND sm.path = smp.path"""
+
+
+# ------------------------------------------------------------------ streaming, tree source
+
+def stream_skeletons() -> str:
+    return file_skeleton_metrics()
+
+
+def stream_scan_totals() -> str:
+    return _scanned_metrics() + """
+SELECT repo, count(*) AS total_files_scanned, sum(raw_tokens_est)::BIGINT AS total_raw_tokens,
+       sum(skeleton_tokens_est)::BIGINT AS total_skeleton_tokens
+FROM sm GROUP BY repo"""
+
+
+def scan_tree() -> str:
+    return f"WITH {code_files_cte('duckdb')}\nSELECT repo, path, content FROM code_files"

@@ -248,3 +248,28 @@ def repo_report(spark, sf):
 
 def repo_report_snippet(spark, sf):
     return R.repo_report_snippet(R.repo_report(code_files(spark, sf)))
+
+
+# ------------------------------------------------------------------ streaming, tree source
+
+def stream_skeletons(spark, sf):
+    from ..streaming import stream as ST
+
+    return ST.stream_skeletons(spark, ST.stage_files(code_files(spark, sf)))
+
+
+def stream_scan_totals(spark, sf):
+    from ..streaming import stream as ST
+
+    return ST.stream_scan_totals(spark, ST.stage_files(code_files(spark, sf)))
+
+
+def scan_tree(spark, sf):
+    """S1 round trip: the corpus written as a directory tree, read back by the tree source."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.tree import scan_tree as _scan_tree
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/codeskel/tree/{uuid.uuid4().hex}"
+    return _scan_tree(spark, code_files(spark, sf), root)
