@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.text import indent_width, py_strip, split_lines, tokens_ceil, tokens_floor
 from ..operators import metrics as M
 from ..operators.skeleton import METRIC_COLUMNS, skeleton_generic, skeletonize
-from ..sources.files import scan_supported_files
+from pyspark import StorageLevel
+
+from ..sources.files import scan_filter, scan_supported_files
 from ..sources.fixtures import code_files, method_requests
 from ..operators import search as S
 from ..operators import prompts as P
@@ -30,11 +32,21 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents", "doc_id")
 
 
+_METRICS: dict[tuple, DataFrame] = {}
+
+
 def _file_metrics(spark: SparkSession, sf: str, scanned: bool) -> DataFrame:
-    files = code_files(spark, sf)
-    if scanned:
-        files = scan_supported_files(files)
-    return skeletonize(files, keep_content=False)
+    """K0 output of the corpus, computed once per session and kept persisted.
+
+    Every report reads the same per-file skeletons and metrics, so they are
+    materialised once (the skeleton is the expensive part) and reused.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    full = _METRICS.get(key)
+    if full is None:
+        full = skeletonize(code_files(spark, sf), keep_content=False).persist(StorageLevel.MEMORY_AND_DISK)
+        _METRICS[key] = full
+    return full.filter(scan_filter("path")) if scanned else full
 
 
 def file_skeleton_metrics(spark, sf):
@@ -217,7 +229,7 @@ def repo_ref_normalise(spark, sf):
 # ------------------------------------------------------------------ reports
 
 def _scanned(spark, sf):
-    return R.scanned_metrics(code_files(spark, sf))
+    return _file_metrics(spark, sf, scanned=True)
 
 
 def skeleton_map(spark, sf):
@@ -243,11 +255,11 @@ def sample_file_pair(spark, sf):
 
 
 def repo_report(spark, sf):
-    return R.repo_report(code_files(spark, sf))
+    return R.repo_report(code_files(spark, sf), _scanned(spark, sf))
 
 
 def repo_report_snippet(spark, sf):
-    return R.repo_report_snippet(R.repo_report(code_files(spark, sf)))
+    return R.repo_report_snippet(repo_report(spark, sf))
 
 
 # ------------------------------------------------------------------ streaming, tree source

@@ -240,9 +240,13 @@ def _fmt_int(c: Column) -> Column:
     return F.format_number(c, 0)
 
 
-def repo_report(files: DataFrame) -> DataFrame:
-    """One markdown report per repo (metrics, diagram, <= 3 bodies, map excerpt)."""
-    metrics = scanned_metrics(files).persist()
+def repo_report(files: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """One markdown report per repo (metrics, diagram, <= 3 bodies, map excerpt).
+
+    ``metrics`` is the scanned K0 output when the caller already holds it.
+    """
+    if metrics is None:
+        metrics = scanned_metrics(files)
     summary = M.repo_summary(metrics)
     diagram = sequence_diagram(metrics, files)
     bodies = deep_dive_samples(metrics, files)
