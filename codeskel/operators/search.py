@@ -49,9 +49,49 @@ def _bounded_chunks(symbols: DataFrame) -> int:
     return max(1, math.ceil(n / BROADCAST_MAX_SYMBOLS), math.ceil(b / BROADCAST_MAX_BYTES))
 
 
+WORD_RE = "[A-Za-z0-9_]+"
+MAX_GRAM = 8
+
+
+def _match_word_symbols(lines: DataFrame, symbols: DataFrame, k: int) -> DataFrame:
+    """Exact substring matches for symbols made of word characters only.
+
+    Such a symbol can only occur inside one maximal word-character run of a
+    line, so lines are reduced to their distinct runs, runs are indexed by
+    their ``k``-grams (``k`` = shortest symbol, capped), each symbol probes
+    with its first ``k``-gram and the candidates are verified with
+    ``contains``.  Every step is an equi-join or aggregation -- no pairs of
+    lines and symbols are formed.
+    """
+    words = lines.select(
+        "repo", "path", "line_no", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(WORD_RE), 0))).alias("word")
+    ).filter(F.length("word") >= k)
+    distinct_words = words.select("word").distinct()
+    grams = distinct_words.select(
+        "word",
+        F.explode(
+            F.array_distinct(
+                F.transform(F.sequence(F.lit(1), F.length("word") - k + 1), lambda i: F.substring(F.col("word"), i, k))
+            )
+        ).alias("gram"),
+    )
+    probes = symbols.select("symbol", F.substring("symbol", 1, k).alias("gram"))
+    pairs = grams.join(probes, "gram").filter(F.col("word").contains(F.col("symbol"))).select("word", "symbol").distinct()
+    hits = words.join(pairs, "word").select("symbol", "repo", "path", "line_no", "line")
+    return hits.dropDuplicates(["symbol", "repo", "path", "line_no"])
+
+
 def match_symbols(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """Every (symbol, line) pair where the line contains the symbol."""
     symbols = symbols.select("symbol").filter(F.col("symbol").isNotNull() & (F.col("symbol") != "")).distinct()
+    stats = symbols.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.length("symbol")).alias("kmin"),
+        F.sum(F.when(F.col("symbol").rlike(f"^{WORD_RE}$"), 0).otherwise(1)).alias("other"),
+    ).first()
+    if stats["n"] and not stats["other"]:
+        out = _match_word_symbols(lines, symbols, min(int(stats["kmin"]), MAX_GRAM))
+        return out.select("symbol", "repo", "path", "line_no", py_strip(F.col("line")).alias("text"))
     k = _bounded_chunks(symbols)
     cond = F.expr("contains(line, symbol)")
     parts = []
