@@ -114,7 +114,11 @@ def js_features(lines: Column) -> Column:
         return let(py_strip(line), lambda s: _feat(line, s))
 
     def _feat(line, s):
-        sig = line.rlike(JS_SIG_RE)
+        # the pattern needs "(...)...{" or one of its leading keywords
+        maybe = (line.contains("(") & line.contains("{")) | _contains_any(
+            line, ("function", "class", "interface", "type", "enum", "const")
+        )
+        sig = maybe & line.rlike(JS_SIG_RE)
         fn_like = _contains_any(s, ("function", "=>", "("))
         kept = _starts_any(s, JS_KEEP_PREFIXES) | sig
         net = brace_net(line)

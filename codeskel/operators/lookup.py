@@ -146,32 +146,29 @@ def _fallback_body(lines: Column, method: Column, is_py: Column) -> Column:
 
 
 def extract_method_body(
-    content: str = "content", path: str = "path", method: str = "method", py_ok: str = "py_ok"
+    lines: str = "lines", path: str = "path", method: str = "method", py_ok: str = "py_ok"
 ) -> Column:
     """The body text of ``method`` in the file, or null when not found.
 
-    ``py_ok`` is the per-file parse flag from :func:`prepare_files`.
+    ``lines`` and ``py_ok`` are the per-file columns from :func:`prepare_files`.
     """
 
     def build():
         is_py = file_ext(F.col(path)) == ".py"
+        ln, m = F.col(lines), F.col(method)
+        ast_body = F.when(is_py & F.coalesce(F.col(py_ok), F.lit(False)), _python_def_body(ln, m))
+        return F.when(F.exists(ln, lambda x: x.contains(m)), F.coalesce(ast_body, _fallback_body(ln, m, is_py)))
 
-        def go(lines):
-            ast_body = F.when(is_py & F.coalesce(F.col(py_ok), F.lit(False)), _python_def_body(lines, F.col(method)))
-            return F.coalesce(ast_body, _fallback_body(lines, F.col(method), is_py))
-
-        return F.when(F.col(content).contains(F.col(method)), let(split_lines(F.col(content)), go))
-
-    return memo_column(f"method_body:{content}:{path}:{method}:{py_ok}", build)
+    return memo_column(f"method_body:{lines}:{path}:{method}:{py_ok}", build)
 
 
 def prepare_files(files: DataFrame) -> DataFrame:
-    """Per-file inputs of the lookups, computed once per file (not per request)."""
-    parses = memo_column(
-        "python_parses:content", lambda: let(split_lines(F.col("content")), python_parses)
-    )
-    return files.select(
-        "repo", "path", "content", F.when(file_ext(F.col("path")) == ".py", parses).alias("py_ok")
+    """Per-file inputs of the lookups, computed once per file (not per request):
+    the line array and, for Python, whether the file parses."""
+    parses = memo_column("python_parses:_lines", lambda: python_parses(F.col("lines")))
+    with_lines = files.select("repo", "path", split_lines(F.col("content")).alias("lines"))
+    return with_lines.select(
+        "repo", "path", "lines", F.when(file_ext(F.col("path")) == ".py", parses).alias("py_ok")
     )
 
 
@@ -179,7 +176,7 @@ def method_bodies(files: DataFrame, requests: DataFrame) -> DataFrame:
     """J1 + X5: one row per request with status, body, tokens and the tool's text."""
     joined = requests.join(prepare_files(files), ["repo", "path"], "left")
     body = extract_method_body()
-    df = joined.select("repo", "path", "method", F.col("content").isNotNull().alias("_file"), body.alias("body"))
+    df = joined.select("repo", "path", "method", F.col("lines").isNotNull().alias("_file"), body.alias("body"))
     tokens = tokens_ceil(F.col("body"))
     status = (
         F.when(~F.col("_file"), F.lit("file not found"))

@@ -127,15 +127,46 @@ def summary_json(summary: DataFrame, history: DataFrame | None = None) -> DataFr
     return body.select("repo", F.to_json(F.struct(*fields)).alias("summary_json"))
 
 
-def scan_running_totals(metrics: DataFrame) -> DataFrame:
-    """Cumulative counters after each file, files in path order within a repo."""
-    w = Window.partitionBy("repo").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return metrics.select(
+def scan_running_totals(metrics: DataFrame, n_ranges: int | None = None) -> DataFrame:
+    """Cumulative counters after each file, files in path order within a repo.
+
+    A plain ``Window.partitionBy("repo")`` would put a repo holding a third of
+    all files into one task.  Instead the rows are range-partitioned on
+    ``(repo, path)`` (a hot repo spans many ranges), running sums are taken
+    within each (range, repo), and each range adds the totals of the earlier
+    ranges of the same repo (a table of at most ranges + repos rows).
+    """
+    spark = metrics.sparkSession
+    n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = metrics.select("repo", "path", "raw_tokens_est", "skeleton_tokens_est").repartitionByRange(n, "repo", "path")
+    base = base.withColumn("_rg", F.spark_partition_id())
+    local = Window.partitionBy("_rg", "repo").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = base.select(
+        "_rg", "repo", "path",
+        F.count(F.lit(1)).over(local).alias("_n"),
+        F.sum("raw_tokens_est").over(local).cast("long").alias("_raw"),
+        F.sum("skeleton_tokens_est").over(local).cast("long").alias("_skel"),
+    )
+    totals = base.groupBy("_rg", "repo").agg(
+        F.count(F.lit(1)).alias("_tn"),
+        F.sum("raw_tokens_est").cast("long").alias("_traw"),
+        F.sum("skeleton_tokens_est").cast("long").alias("_tskel"),
+    )
+    before = Window.partitionBy("repo").orderBy("_rg").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "_rg", "repo",
+        F.coalesce(F.sum("_tn").over(before), F.lit(0)).alias("_on"),
+        F.coalesce(F.sum("_traw").over(before), F.lit(0)).alias("_oraw"),
+        F.coalesce(F.sum("_tskel").over(before), F.lit(0)).alias("_oskel"),
+    )
+    # one row per (range, repo) present: at most n_ranges + repos rows; AQE
+    # broadcasts it when the measured size is small, else it is a shuffle join
+    return cum.join(offsets, ["_rg", "repo"]).select(
         "repo",
         "path",
-        F.count(F.lit(1)).over(w).alias("files_scanned"),
-        F.sum("raw_tokens_est").over(w).cast("long").alias("raw_tokens_cum"),
-        F.sum("skeleton_tokens_est").over(w).cast("long").alias("skeleton_tokens_cum"),
+        (F.col("_n") + F.col("_on")).alias("files_scanned"),
+        (F.col("_raw") + F.col("_oraw")).cast("long").alias("raw_tokens_cum"),
+        (F.col("_skel") + F.col("_oskel")).cast("long").alias("skeleton_tokens_cum"),
     )
 
 

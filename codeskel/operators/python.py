@@ -75,7 +75,9 @@ def _code_feats(s: Column) -> Column:
             (~c.endswith('"""') & ~c.endswith("'''") & c.endswith("\\")).alias("cont"),
         )
 
-    return let(F.regexp_replace(s, _TOKEN_RE, "$1"), feats)
+    # lines without quotes or '#' have nothing to blank: skip the regex
+    has_tokens = s.contains('"') | s.contains("'") | s.contains("#")
+    return let(F.when(has_tokens, F.regexp_replace(s, _TOKEN_RE, "$1")).otherwise(s), feats)
 
 
 def _after(line: Column, delim: str) -> Column:
@@ -88,12 +90,14 @@ def python_features(lines: Column) -> Column:
         return let(py_strip(line), lambda s: _feat(line, s))
 
     def _feat(line, s):
+        # import/assignment only matter at module level, i.e. on unindented lines
+        top = ~F.substring(line, 1, 1).rlike(f"^{WS_CLASS}")
         kind = (
-            F.when(s.rlike(r"^class\b"), F.lit(K_CLASS))
-            .when(s.rlike(r"^(async\s+)?def\b"), F.lit(K_DEF))
+            F.when(s.startswith("class") & s.rlike(r"^class\b"), F.lit(K_CLASS))
+            .when((s.startswith("def") | s.startswith("async")) & s.rlike(r"^(async\s+)?def\b"), F.lit(K_DEF))
             .when(s.startswith("@"), F.lit(K_DECO))
-            .when(s.rlike(r"^(import|from)\b"), F.lit(K_IMPORT))
-            .when(s.rlike(_ASSIGN_RE), F.lit(K_ASSIGN))
+            .when(top & s.rlike(r"^(import|from)\b"), F.lit(K_IMPORT))
+            .when(top & s.rlike(_ASSIGN_RE), F.lit(K_ASSIGN))
             .otherwise(F.lit(K_OTHER))
         )
         return F.struct(

@@ -139,8 +139,9 @@ def deep_dive_samples(metrics: DataFrame, files: DataFrame) -> DataFrame:
     """W3 + X6 + X7: for each sampled file the first candidate whose fetched text
     (banner and body) has neither "not found" nor "Error"."""
     sampled = sampled_files(metrics, files)
-    f = prepare_files(files.join(sampled, ["repo", "path"], "left_semi"))
-    cands = callable_candidates(f.select("repo", "path", "content"))
+    picked = files.join(sampled, ["repo", "path"], "left_semi")
+    f = prepare_files(picked)
+    cands = callable_candidates(picked.select("repo", "path", "content"))
     tried = cands.join(f, ["repo", "path"]).join(sampled, ["repo", "path"])
     body = extract_method_body(method="name")
     tried = tried.withColumn("body", body)
