@@ -452,11 +452,11 @@ m AS (SELECT sy.symbol, dl.repo, dl.path, dl.line_no, {strip_sql('dl.line')} AS
 
 # ------------------------------------------------------------------ lookups
 
-def _method_bodies_ctes() -> str:
+def _method_bodies_ctes(req_sql: str | None = None, extra_ctes: str = "") -> str:
     from ..sources.fixtures import method_requests_sql
 
-    return f"""WITH {code_files_cte('duckdb')},
-req AS ({method_requests_sql()}),
+    return f"""WITH {code_files_cte('duckdb')},{extra_ctes}
+req AS ({req_sql or method_requests_sql()}),
 f AS (SELECT repo, path, content, {ext_sql('path')} AS ext, {splitlines_sql('content')} AS arr FROM code_files),
 ln AS (SELECT repo, path, ext, len(arr) AS n, generate_subscripts(arr, 1) - 1 AS i, unnest(arr) AS line FROM f),
 lnf AS (
@@ -687,3 +687,35 @@ FROM sm GROUP BY repo"""
 
 def scan_tree() -> str:
     return f"WITH {code_files_cte('duckdb')}\nSELECT repo, path, content FROM code_files"
+
+
+def deep_dive_samples() -> str:
+    head = strip_sql("replace(replace(split_part(s, '(', 1), 'def ', ''), 'function ', '')")
+    extra = f"""
+scn AS (SELECT repo, path FROM code_files WHERE {scan_pred_sql('path')}),
+hl AS (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY path DESC) AS rd FROM scn),
+h20 AS (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY path) AS rank FROM hl WHERE rd <= 20),
+smp AS (SELECT repo, path, rank FROM h20 WHERE rank <= 4),
+dl0 AS (SELECT c.repo, c.path, s.rank, {splitlines_sql('c.content')} AS arr
+        FROM code_files c JOIN smp s ON s.repo = c.repo AND s.path = c.path),
+dl1 AS (SELECT repo, path, rank, generate_subscripts(arr, 1) AS line_no, unnest(arr) AS line FROM dl0),
+dc AS (SELECT repo, path, rank, line_no, {head} AS head
+       FROM (SELECT *, {strip_sql('line')} AS s FROM dl1)
+       WHERE (starts_with(s, 'def ') OR starts_with(s, 'function ') OR contains(line, ' class ')) AND contains(s, '(')),
+dc2 AS (SELECT *, CASE WHEN head = '' THEN '' ELSE string_split_regex(head, {_q(_WS + '+')})[-1] END AS name FROM dc),
+dbad AS (SELECT repo, path, min(line_no) AS b FROM dc2 WHERE name = '' GROUP BY repo, path),
+cc AS (SELECT dc2.repo, dc2.path, dc2.rank, dc2.line_no, dc2.name FROM dc2
+       LEFT JOIN dbad ON dbad.repo = dc2.repo AND dbad.path = dc2.path
+       WHERE (dbad.b IS NULL OR dc2.line_no < dbad.b) AND dc2.name <> ''),"""
+    req = "SELECT DISTINCT repo, path, name AS method FROM cc"
+    return _method_bodies_ctes(req, extra) + """,
+acc AS (
+  SELECT cc.repo, cc.path, cc.rank, cc.line_no, cc.name AS method,
+         '=== METHOD BODY: ' || cc.name || ' in ' || cc.path || ' (~' || cast(m.tokens AS VARCHAR) || ' tokens) ==='
+         || chr(10) || m.body AS text
+  FROM cc JOIN mb2 m ON m.repo = cc.repo AND m.path = cc.path AND m.method = cc.name
+  WHERE m.status = 'found'
+),
+acc2 AS (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY line_no) AS k
+         FROM acc WHERE NOT contains(text, 'not found') AND NOT contains(text, 'Error'))
+SELECT repo, cast(rank AS INTEGER) AS rank, path, cast(line_no AS INTEGER) AS line_no, method, text FROM acc2 WHERE k = 1"""
