@@ -719,3 +719,29 @@ acc AS (
 acc2 AS (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY line_no) AS k
          FROM acc WHERE NOT contains(text, 'not found') AND NOT contains(text, 'Error'))
 SELECT repo, cast(rank AS INTEGER) AS rank, path, cast(line_no AS INTEGER) AS line_no, method, text FROM acc2 WHERE k = 1"""
+
+
+def summary_json() -> str:
+    """Spark's compact JSON of the summary struct, with the last-20 history."""
+    hist = scan_history_last20().replace(
+        "\nSELECT repo, filename, raw_tokens, skeleton_tokens, saved_tokens, reduction_pct,\n       cast(cnt - rd + 1 AS INTEGER) AS seq",
+        ",\nlh AS (SELECT repo, filename, raw_tokens, skeleton_tokens, saved_tokens, reduction_pct,\n       cast(cnt - rd + 1 AS INTEGER) AS seq",
+        1,
+    )
+    item = ("'{\"filename\":\"' || filename || '\",\"raw_tokens\":' || cast(raw_tokens AS VARCHAR) || "
+            "',\"skeleton_tokens\":' || cast(skeleton_tokens AS VARCHAR) || ',\"saved_tokens\":' || "
+            "cast(saved_tokens AS VARCHAR) || ',\"reduction_pct\":' || cast(reduction_pct AS VARCHAR) || '}'")
+    summ = _summary_select("sm", "repo")
+    return hist + f"""),
+su AS ({summ}),
+hj AS (SELECT repo, '[' || string_agg({item}, ',' ORDER BY seq) || ']' AS history FROM lh GROUP BY repo)
+SELECT su.repo, '{{"total_files_scanned":' || cast(total_files_scanned AS VARCHAR)
+  || ',"total_raw_tokens":' || cast(total_raw_tokens AS VARCHAR)
+  || ',"total_skeleton_tokens":' || cast(total_skeleton_tokens AS VARCHAR)
+  || ',"selective_method_fetches":' || cast(selective_method_fetches AS VARCHAR)
+  || ',"method_tokens_fetched":' || cast(method_tokens_fetched AS VARCHAR)
+  || ',"total_consumed_tokens":' || cast(total_consumed_tokens AS VARCHAR)
+  || ',"saved_tokens":' || cast(saved_tokens AS VARCHAR)
+  || ',"reduction_pct":' || cast(reduction_pct AS VARCHAR)
+  || ',"compression_ratio":"' || compression_ratio || '","history":' || coalesce(hj.history, '[]') || '}}' AS summary_json
+FROM su LEFT JOIN hj ON hj.repo = su.repo"""
