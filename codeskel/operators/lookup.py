@@ -80,8 +80,11 @@ def _block_depth(lines: Column, i: Column) -> Column:
     return F.size(F.filter(stack, lambda e: e < ind)) + 1
 
 
-def _python_def_body(lines: Column, method: Column) -> Column:
-    """Body of the first ``def method`` in breadth-first order, or null."""
+def _python_def_body(lines: Column, code_ind: Column, method: Column) -> Column:
+    """Body of the first ``def method`` in breadth-first order, or null.
+
+    ``code_ind`` holds each line's indent, -1 for blank and comment lines.
+    """
     n = F.size(lines)
     pat = F.concat(F.lit("^(?:async\\s+)?def\\s+"), regex_quote(method), F.lit("\\s*\\("))
     cands = F.filter(
@@ -90,22 +93,24 @@ def _python_def_body(lines: Column, method: Column) -> Column:
     )
 
     def body(i):
-        ind = indent_width(F.get(lines, i))
-        nxt = F.filter(
-            F.sequence(i + 1, n), lambda j: (j == n) | (_is_code(F.get(lines, j)) & (indent_width(F.get(lines, j)) <= ind))
+        ind = F.get(code_ind, i)
+        stop = F.get(
+            F.filter(F.sequence(i + 1, n), lambda j: (j == n) | ((F.get(code_ind, j) >= 0) & (F.get(code_ind, j) <= ind))),
+            0,
         )
-        stop = F.get(nxt, 0)
-        last = F.array_max(F.filter(F.sequence(i, stop - 1), lambda j: (j == i) | _is_code(F.get(lines, j))))
+        last = F.array_max(F.filter(F.sequence(i, stop - 1), lambda j: (j == i) | (F.get(code_ind, j) >= 0)))
         return F.array_join(F.slice(lines, i + 1, last - i + 1), "\n")
 
     def pick(cs):
-        best = F.array_min(F.transform(cs, lambda i: F.struct(_block_depth(lines, i).alias("d"), i.alias("i"))))
-        return F.when(F.size(cs) > 0, let(best["i"], body))
+        # breadth-first order only matters when several defs share the name
+        by_depth = F.array_min(F.transform(cs, lambda i: F.struct(_block_depth(lines, i).alias("d"), i.alias("i"))))["i"]
+        first = F.when(F.size(cs) == 1, F.get(cs, 0)).otherwise(by_depth)
+        return F.when(F.size(cs) > 0, let(first, body))
 
     return let(cands, pick)
 
 
-def _fallback_body(lines: Column, method: Column, is_py: Column) -> Column:
+def _fallback_body(lines: Column, code_ind: Column, nets: Column, method: Column, is_py: Column) -> Column:
     """Regex start line plus the bounded block rule, or null."""
     n = F.size(lines)
     pat = start_pattern(method)
@@ -120,24 +125,20 @@ def _fallback_body(lines: Column, method: Column, is_py: Column) -> Column:
         py_stop = F.get(
             F.filter(
                 F.sequence(s + 1, F.greatest(last_j, s + 1)),
-                lambda j: (j <= last_j) & _is_code(F.get(lines, j)) & (indent_width(F.get(lines, j)) <= ind),
+                lambda j: (j <= last_j) & (F.get(code_ind, j) >= 0) & (F.get(code_ind, j) <= ind),
             ),
             0,
         )
 
-        def brace_step(a, ln):
-            total = a["bc"] + brace_net(ln)
-            hit = a["stop"].isNull() & (total <= 0) & ln.contains("}")
-            return F.struct(
-                total.alias("bc"),
-                F.when(hit, a["j"]).otherwise(a["stop"]).alias("stop"),
-                (a["j"] + 1).alias("j"),
-            )
+        def brace_step(a, j):
+            total = a["bc"] + F.get(nets, j)
+            hit = a["stop"].isNull() & (total <= 0) & F.get(lines, j).contains("}")
+            return F.struct(total.alias("bc"), F.when(hit, j).otherwise(a["stop"]).alias("stop"))
 
         brace = F.aggregate(
-            F.slice(lines, s + 2, F.greatest(last_j - s, F.lit(0))),
-            F.struct(brace_net(F.get(lines, s)).alias("bc"), F.lit(None).cast("int").alias("stop"), (s + 1).alias("j")),
-            brace_step,
+            F.sequence(s + 1, F.greatest(last_j, s + 1)),
+            F.struct(F.get(nets, s).alias("bc"), F.lit(None).cast("int").alias("stop")),
+            lambda a, j: F.when(j <= last_j, brace_step(a, j)).otherwise(a),
         )["stop"]
         stop = F.coalesce(F.when(is_py, py_stop).otherwise(brace), last_j)
         return F.array_join(F.slice(lines, s + 1, stop - s + 1), "\n")
@@ -150,25 +151,35 @@ def extract_method_body(
 ) -> Column:
     """The body text of ``method`` in the file, or null when not found.
 
-    ``lines`` and ``py_ok`` are the per-file columns from :func:`prepare_files`.
+    ``lines``, ``code_ind``, ``nets`` and ``py_ok`` are the per-file columns from
+    :func:`prepare_files`, so each request only scans integers and the lines
+    that contain the name.
     """
 
     def build():
         is_py = file_ext(F.col(path)) == ".py"
         ln, m = F.col(lines), F.col(method)
-        ast_body = F.when(is_py & F.coalesce(F.col(py_ok), F.lit(False)), _python_def_body(ln, m))
-        return F.when(F.exists(ln, lambda x: x.contains(m)), F.coalesce(ast_body, _fallback_body(ln, m, is_py)))
+        ci, nets = F.col("code_ind"), F.col("nets")
+        ast_body = F.when(is_py & F.coalesce(F.col(py_ok), F.lit(False)), _python_def_body(ln, ci, m))
+        return F.when(F.exists(ln, lambda x: x.contains(m)), F.coalesce(ast_body, _fallback_body(ln, ci, nets, m, is_py)))
 
-    return memo_column(f"method_body:{lines}:{path}:{method}:{py_ok}", build)
+    return memo_column(f"method_body:{lines}:{path}:{method}:{py_ok}:v2", build)
 
 
 def prepare_files(files: DataFrame) -> DataFrame:
     """Per-file inputs of the lookups, computed once per file (not per request):
-    the line array and, for Python, whether the file parses."""
+    the line array, each line's indent (-1 for blank/comment lines), each line's
+    brace net and, for Python, whether the file parses."""
     parses = memo_column("python_parses:_lines", lambda: python_parses(F.col("lines")))
+    code_ind = memo_column(
+        "code_ind:lines",
+        lambda: F.transform(F.col("lines"), lambda ln: F.when(_is_code(ln), indent_width(ln)).otherwise(F.lit(-1)).cast("int")),
+    )
+    nets = memo_column("nets:lines", lambda: F.transform(F.col("lines"), brace_net))
     with_lines = files.select("repo", "path", split_lines(F.col("content")).alias("lines"))
     return with_lines.select(
-        "repo", "path", "lines", F.when(file_ext(F.col("path")) == ".py", parses).alias("py_ok")
+        "repo", "path", "lines", code_ind.alias("code_ind"), nets.alias("nets"),
+        F.when(file_ext(F.col("path")) == ".py", parses).alias("py_ok"),
     )
 
 
