@@ -20,7 +20,7 @@ from ..operators import search as S
 from ..operators import prompts as P
 from ..operators.brace import c_features, c_ranges, js_features, js_ranges
 from ..operators.python import collapse_dropped
-from ..operators.skeleton import file_ext, language
+from ..operators.skeleton import file_ext, language, memo_column
 from ..sources.files import repo_ref_normalise as _refs
 from ..functions.arrays import let
 from . import report as R
@@ -191,11 +191,15 @@ def skeleton_gaps(spark, sf):
 def body_ranges(spark, sf):
     """K6: compressed body ranges of brace-language files, 1-based lines."""
     cf = code_files(spark, sf)
-    lines = split_lines(F.col("content"))
-    lang = language(file_ext(F.col("path")))
-    rng = F.when(lang == "js_ts", let(js_features(lines), js_ranges)).when(
-        lang == "c_like", let(c_features(lines), c_ranges)
-    )
+
+    def build():
+        lines = split_lines(F.col("content"))
+        lang = language(file_ext(F.col("path")))
+        return F.when(lang == "js_ts", let(js_features(lines), js_ranges)).when(
+            lang == "c_like", let(c_features(lines), c_ranges)
+        )
+
+    rng = memo_column("body_ranges:content:path", build)
     return cf.select("repo", "path", F.explode(rng).alias("r")).select(
         "repo", "path", (F.col("r.o") + 1).alias("body_start"), (F.col("r.c") + 1).alias("body_end")
     )
