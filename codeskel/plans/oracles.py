@@ -745,3 +745,51 @@ SELECT su.repo, '{{"total_files_scanned":' || cast(total_files_scanned AS VARCHA
   || ',"reduction_pct":' || cast(reduction_pct AS VARCHAR)
   || ',"compression_ratio":"' || compression_ratio || '","history":' || coalesce(hj.history, '[]') || '}}' AS summary_json
 FROM su LEFT JOIN hj ON hj.repo = su.repo"""
+
+
+def repo_report() -> str:
+    """The markdown report composed from the summary, diagram, deep-dive and map oracles."""
+    lit = _q
+
+    def num(x: str) -> str:
+        return f"format('{{:,}}', {x})"
+
+    report = " || ".join([
+        lit("# Repository Architecture & Codebase Wiki: `"), "su.repo",
+        lit("`\n\nGenerated by codeskel.\n\n---\n\n## Token Context Reduction Metrics\n\n- **Target Repository**: `"),
+        "su.repo", lit("`\n- **Total Files Scanned**: "), "cast(su.total_files_scanned AS VARCHAR)",
+        lit("\n- **Raw Uncompressed Tokens**: ~"), num("su.total_raw_tokens"),
+        lit("\n- **Skeletonized Tokens**: ~"), num("su.total_skeleton_tokens"),
+        lit("\n- **Tokens Saved**: ~"), num("su.saved_tokens"),
+        lit("\n- **Context Reduction**: **"), "cast(su.reduction_pct AS VARCHAR)",
+        lit("%**\n- **Compression Ratio**: **"), "su.compression_ratio",
+        lit("**\n\n---\n\n## Component Interaction Sequence Flow\n\n```mermaid\n"), "dg.diagram",
+        lit("\n```\n\n---\n\n"),
+        "CASE WHEN bb.b IS NULL THEN '' ELSE " + lit("\n### Deep-Dive Method Implementations\n\n") + " || bb.b END",
+        lit("\n\n## Structural Skeleton Overview\n\n```\n"), "coalesce(ex.excerpt, '')",
+        lit("\n... [Truncated for Wiki summary]\n```\n\n---\n\n*Synthesized by codeskel.*\n"),
+    ])
+    snippet_item = " || ".join([
+        lit("#### Target: `"), "path", lit(":"), "method", lit("`\n```\n"), "substring(text, 1, 500)", lit("\n```\n\n"),
+    ])
+    return f"""WITH
+su AS ({repo_summary()}),
+dg AS ({sequence_diagram()}),
+dd AS ({deep_dive_samples()}),
+mp AS ({skeleton_map()}),
+bb AS (SELECT repo, string_agg({snippet_item}, '' ORDER BY k) AS b
+       FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY rank) AS k FROM dd) WHERE k <= 3 GROUP BY repo),
+me AS (SELECT repo, string_agg(entry, chr(10) ORDER BY path) AS entries
+       FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS rn FROM mp WHERE path IS NOT NULL)
+       WHERE rn <= 60 GROUP BY repo),
+ex AS (SELECT h.repo, substring(h.entry || coalesce(me.entries, ''), 1, 3500) AS excerpt
+       FROM (SELECT repo, entry FROM mp WHERE path IS NULL) h LEFT JOIN me ON me.repo = h.repo)
+SELECT su.*, dg.diagram, {report} AS markdown_report
+FROM su LEFT JOIN dg ON dg.repo = su.repo LEFT JOIN bb ON bb.repo = su.repo LEFT JOIN ex ON ex.repo = su.repo"""
+
+
+def repo_report_snippet() -> str:
+    return f"""WITH r AS ({repo_report()})
+SELECT repo, total_files_scanned, total_raw_tokens, total_skeleton_tokens, saved_tokens, reduction_pct,
+       compression_ratio, array_to_string({splitlines_sql('markdown_report')}[1:25], chr(10)) AS snippet
+FROM r"""
