@@ -138,27 +138,40 @@ def python_fold(feats: Column) -> Column:
     )
 
     def step(a, f):
-        return let(F.filter(a["stack"], lambda e: e["ind"] < f["ind"]), lambda stack_p: _step(a, f, stack_p))
-
-    def _step(a, f, stack_p):
-        i = a["i"]
+        # quote/bracket state after this line, and whether it starts a statement
         g = F.when(a["q"] == "", f["n0"]).when(a["q"] == '"""', f["nd"]).otherwise(f["ns"])
-        in_str_whole = (a["q"] != "") & g.isNull()
-        q2 = F.when(in_str_whole, a["q"]).otherwise(g["q"])
-        depth2 = F.when(in_str_whole, a["depth"]).otherwise(a["depth"] + g["net"])
-        cont2 = F.when(in_str_whole, F.lit(False)).otherwise(g["cont"])
+        whole = (a["q"] != "") & g.isNull()
         start = (a["q"] == "") & (a["depth"] == 0) & ~a["cont"] & ~f["blank"]
-        end = (q2 == "") & (depth2 == 0) & ~cont2
-        ind, kind = f["ind"], f["kind"]
-        deeper = ind > a["pind"]
-        resolve_def = start & (a["pend"] == P_DEF) & deeper & (kind != K_DECO)
-        is_doc = start & (a["pend"] != P_NONE) & deeper & f["isstr"]
-        reach = F.forall(stack_p, lambda e: e["blk"])
-        is_cd = start & reach & ((kind == K_CLASS) | (kind == K_DEF))
-        is_cls = is_cd & (kind == K_CLASS)
-        is_def = is_cd & (kind == K_DEF)
-        top_keep = start & (F.size(stack_p) == 0) & ((kind == K_IMPORT) | (kind == K_ASSIGN))
-        keep_from = F.when(is_doc | top_keep, i).otherwise(a["keep_from"])
+        d = F.struct(
+            F.when(whole, a["q"]).otherwise(g["q"]).alias("q2"),
+            F.when(whole, a["depth"]).otherwise(a["depth"] + g["net"]).alias("depth2"),
+            F.when(whole, F.lit(False)).otherwise(g["cont"]).alias("cont2"),
+            start.alias("start"),
+            F.when(start, F.filter(a["stack"], lambda e: e["ind"] < f["ind"])).otherwise(a["stack"]).alias("sp"),
+        )
+        return let(d, lambda d: _decide(a, f, d))
+
+    def _decide(a, f, d):
+        # every derived flag is evaluated once per line (lambdas have no CSE)
+        start, sp, kind = d["start"], d["sp"], f["kind"]
+        deeper = f["ind"] > a["pind"]
+        e = F.struct(
+            (start & F.forall(sp, lambda x: x["blk"])).alias("reach"),
+            ((d["q2"] == "") & (d["depth2"] == 0) & ~d["cont2"]).alias("end"),
+            (start & (a["pend"] == P_DEF) & deeper & (kind != K_DECO)).alias("resolve_def"),
+            (start & (a["pend"] != P_NONE) & deeper & f["isstr"]).alias("is_doc"),
+            (start & (F.size(sp) == 0) & ((kind == K_IMPORT) | (kind == K_ASSIGN))).alias("top_keep"),
+            (start & (a["pend"] == P_DEF) & (kind == K_DECO) & deeper).alias("pend_keep"),
+        )
+        return let(e, lambda e: _advance(a, f, d, e))
+
+    def _advance(a, f, d, e):
+        i, kind, ind = a["i"], f["kind"], f["ind"]
+        start, end, resolve_def = d["start"], e["end"], e["resolve_def"]
+        is_cd = e["reach"] & ((kind == K_CLASS) | (kind == K_DEF))
+        is_cls = e["reach"] & (kind == K_CLASS)
+        is_def = e["reach"] & (kind == K_DEF)
+        keep_from = F.when(e["is_doc"] | e["top_keep"], i).otherwise(a["keep_from"])
 
         segs = a["segs"]
         segs = F.when(resolve_def & (a["pstart"] <= i - 1), F.concat(segs, F.array(_seg(a["pstart"], i - 1)))).otherwise(
@@ -169,46 +182,46 @@ def python_fold(feats: Column) -> Column:
             F.concat(
                 segs,
                 # decorators already inside a just-resolved header range are not repeated
-                F.transform(F.when(resolve_def, empty("array<int>")).otherwise(a["decos"]), lambda d: _seg(d, d)),
+                F.transform(F.when(resolve_def, empty("array<int>")).otherwise(a["decos"]), lambda x: _seg(x, x)),
                 F.when(is_cls, F.array(_seg(i, i))).otherwise(empty(SEG_TYPE)),
             ),
         ).otherwise(segs)
         segs = F.when(end & (keep_from >= 0), F.concat(segs, F.array(_seg(keep_from, i)))).otherwise(segs)
 
-        pend_keep = (a["pend"] == P_DEF) & (kind == K_DECO) & deeper
         pend = (
             F.when(~start, a["pend"])
             .when(is_cls, F.lit(P_CLASS))
             .when(is_def, F.lit(P_DEF))
-            .when(pend_keep, a["pend"])
+            .when(e["pend_keep"], a["pend"])
             .otherwise(F.lit(P_NONE))
         )
         decos = (
             F.when(~start, a["decos"])
-            .when(reach & (kind == K_DECO), F.concat(a["decos"], F.array(i)))
+            .when(e["reach"] & (kind == K_DECO), F.concat(a["decos"], F.array(i)))
             .otherwise(empty("array<int>"))
         )
         stack = F.when(
-            start, F.concat(stack_p, F.array(F.struct(ind.alias("ind"), ((kind == K_CLASS) | (kind == K_DEF)).alias("blk"))))
+            start,
+            F.concat(d["sp"], F.array(F.struct(ind.alias("ind"), ((kind == K_CLASS) | (kind == K_DEF)).alias("blk")))),
         ).otherwise(a["stack"])
 
         return F.struct(
-            q2.alias("q"),
-            depth2.alias("depth"),
-            cont2.alias("cont"),
+            d["q2"].alias("q"),
+            d["depth2"].alias("depth"),
+            d["cont2"].alias("cont"),
             (i + 1).alias("i"),
             (a["nstmt"] + F.when(start, 1).otherwise(0)).alias("nstmt"),
             (a["moddoc"] | (start & (a["nstmt"] == 0) & f["isstr"])).alias("moddoc"),
             stack.alias("stack"),
             pend.alias("pend"),
-            F.when(start & is_cd, ind).otherwise(a["pind"]).alias("pind"),
-            F.when(start & is_def, i).otherwise(a["pstart"]).alias("pstart"),
+            F.when(is_cd, ind).otherwise(a["pind"]).alias("pind"),
+            F.when(is_def, i).otherwise(a["pstart"]).alias("pstart"),
             decos.alias("decos"),
             F.when(end, F.lit(-1)).otherwise(keep_from).alias("keep_from"),
             segs.alias("segs"),
             (a["classes"] + F.when(is_cls, 1).otherwise(0)).alias("classes"),
             (a["methods"] + F.when(is_def, 1).otherwise(0)).alias("methods"),
-            (a["bad"] | (depth2 < 0)).alias("bad"),
+            (a["bad"] | (d["depth2"] < 0)).alias("bad"),
         )
 
     def finish(a):

@@ -114,8 +114,8 @@ def skeleton_column(content: str, lines: str, lang: str) -> Column:
         py = let(skeleton_python(ln), lambda p: F.when(p["malformed"], generic).otherwise(_pick(p)))
         return (
             F.when(lg == "python", py)
-            .when(lg == "js_ts", _pick(skeleton_js_ts(ln)))
-            .when(lg == "c_like", _pick(skeleton_c_like(ln)))
+            .when(lg == "js_ts", let(skeleton_js_ts(ln), _pick))
+            .when(lg == "c_like", let(skeleton_c_like(ln), _pick))
             .otherwise(generic)
         )
 
