@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip, split_lf_lines
+from ..session import ensure_checkpoint_dir
 
 # --- fixed values ---------------------------------------------------------
 TOP_N = 50
@@ -104,12 +105,17 @@ def match_symbols(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     return out.select("symbol", "repo", "path", "line_no", py_strip(F.col("line")).alias("text"))
 
 
-def reference_report(matches: DataFrame, symbols: DataFrame, n: int = TOP_N) -> DataFrame:
+def reference_report(matches: DataFrame, symbols: DataFrame, n: int = TOP_N, materialize: bool = False) -> DataFrame:
     """Per (symbol, repo): total ``ref_count`` and the first ``n`` matches in path/line order.
 
     Symbols without any match keep one row with ``ref_count`` 0 (the "no
-    references" case).
+    references" case).  The matches feed both the counts and the top rows;
+    with ``materialize`` they are computed once and checkpointed to the shared
+    checkpoint folder instead of being recomputed for each consumer.
     """
+    if materialize:
+        ensure_checkpoint_dir(matches.sparkSession)
+        matches = matches.checkpoint(eager=True)
     counts = matches.groupBy("symbol", "repo").agg(F.count(F.lit(1)).alias("ref_count"))
     w = Window.partitionBy("symbol", "repo").orderBy("path", "line_no")
     top = matches.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)

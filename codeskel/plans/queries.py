@@ -162,7 +162,7 @@ def find_references(spark, sf):
 def find_references_multi(spark, sf):
     lines = S.search_lines(_doc_files(spark, sf))
     syms = _benchmark_symbols(spark, sf)
-    return S.reference_report(S.match_symbols(lines, syms), syms)
+    return S.reference_report(S.match_symbols(lines, syms), syms, materialize=True)
 
 
 # ------------------------------------------------------------------ lookups

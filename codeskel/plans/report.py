@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.text import WS_CLASS, py_strip, split_lines
 from ..operators import metrics as M
 from ..operators.lookup import extract_method_body, prepare_files
@@ -119,17 +120,18 @@ def callable_candidates(files: DataFrame) -> DataFrame:
         name = F.element_at(F.split(head, f"{WS_CLASS}+"), -1)
         return F.struct(is_c.alias("c"), name.alias("name"))
 
-    lines = split_lines(F.col("content"))
-    df = files.select("repo", "path", F.posexplode(F.transform(lines, cand)).alias("pos", "k")).filter(F.col("k.c"))
-    df = df.select("repo", "path", (F.col("pos") + 1).cast("int").alias("line_no"), F.col("k.name").alias("name"))
-    # a nameless candidate abandons the rest of the file
-    bad = df.filter(F.col("name") == "").groupBy("repo", "path").agg(F.min("line_no").alias("_bad"))
-    return (
-        df.join(bad, ["repo", "path"], "left")
-        .filter(F.col("_bad").isNull() | (F.col("line_no") < F.col("_bad")))
-        .filter(F.col("name") != "")
-        .drop("_bad")
-    )
+    def per_file(lines):
+        tagged = F.transform(lines, lambda ln, i: F.struct((i + 1).alias("line_no"), cand(ln).alias("k")))
+
+        def cut(cands):
+            # a nameless candidate abandons the rest of the file
+            first_bad = F.array_min(F.transform(F.filter(cands, lambda t: t["k"]["name"] == ""), lambda t: t["line_no"]))
+            return let(first_bad, lambda bad: F.filter(cands, lambda t: bad.isNull() | (t["line_no"] < bad)))
+
+        return let(F.filter(tagged, lambda t: t["k"]["c"]), cut)
+
+    kept = files.select("repo", "path", F.explode(let(split_lines(F.col("content")), per_file)).alias("t"))
+    return kept.select("repo", "path", F.col("t.line_no").cast("int").alias("line_no"), F.col("t.k.name").alias("name"))
 
 
 # ------------------------------------------------------------------ X7, J4
