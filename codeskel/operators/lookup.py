@@ -120,8 +120,10 @@ def _fallback_body(lines: Column, code_ind: Column, nets: Column, method: Column
     )
 
     def body(s):
+        return let(indent_width(F.get(lines, s)), lambda ind: _body(s, ind))
+
+    def _body(s, ind):
         last_j = F.least(s + BODY_MAX_LINES - 1, n - 1)
-        ind = indent_width(F.get(lines, s))
         py_stop = F.get(
             F.filter(
                 F.sequence(s + 1, F.greatest(last_j, s + 1)),
