@@ -28,8 +28,9 @@ JS_DECL_PREFIXES = ("const ", "let ", "var ")
 C_KEEP_PREFIXES = ("package ", "import ", "#include", "using ", "//", "/*", "*", "@")
 C_KEEP_CONTAINS = ("class ", "interface ")
 C_CLASS_CONTAINS = ("class ", "interface ", "struct ")
-# Marker text; the indent is the opener's indent plus 2 (JS/TS) or 4 (C-like).
-BODY_MARKER = "/* [Body compressed: {n} lines] */"
+# Marker text around the line count; the indent is the opener's indent plus
+# 2 (JS/TS) or 4 (C-like).
+BODY_MARKER = ("/* [Body compressed: ", " lines] */")
 # --------------------------------------------------------------------------
 
 
@@ -57,9 +58,9 @@ def brace_net(line: Column) -> Column:
 def _marker(feats: Column, opener: Column, close_idx: Column, extra_indent: str) -> Column:
     return F.concat(
         F.get(feats, opener)["ws"],
-        F.lit(extra_indent + "/* [Body compressed: "),
+        F.lit(extra_indent + BODY_MARKER[0]),
         (close_idx - opener).cast("string"),
-        F.lit(" lines] */"),
+        F.lit(BODY_MARKER[1]),
     )
 
 

@@ -29,9 +29,9 @@ from .skeleton import file_ext, memo_column
 START_KEYWORDS = ("def", "function", "async", "public", "private", "protected", "static")
 # At most this many further lines follow the start line.
 BODY_MAX_LINES = 150
-NOT_FOUND_FILE = "Error: File '{path}' not found."
-NOT_FOUND_METHOD = "Method '{method}' not found in '{path}'."
-BODY_BANNER = "=== METHOD BODY: {method} in {path} (~{tokens} tokens) ==="
+NOT_FOUND_FILE = "Error: File '%s' not found."
+NOT_FOUND_METHOD = "Method '%s' not found in '%s'."
+BODY_BANNER = "=== METHOD BODY: %s in %s (~%d tokens) ==="
 # --------------------------------------------------------------------------
 
 
@@ -197,11 +197,11 @@ def method_bodies(files: DataFrame, requests: DataFrame) -> DataFrame:
         .otherwise(F.lit("found"))
     )
     text = (
-        F.when(status == "file not found", F.format_string("Error: File '%s' not found.", F.col("path")))
-        .when(status == "method not found", F.format_string("Method '%s' not found in '%s'.", F.col("method"), F.col("path")))
+        F.when(status == "file not found", F.format_string(NOT_FOUND_FILE, F.col("path")))
+        .when(status == "method not found", F.format_string(NOT_FOUND_METHOD, F.col("method"), F.col("path")))
         .otherwise(
             F.concat(
-                F.format_string("=== METHOD BODY: %s in %s (~%d tokens) ===", F.col("method"), F.col("path"), tokens),
+                F.format_string(BODY_BANNER, F.col("method"), F.col("path"), tokens),
                 F.lit("\n"),
                 F.col("body"),
             )

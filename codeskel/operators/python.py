@@ -31,7 +31,7 @@ PY_KEYWORDS = (
     "finally for from global if import in is lambda nonlocal not or pass raise return try while with yield"
 ).split()
 # Gap marker; the indent is the width of the line before the gap plus 4.
-GAP_MARKER = "...  # [Body compressed: {n} lines]"
+GAP_MARKER = ("...  # [Body compressed: ", " lines]")
 # Lines kept when the module has a docstring (1-based, inclusive).
 MODULE_DOC_LINES = 9
 # --------------------------------------------------------------------------
@@ -258,9 +258,9 @@ def collapse_gaps(lines: Column, segs: Column) -> Column:
             F.array(
                 F.concat(
                     F.repeat(F.lit(" "), width + 4),
-                    F.lit("...  # [Body compressed: "),
+                    F.lit(GAP_MARKER[0]),
                     (ge - gs + 1).cast("string"),
-                    F.lit(" lines]"),
+                    F.lit(GAP_MARKER[1]),
                 )
             ),
         ).otherwise(empty("array<string>"))

@@ -25,7 +25,7 @@ C_EXTS = (".java", ".cpp", ".c", ".cs")
 GENERIC_MAX_LINES = 30
 GENERIC_HEAD = 15
 GENERIC_TAIL = 10
-GENERIC_MARKER = "# ... [Compressed {n} lines] ..."
+GENERIC_MARKER = ("# ... [Compressed ", " lines] ...")
 # --------------------------------------------------------------------------
 
 METRIC_COLUMNS = [
@@ -50,7 +50,8 @@ def file_ext(path) -> Column:
 
 def skeleton_generic(content: Column, lines: Column) -> Column:
     n = F.size(lines)
-    marker = F.concat(F.lit("# ... [Compressed "), (n - 25).cast("string"), F.lit(" lines] ..."))
+    dropped = n - (GENERIC_HEAD + GENERIC_TAIL)
+    marker = F.concat(F.lit(GENERIC_MARKER[0]), dropped.cast("string"), F.lit(GENERIC_MARKER[1]))
     compressed = F.array_join(
         F.concat(F.slice(lines, 1, GENERIC_HEAD), F.array(marker), F.slice(lines, -GENERIC_TAIL, GENERIC_TAIL)), "\n"
     )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import let
 from ..functions.text import WS_CLASS, py_strip, split_lines
 from ..operators import metrics as M
-from ..operators.lookup import extract_method_body, prepare_files
+from ..operators.lookup import BODY_BANNER, extract_method_body, prepare_files
 from ..operators.skeleton import skeletonize
 from ..sources.files import scan_supported_files
 
@@ -148,7 +148,7 @@ def deep_dive_samples(metrics: DataFrame, files: DataFrame) -> DataFrame:
     body = extract_method_body(method="name")
     tried = tried.withColumn("body", body)
     text = F.concat(
-        F.format_string("=== METHOD BODY: %s in %s (~%d tokens) ===", F.col("name"), F.col("path"),
+        F.format_string(BODY_BANNER, F.col("name"), F.col("path"),
                         F.greatest(F.lit(1), F.ceil(F.length("body") / F.lit(3.8))).cast("int")),
         F.lit("\n"),
         F.col("body"),

@@ -76,11 +76,12 @@ def repo_ref_normalise(refs: DataFrame, ref: str = "ref") -> DataFrame:
         t.startswith("http://")
         | t.startswith("https://")
         | t.startswith("git@")
-        | t.contains("github.com")
-        | t.contains("gitlab.com")
+        | t.contains(URL_HOSTS[0])
+        | t.contains(URL_HOSTS[1])
         | t.endswith(".git")
     )
-    url = F.when(t.startswith("github.com/") | t.startswith("gitlab.com/"), F.concat(F.lit("https://"), t)).otherwise(t)
+    bare = t.startswith(URL_HOSTS[0] + "/") | t.startswith(URL_HOSTS[1] + "/")
+    url = F.when(bare, F.concat(F.lit("https://"), t)).otherwise(t)
     url_name = F.replace(F.element_at(F.split(F.regexp_replace(url, "/+$", ""), "/"), -1), F.lit(".git"), F.lit(""))
     # local: basename of the absolute path; "." and "/" edge cases keep the path itself
     local = F.regexp_replace(t, "/+$", "")
