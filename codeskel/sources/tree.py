@@ -5,11 +5,16 @@ Spark's file sources skip names starting with ``_`` or ``.`` (so every
 the tree is read by a small Python Data Source instead.  The driver only lists
 paths and cuts them into bundles; executors read the bytes.  Decoding and
 newline normalisation happen afterwards as column expressions (S4).
+
+Paths go through ``pyarrow.fs``, so a local folder and a shared
+``hdfs://``/``s3://`` location work the same way.
 """
 
 from __future__ import annotations
 
-import os
+import posixpath
+
+from pyarrow import fs as pafs
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,21 +36,23 @@ class _TreeReader(DataSourceReader):
         self.bundle = int(options.get("filesPerPartition", "256"))
 
     def partitions(self):
+        filesystem, root = pafs.FileSystem.from_uri(self.root) if "://" in self.root else (pafs.LocalFileSystem(), self.root)
+        root = root.rstrip("/")
         items = []
-        for repo in sorted(os.listdir(self.root)):
-            base = os.path.join(self.root, repo)
-            if not os.path.isdir(base):
+        for info in filesystem.get_file_info(pafs.FileSelector(root, recursive=True)):
+            if info.type != pafs.FileType.File:
                 continue
-            for d, _, names in os.walk(base):
-                for name in names:
-                    full = os.path.join(d, name)
-                    items.append((repo, os.path.relpath(full, base).replace(os.sep, "/"), full))
+            rel = posixpath.relpath(info.path, root)
+            repo, _, path = rel.partition("/")
+            if path:
+                items.append((repo, path, info.path))
         items.sort()
         return [_Bundle(items[i : i + self.bundle]) for i in range(0, len(items), self.bundle)] or [_Bundle([])]
 
     def read(self, partition):
+        filesystem = pafs.FileSystem.from_uri(self.root)[0] if "://" in self.root else pafs.LocalFileSystem()
         for repo, rel, full in partition.items:
-            with open(full, "rb") as fh:
+            with filesystem.open_input_stream(full) as fh:
                 yield (repo, rel, fh.read())
 
 
@@ -78,10 +85,11 @@ def write_tree(files: DataFrame, root: str) -> None:
     """Materialise a files table as ``root/<repo>/<path>`` files, written by the executors."""
 
     def write_partition(rows):
+        filesystem, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
         for r in rows:
-            full = os.path.join(root, r["repo"], r["path"])
-            os.makedirs(os.path.dirname(full), exist_ok=True)
-            with open(full, "wb") as fh:
+            full = posixpath.join(base, r["repo"], r["path"])
+            filesystem.create_dir(posixpath.dirname(full), recursive=True)
+            with filesystem.open_output_stream(full) as fh:
                 fh.write((r["content"] or "").encode("utf-8"))
 
     files.select("repo", "path", "content").foreachPartition(write_partition)
