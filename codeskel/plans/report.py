@@ -144,9 +144,9 @@ def deep_dive_samples(metrics: DataFrame, files: DataFrame) -> DataFrame:
     picked = files.join(sampled, ["repo", "path"], "left_semi")
     f = prepare_files(picked)
     cands = callable_candidates(picked.select("repo", "path", "content"))
-    tried = cands.join(f, ["repo", "path"]).join(sampled, ["repo", "path"])
-    body = extract_method_body(method="name")
-    tried = tried.withColumn("body", body)
+    # the candidate is looked up under the column name the shared lookup expression uses
+    tried = cands.join(f, ["repo", "path"]).join(sampled, ["repo", "path"]).withColumnRenamed("name", "method")
+    tried = tried.withColumn("body", extract_method_body()).withColumnRenamed("method", "name")
     text = F.concat(
         F.format_string(BODY_BANNER, F.col("name"), F.col("path"),
                         F.greatest(F.lit(1), F.ceil(F.length("body") / F.lit(3.8))).cast("int")),
