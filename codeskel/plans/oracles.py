@@ -793,3 +793,11 @@ def repo_report_snippet() -> str:
 SELECT repo, total_files_scanned, total_raw_tokens, total_skeleton_tokens, saved_tokens, reduction_pct,
        compression_ratio, array_to_string({splitlines_sql('markdown_report')}[1:25], chr(10)) AS snippet
 FROM r"""
+
+
+def find_references_header() -> str:
+    none_msg = "'No references found for symbol ''' || symbol || '''.'"
+    found_msg = "'Found ' || cast(ref_count AS VARCHAR) || ' reference(s) to ''' || symbol || ''':'"
+    return f"""WITH r AS ({find_references_multi()})
+SELECT symbol, repo, CASE WHEN ref_count = 0 THEN {none_msg} ELSE {found_msg} END AS header
+FROM r WHERE rank IS NULL OR rank = 1"""

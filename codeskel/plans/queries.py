@@ -165,6 +165,11 @@ def find_references_multi(spark, sf):
     return S.reference_report(S.match_symbols(lines, syms), syms, materialize=True)
 
 
+def find_references_header(spark, sf):
+    """A4: the header line the search prints per (symbol, repo), or the no-match message."""
+    return S.reference_header(find_references_multi(spark, sf))
+
+
 # ------------------------------------------------------------------ lookups
 
 def method_bodies(spark, sf):
