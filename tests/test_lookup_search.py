@@ -1,6 +1,5 @@
 """Method lookup (the reference's test), symbol search against brute force, repo references."""
 
-from pyspark.sql import functions as F
 
 from codeskel.operators import search as S
 from codeskel.operators.lookup import method_bodies
