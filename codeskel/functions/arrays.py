@@ -26,6 +26,32 @@ def let(value: Column, fn) -> Column:
     return F.get(F.transform(F.array(value), fn), 0)
 
 
+_EXPR_CACHE: dict[tuple, Column] = {}
+
+
+def _session_key() -> str:
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    return sc.applicationId if sc is not None else ""
+
+
+def memo_column(name: str, build) -> Column:
+    """Build a large column expression once per Spark application and reuse it.
+
+    The skeletonizer expressions have thousands of nodes; building them costs
+    thousands of py4j calls, so they are constructed once and then only
+    re-analysed against each new plan.  ``name`` must identify the expression
+    including the input column names it reads.
+    """
+    key = (name, _session_key())
+    col = _EXPR_CACHE.get(key)
+    if col is None:
+        col = build()
+        _EXPR_CACHE[key] = col
+    return col
+
+
 def empty(type_str: str) -> Column:
     return F.array().cast(type_str)
 

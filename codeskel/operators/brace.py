@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.arrays import INSIDE, RANGE_TYPE, count_true, empty, let, line_states
+from ..functions.arrays import INSIDE, RANGE_TYPE, count_true, empty, let, line_states, memo_column
 from ..functions.text import leading_ws, py_strip
 
 # --- fixed values ---------------------------------------------------------
@@ -141,9 +141,20 @@ def js_ranges(feats: Column) -> Column:
     return _fold_ranges(feats, opens=lambda f: f["opener"], counts=lambda f: ~f["kept"])
 
 
-def skeleton_js_ts(lines: Column) -> Column:
+def shared_js_features(lines_name: str) -> Column:
+    return memo_column(f"js_features:{lines_name}", lambda: js_features(F.col(lines_name)))
+
+
+def shared_c_features(lines_name: str) -> Column:
+    return memo_column(f"c_features:{lines_name}", lambda: c_features(F.col(lines_name)))
+
+
+def skeleton_js_ts(lines: Column, feats: Column | None = None) -> Column:
     """struct(skeleton, method_count, class_count, ranges) for JS/TS files."""
-    return let(js_features(lines), lambda feats: let(js_ranges(feats), lambda ranges: _assemble_js(feats, ranges)))
+    return let(
+        js_features(lines) if feats is None else feats,
+        lambda feats: let(js_ranges(feats), lambda ranges: _assemble_js(feats, ranges)),
+    )
 
 
 def _assemble_js(feats: Column, ranges: Column) -> Column:
@@ -213,9 +224,9 @@ def c_ranges(feats: Column) -> Column:
     )
 
 
-def skeleton_c_like(lines: Column) -> Column:
+def skeleton_c_like(lines: Column, feats: Column | None = None) -> Column:
     return let(
-        c_features(lines),
+        c_features(lines) if feats is None else feats,
         lambda feats: let(
             c_ranges(feats),
             lambda ranges: let(line_states(ranges, F.size(feats)), lambda states: _emit_c(feats, ranges, states)),

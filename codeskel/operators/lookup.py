@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from ..functions.arrays import let
 from ..functions.text import indent_width, py_strip, regex_quote, split_lines, tokens_ceil
 from .brace import brace_net
-from .python import python_features
-from .skeleton import file_ext, memo_column
+from ..functions.arrays import memo_column
+from .python import python_features, shared_python_features
+from .skeleton import file_ext
 
 # --- fixed values ---------------------------------------------------------
 # Words allowed before the method name in the start pattern.
@@ -41,7 +42,7 @@ def start_pattern(method: Column) -> Column:
     return F.concat(F.lit(f"(?U)\\b(?:{kws})*"), regex_quote(method), F.lit("\\s*\\("))
 
 
-def python_parses(lines: Column) -> Column:
+def python_parses(lines: Column, feats: Column | None = None) -> Column:
     """Brackets and triple quotes balance at the end of the file (K8's test)."""
     init = F.struct(F.lit("").alias("q"), F.lit(0).alias("depth"), F.lit(False).alias("cont"), F.lit(False).alias("bad"))
 
@@ -57,7 +58,7 @@ def python_parses(lines: Column) -> Column:
         )
 
     return F.aggregate(
-        python_features(lines), init, step, lambda a: ~a["bad"] & (a["q"] == "") & (a["depth"] == 0) & ~a["cont"]
+        python_features(lines) if feats is None else feats, init, step, lambda a: ~a["bad"] & (a["q"] == "") & (a["depth"] == 0) & ~a["cont"]
     )
 
 
@@ -172,15 +173,17 @@ def prepare_files(files: DataFrame) -> DataFrame:
     """Per-file inputs of the lookups, computed once per file (not per request):
     the line array, each line's indent (-1 for blank/comment lines), each line's
     brace net and, for Python, whether the file parses."""
-    parses = memo_column("python_parses:_lines", lambda: python_parses(F.col("lines")))
+    parses = memo_column(
+        "python_parses:_lines", lambda: python_parses(F.col("_lines"), shared_python_features("_lines"))
+    )
     code_ind = memo_column(
-        "code_ind:lines",
-        lambda: F.transform(F.col("lines"), lambda ln: F.when(_is_code(ln), indent_width(ln)).otherwise(F.lit(-1)).cast("int")),
+        "code_ind:_lines",
+        lambda: F.transform(F.col("_lines"), lambda ln: F.when(_is_code(ln), indent_width(ln)).otherwise(F.lit(-1)).cast("int")),
     )
-    nets = memo_column("nets:lines", lambda: F.transform(F.col("lines"), brace_net))
-    with_lines = files.select("repo", "path", split_lines(F.col("content")).alias("lines"))
+    nets = memo_column("nets:_lines", lambda: F.transform(F.col("_lines"), brace_net))
+    with_lines = files.select("repo", "path", split_lines(F.col("content")).alias("_lines"))
     return with_lines.select(
-        "repo", "path", "lines", code_ind.alias("code_ind"), nets.alias("nets"),
+        "repo", "path", F.col("_lines").alias("lines"), code_ind.alias("code_ind"), nets.alias("nets"),
         F.when(file_ext(F.col("path")) == ".py", parses).alias("py_ok"),
     )
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.arrays import empty, let
+from ..functions.arrays import empty, let, memo_column
 from ..functions.text import WS_CLASS, indent_width, py_strip
 
 # --- fixed values ---------------------------------------------------------
@@ -275,7 +275,12 @@ def collapse_gaps(lines: Column, segs: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), k), piece))
 
 
-def skeleton_python(lines: Column) -> Column:
+def shared_python_features(lines_name: str) -> Column:
+    """``python_features`` over the named lines column, built once per application."""
+    return memo_column(f"py_features:{lines_name}", lambda: python_features(F.col(lines_name)))
+
+
+def skeleton_python(lines: Column, feats: Column | None = None) -> Column:
     """struct(skeleton, method_count, class_count, malformed, segs) for Python files."""
 
     def build(fold, segs):
@@ -288,7 +293,7 @@ def skeleton_python(lines: Column) -> Column:
         )
 
     return let(
-        python_fold(python_features(lines)),
+        python_fold(python_features(lines) if feats is None else feats),
         lambda fold: let(kept_segments(fold["segs"], fold["moddoc"], F.size(lines)), lambda segs: build(fold, segs)),
     )
 

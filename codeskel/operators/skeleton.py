@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import reduction_pct, split_lines, tokens_floor
-from .brace import skeleton_c_like, skeleton_js_ts
-from .python import skeleton_python
-from ..functions.arrays import let
+from .brace import shared_c_features, shared_js_features, skeleton_c_like, skeleton_js_ts
+from .python import shared_python_features, skeleton_python
+from ..functions.arrays import let, memo_column
 
 # --- fixed values ---------------------------------------------------------
 # Extension routing of the skeletonizer.
@@ -73,31 +73,6 @@ def _pick(s: Column) -> Column:
     )
 
 
-_EXPR_CACHE: dict[tuple, Column] = {}
-
-
-def _session_key() -> str:
-    from pyspark import SparkContext
-
-    sc = SparkContext._active_spark_context
-    return sc.applicationId if sc is not None else ""
-
-
-def memo_column(name: str, build) -> Column:
-    """Build a large column expression once per Spark application and reuse it.
-
-    The skeletonizer expressions have thousands of nodes; building them costs
-    thousands of py4j calls, so they are constructed once and then only
-    re-analysed against each new plan.
-    """
-    key = (name, _session_key())
-    col = _EXPR_CACHE.get(key)
-    if col is None:
-        col = build()
-        _EXPR_CACHE[key] = col
-    return col
-
-
 def skeleton_column(content: str, lines: str, lang: str) -> Column:
     """``struct(skeleton, method_count, class_count)`` by language, K8 fallback included.
 
@@ -112,11 +87,14 @@ def skeleton_column(content: str, lines: str, lang: str) -> Column:
             F.lit(0).alias("method_count"),
             F.lit(0).alias("class_count"),
         )
-        py = let(skeleton_python(ln), lambda p: F.when(p["malformed"], generic).otherwise(_pick(p)))
+        py = let(
+            skeleton_python(ln, shared_python_features(lines)),
+            lambda p: F.when(p["malformed"], generic).otherwise(_pick(p)),
+        )
         return (
             F.when(lg == "python", py)
-            .when(lg == "js_ts", let(skeleton_js_ts(ln), _pick))
-            .when(lg == "c_like", let(skeleton_c_like(ln), _pick))
+            .when(lg == "js_ts", let(skeleton_js_ts(ln, shared_js_features(lines)), _pick))
+            .when(lg == "c_like", let(skeleton_c_like(ln, shared_c_features(lines)), _pick))
             .otherwise(generic)
         )
 

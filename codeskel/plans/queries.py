@@ -18,9 +18,10 @@ from ..sources.files import scan_filter, scan_supported_files
 from ..sources.fixtures import code_files, method_requests
 from ..operators import search as S
 from ..operators import prompts as P
-from ..operators.brace import c_features, c_ranges, js_features, js_ranges
+from ..operators.brace import c_ranges, js_ranges, shared_c_features, shared_js_features
 from ..operators.python import collapse_dropped
-from ..operators.skeleton import file_ext, language, memo_column
+from ..functions.arrays import memo_column
+from ..operators.skeleton import file_ext, language
 from ..sources.files import repo_ref_normalise as _refs
 from ..functions.arrays import let
 from . import report as R
@@ -195,16 +196,17 @@ def skeleton_gaps(spark, sf):
 
 def body_ranges(spark, sf):
     """K6: compressed body ranges of brace-language files, 1-based lines."""
-    cf = code_files(spark, sf)
+    cf = code_files(spark, sf).select(
+        "repo", "path", split_lines(F.col("content")).alias("_lines"), language(file_ext(F.col("path"))).alias("_lang")
+    )
 
     def build():
-        lines = split_lines(F.col("content"))
-        lang = language(file_ext(F.col("path")))
-        return F.when(lang == "js_ts", let(js_features(lines), js_ranges)).when(
-            lang == "c_like", let(c_features(lines), c_ranges)
+        lang = F.col("_lang")
+        return F.when(lang == "js_ts", let(shared_js_features("_lines"), js_ranges)).when(
+            lang == "c_like", let(shared_c_features("_lines"), c_ranges)
         )
 
-    rng = memo_column("body_ranges:content:path", build)
+    rng = memo_column("body_ranges:_lines:_lang", build)
     return cf.select("repo", "path", F.explode(rng).alias("r")).select(
         "repo", "path", (F.col("r.o") + 1).alias("body_start"), (F.col("r.c") + 1).alias("body_end")
     )
