@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, tokens
+from . import mixing, neardup, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": tokens.op1_token_output,
+        "op4_near_duplicates": neardup.op4_near_duplicates,
         "op9_mix": mixing.op9_mix,
     }
 
