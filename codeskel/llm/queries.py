@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, tokens
+from . import decontam, mixing, neardup, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": tokens.op1_token_output,
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op3_decontaminate": decontam.op3_decontaminate,
         "op4_near_duplicates": neardup.op4_near_duplicates,
         "op9_mix": mixing.op9_mix,
     }
