@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, neardup, tokens, toxicity
+from . import decontam, mixing, neardup, quality, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_decontaminate": decontam.op3_decontaminate,
         "op4_near_duplicates": neardup.op4_near_duplicates,
+        "op10_quality": quality.op10_quality,
         "op9_mix": mixing.op9_mix,
     }
 
