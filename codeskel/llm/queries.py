@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, neardup, quality, tokens, toxicity
+from . import chat, decontam, license, mixing, neardup, quality, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,9 +16,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": decontam.op3_decontaminate,
         "op4_near_duplicates": neardup.op4_near_duplicates,
         "op10_quality": quality.op10_quality,
+        "op5_licenses": license.op5_licenses,
+        "op6_chat": chat.op6_chat,
         "op9_mix": mixing.op9_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix": mixing.OP9_SQL}
+    return {"op6_chat": chat.OP6_SQL, "op9_mix": mixing.OP9_SQL}
