@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, license, mixing, neardup, quality, tokens, toxicity, urls
+from . import ann, chat, decontam, license, mixing, neardup, quality, tokens, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality": quality.op10_quality,
         "op5_licenses": license.op5_licenses,
         "op6_chat": chat.op6_chat,
+        "op7_nearest": ann.op7_nearest,
         "op8_urls": urls.op8_urls,
         "op9_mix": mixing.op9_mix,
     }
