@@ -107,7 +107,8 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, see
         F.col("size").alias("cut_size"),
         F.floor(F.col("rest") / F.col("n")).cast("long").alias("cut_words"),
     )
-    return plan.join(at_key, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source", "rest")
+    cuts = plan.join(at_key, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source", "rest")
+    return cut(cuts, "mix-cuts")  # as a table of known size it is broadcast to the documents where that is small
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
