@@ -16,7 +16,7 @@ from ..functions.text import leading_ws, py_strip
 # --- fixed values ---------------------------------------------------------
 # Signature pattern of the JS/TS skeletonizer, searched from the line start.
 JS_SIG_RE = (
-    r"^\s*(export\s+)?(default\s+)?(async\s+)?(function|class|interface|type|enum|"
+    r"(?U)^\s*(export\s+)?(default\s+)?(async\s+)?(function|class|interface|type|enum|"
     r"const\s+\w+\s*=\s*(async\s*)?\([^)]*\)\s*=>)\b"
     r"|^\s*(public|private|protected|static|async|get|set|\*)*\s*\w+\s*\([^)]*\)\s*(:\s*[^\{]+)?\s*\{"
 )

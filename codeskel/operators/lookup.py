@@ -18,10 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
+from ..functions.arrays import OUTSIDE, RANGE_TYPE, empty, let, line_states, memo_column
 from ..functions.text import indent_width, py_strip, regex_quote, split_lines, tokens_ceil
 from .brace import brace_net
-from ..functions.arrays import memo_column
 from .python import python_features, shared_python_features
 from .skeleton import file_ext
 
@@ -39,26 +38,47 @@ BODY_BANNER = "=== METHOD BODY: %s in %s (~%d tokens) ==="
 def start_pattern(method: Column) -> Column:
     """Regex for the line where ``method`` starts (Unicode word boundaries)."""
     kws = "|".join(START_KEYWORDS)
-    return F.concat(F.lit(f"(?U)\\b(?:{kws})*"), regex_quote(method), F.lit("\\s*\\("))
+    # a name that starts with a word character has its word boundary right before the keywords or itself;
+    # another one (``$load``) needs the boundary of a word before it, and the white space between
+    lead = F.when(method.rlike(r"(?U)^\w"), F.lit(f"(?U)\\b(?:{kws})*")).otherwise(F.lit(f"(?U)\\b(?:{kws}|\\s)*"))
+    return F.concat(lead, regex_quote(method), F.lit("\\s*\\("))
 
 
 def python_parses(lines: Column, feats: Column | None = None) -> Column:
-    """Brackets and triple quotes balance at the end of the file (K8's test)."""
-    init = F.struct(F.lit("").alias("q"), F.lit(0).alias("depth"), F.lit(False).alias("cont"), F.lit(False).alias("bad"))
+    """struct(ok, spans): whether brackets and triple quotes balance at the end of the file
+    (K8's test), and the statements of several lines as ranges of first and last line."""
+    init = F.struct(
+        F.lit("").alias("q"), F.lit(0).alias("depth"), F.lit(False).alias("cont"), F.lit(False).alias("bad"),
+        F.lit(0).alias("i"), F.lit(-1).alias("open"), empty(RANGE_TYPE).alias("spans"),
+    )
 
     def step(a, f):
         g = F.when(a["q"] == "", f["n0"]).when(a["q"] == '"""', f["nd"]).otherwise(f["ns"])
         whole = (a["q"] != "") & g.isNull()
-        depth = F.when(whole, a["depth"]).otherwise(a["depth"] + g["net"])
-        return F.struct(
+        after = F.struct(
             F.when(whole, a["q"]).otherwise(g["q"]).alias("q"),
-            depth.alias("depth"),
+            F.when(whole, a["depth"]).otherwise(a["depth"] + g["net"]).alias("depth"),
             F.when(whole, F.lit(False)).otherwise(g["cont"]).alias("cont"),
-            (a["bad"] | (depth < 0)).alias("bad"),
+        )
+        return let(after, lambda b: advance(a, b))
+
+    def advance(a, b):
+        inside = (b["q"] != "") | (b["depth"] > 0) | b["cont"]
+        closes = ~inside & (a["open"] >= 0)
+        span = F.struct(a["open"].alias("o"), a["i"].alias("c"))
+        return F.struct(
+            b["q"].alias("q"), b["depth"].alias("depth"), b["cont"].alias("cont"),
+            (a["bad"] | (b["depth"] < 0)).alias("bad"),
+            (a["i"] + 1).alias("i"),
+            F.when(inside & (a["open"] < 0), a["i"]).when(inside, a["open"]).otherwise(F.lit(-1)).alias("open"),
+            F.when(closes, F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"),
         )
 
     return F.aggregate(
-        python_features(lines) if feats is None else feats, init, step, lambda a: ~a["bad"] & (a["q"] == "") & (a["depth"] == 0) & ~a["cont"]
+        python_features(lines) if feats is None else feats,
+        init,
+        step,
+        lambda a: F.struct((~a["bad"] & (a["q"] == "") & (a["depth"] == 0) & ~a["cont"]).alias("ok"), a["spans"].alias("spans")),
     )
 
 
@@ -67,16 +87,13 @@ def _is_code(line: Column) -> Column:
     return (s != "") & ~s.startswith("#")
 
 
-def _block_depth(lines: Column, i: Column) -> Column:
+def _block_depth(code_ind: Column, i: Column) -> Column:
     """1 + number of enclosing blocks of line ``i`` by indentation."""
-    ind = indent_width(F.get(lines, i))
+    ind = F.get(code_ind, i)
     stack = F.aggregate(
-        F.slice(lines, 1, i),
+        F.slice(code_ind, 1, i),
         F.array().cast("array<int>"),
-        lambda st, ln: F.when(
-            _is_code(ln),
-            let(indent_width(ln), lambda x: F.concat(F.filter(st, lambda e: e < x), F.array(x))),
-        ).otherwise(st),
+        lambda st, x: F.when(x >= 0, F.concat(F.filter(st, lambda e: e < x), F.array(x))).otherwise(st),
     )
     return F.size(F.filter(stack, lambda e: e < ind)) + 1
 
@@ -84,13 +101,14 @@ def _block_depth(lines: Column, i: Column) -> Column:
 def _python_def_body(lines: Column, code_ind: Column, method: Column) -> Column:
     """Body of the first ``def method`` in breadth-first order, or null.
 
-    ``code_ind`` holds each line's indent, -1 for blank and comment lines.
+    ``code_ind`` holds the indent of each line that starts a statement, -1 for blank
+    and comment lines and -2 for the further lines of a statement.
     """
     n = F.size(lines)
     pat = F.concat(F.lit("^(?:async\\s+)?def\\s+"), regex_quote(method), F.lit("\\s*\\("))
     cands = F.filter(
         F.sequence(F.lit(0), n - 1),
-        lambda i: F.get(lines, i).contains(method) & F.regexp_like(py_strip(F.get(lines, i)), pat),
+        lambda i: (F.get(code_ind, i) >= 0) & F.get(lines, i).contains(method) & F.regexp_like(py_strip(F.get(lines, i)), pat),
     )
 
     def body(i):
@@ -99,12 +117,12 @@ def _python_def_body(lines: Column, code_ind: Column, method: Column) -> Column:
             F.filter(F.sequence(i + 1, n), lambda j: (j == n) | ((F.get(code_ind, j) >= 0) & (F.get(code_ind, j) <= ind))),
             0,
         )
-        last = F.array_max(F.filter(F.sequence(i, stop - 1), lambda j: (j == i) | (F.get(code_ind, j) >= 0)))
+        last = F.array_max(F.filter(F.sequence(i, stop - 1), lambda j: (j == i) | (F.get(code_ind, j) != -1)))
         return F.array_join(F.slice(lines, i + 1, last - i + 1), "\n")
 
     def pick(cs):
         # breadth-first order only matters when several defs share the name
-        by_depth = F.array_min(F.transform(cs, lambda i: F.struct(_block_depth(lines, i).alias("d"), i.alias("i"))))["i"]
+        by_depth = F.array_min(F.transform(cs, lambda i: F.struct(_block_depth(code_ind, i).alias("d"), i.alias("i"))))["i"]
         first = F.when(F.size(cs) == 1, F.get(cs, 0)).otherwise(by_depth)
         return F.when(F.size(cs) > 0, let(first, body))
 
@@ -154,7 +172,7 @@ def extract_method_body(
 ) -> Column:
     """The body text of ``method`` in the file, or null when not found.
 
-    ``lines``, ``code_ind``, ``nets`` and ``py_ok`` are the per-file columns from
+    ``lines``, ``code_ind``, ``stmt_ind``, ``nets`` and ``py_ok`` are the per-file columns from
     :func:`prepare_files`, so each request only scans integers and the lines
     that contain the name.
     """
@@ -163,10 +181,10 @@ def extract_method_body(
         is_py = file_ext(F.col(path)) == ".py"
         ln, m = F.col(lines), F.col(method)
         ci, nets = F.col("code_ind"), F.col("nets")
-        ast_body = F.when(is_py & F.coalesce(F.col(py_ok), F.lit(False)), _python_def_body(ln, ci, m))
+        ast_body = F.when(is_py & F.coalesce(F.col(py_ok), F.lit(False)), _python_def_body(ln, F.col("stmt_ind"), m))
         return F.when(F.exists(ln, lambda x: x.contains(m)), F.coalesce(ast_body, _fallback_body(ln, ci, nets, m, is_py)))
 
-    return memo_column(f"method_body:{lines}:{path}:{method}:{py_ok}:v2", build)
+    return memo_column(f"method_body:{lines}:{path}:{method}:{py_ok}:v3", build)
 
 
 def prepare_files(files: DataFrame) -> DataFrame:
@@ -182,9 +200,15 @@ def prepare_files(files: DataFrame) -> DataFrame:
     )
     nets = memo_column("nets:_lines", lambda: F.transform(F.col("_lines"), brace_net))
     with_lines = files.select("repo", "path", split_lines(F.col("content")).alias("_lines"))
-    return with_lines.select(
+    prepared = with_lines.select(
         "repo", "path", F.col("_lines").alias("lines"), code_ind.alias("code_ind"), nets.alias("nets"),
-        F.when(file_ext(F.col("path")) == ".py", parses).alias("py_ok"),
+        F.when(file_ext(F.col("path")) == ".py", parses).alias("_parse"),
+    )
+    state = line_states(F.col("_parse.spans"), F.size("lines"))
+    stmt_ind = F.zip_with("code_ind", state, lambda ind, s: F.when(s != OUTSIDE, F.lit(-2)).otherwise(ind))
+    return prepared.select(
+        "repo", "path", "lines", "code_ind", "nets", F.col("_parse.ok").alias("py_ok"),
+        F.when(F.col("_parse.ok"), stmt_ind).alias("stmt_ind"),
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio_string, saved_pct
+from ..session import ensure_checkpoint_dir
 
 # --- fixed values ---------------------------------------------------------
 HISTORY_SIZE = 20
@@ -139,7 +140,9 @@ def scan_running_totals(metrics: DataFrame, n_ranges: int | None = None) -> Data
     spark = metrics.sparkSession
     n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = metrics.select("repo", "path", "raw_tokens_est", "skeleton_tokens_est").repartitionByRange(n, "repo", "path")
-    base = base.withColumn("_rg", F.spark_partition_id())
+    # written once: range bounds are sampled anew by every plan, so both branches must read one assignment
+    ensure_checkpoint_dir(spark)
+    base = base.withColumn("_rg", F.spark_partition_id()).checkpoint(eager=True)
     local = Window.partitionBy("_rg", "repo").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = base.select(
         "_rg", "repo", "path",

@@ -47,10 +47,14 @@ _TOKEN_RE = (
     r"|#.*"
 )
 _KW = "|".join(PY_KEYWORDS)
+# On code whose strings and brackets are blanked: an "=" that is no part of another operator, or an annotation.
 _ASSIGN_RE = (
-    rf"^(?!(?:{_KW})\b)[A-Za-z_][\w.]*(\[[^\]]*\])*(\s*,\s*[A-Za-z_][\w.]*(\[[^\]]*\])*)*\s*,?\s*(:[^=]*)?=([^=]|$)"
-    rf"|^(?!(?:{_KW})\b)[A-Za-z_][\w.]*\s*:\s*[^\s=]"
+    rf"(?U)^(?!(?:{_KW})\b)[^=]*(?<![=!<>:+\-*/%&|^@])=(?!=)"
+    rf"|^(?!(?:{_KW})\b)[^\W\d][\w.]*\s*:\s*[^\s=]"
 )
+_EMPTY_STRING_RE = r"^[rRuU]?(\"\"|''|\"{6}|'{6})\s*(#.*)?$"
+#: Nesting of brackets that is blanked on one line.
+_NESTING = 4
 
 K_OTHER, K_CLASS, K_DEF, K_DECO, K_IMPORT, K_ASSIGN = 0, 1, 2, 3, 4, 5
 P_NONE, P_CLASS, P_DEF = 0, 1, 2
@@ -80,6 +84,24 @@ def _code_feats(s: Column) -> Column:
     return let(F.when(has_tokens, F.regexp_replace(s, _TOKEN_RE, "$1")).otherwise(s), feats)
 
 
+def _no_strings(s: Column) -> Column:
+    return F.when(s.contains('"') | s.contains("'") | s.contains("#"), F.regexp_replace(s, _TOKEN_RE, "$1")).otherwise(s)
+
+
+def _is_assignment(s: Column) -> Column:
+    """Stripped module-level line ``s`` assigns or annotates outside brackets and strings."""
+    c = _no_strings(s)
+    for _ in range(_NESTING):
+        c = F.regexp_replace(c, r"[(\[{][^()\[\]{}]*[)\]}]", "_")
+    return F.regexp_replace(c, r"[(\[{].*$", "_").rlike(_ASSIGN_RE)
+
+
+def _is_docstring(s: Column) -> Column:
+    """Stripped line ``s`` begins a statement that is nothing but a non-empty string."""
+    rest = F.regexp_replace(_no_strings(s), r"^[rRuU]|\s+$", "")
+    return s.rlike(r"^[rRuU]?[\"']") & rest.isin("", '"""', "'''") & ~s.rlike(_EMPTY_STRING_RE)
+
+
 def _after(line: Column, delim: str) -> Column:
     pos = F.instr(line, delim)
     return F.when(pos > 0, _code_feats(F.substring(line, pos + 3, 1 << 30)))
@@ -97,14 +119,14 @@ def python_features(lines: Column) -> Column:
             .when((s.startswith("def") | s.startswith("async")) & s.rlike(r"^(async\s+)?def\b"), F.lit(K_DEF))
             .when(s.startswith("@"), F.lit(K_DECO))
             .when(top & s.rlike(r"^(import|from)\b"), F.lit(K_IMPORT))
-            .when(top & s.rlike(_ASSIGN_RE), F.lit(K_ASSIGN))
+            .when(top & (s.contains("=") | s.contains(":")) & _is_assignment(s), F.lit(K_ASSIGN))
             .otherwise(F.lit(K_OTHER))
         )
         return F.struct(
             ((s == "") | s.startswith("#")).alias("blank"),
             indent_width(line).cast("int").alias("ind"),
             kind.alias("kind"),
-            s.rlike(r"^[rRuU]?[\"']").alias("isstr"),
+            (s.rlike(r"^[rRuU]?[\"']") & _is_docstring(s)).alias("isstr"),
             _code_feats(line).alias("n0"),
             _after(line, '"""').alias("nd"),
             _after(line, "'''").alias("ns"),

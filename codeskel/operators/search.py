@@ -3,18 +3,15 @@
 A line matches a symbol when it contains it as a substring (no word match).
 Lines come from the files split at LF only; the reported text is stripped.
 
-Scale: the symbol table is broadcast only when a checked count and byte size
-bound holds; a larger symbol set is split into hash chunks that each satisfy
-the bound (one broadcast nested-loop join per chunk, exact).  Counts are a
-``groupBy`` with map-side partial aggregation; the top-N rows use
-``row_number() <= N`` which Spark plans as a per-task ``WindowGroupLimit``, so
-a symbol matching a third of all lines never lands in one task.
+Scale: many symbols are matched through an index of the lines' word runs, by
+equi-joins on keys.  Counts are a ``groupBy`` with map-side partial aggregation;
+the top-N rows use ``row_number() <= N`` which Spark plans as a per-task
+``WindowGroupLimit``, so a symbol matching a third of all lines never lands in
+one task.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +22,6 @@ from ..session import ensure_checkpoint_dir
 TOP_N = 50
 # --------------------------------------------------------------------------
 
-BROADCAST_MAX_SYMBOLS = 20_000
-BROADCAST_MAX_BYTES = 8 << 20
-
-
 def search_lines(files: DataFrame, content: str = "content") -> DataFrame:
     """``(repo, path, line_no, line)``: one row per LF-terminated line, 1-based."""
     return files.select(
@@ -43,82 +36,69 @@ def find_references(lines: DataFrame, symbol: str) -> DataFrame:
     )
 
 
-def _bounded_chunks(symbols: DataFrame) -> int:
-    """Number of hash chunks so that each chunk satisfies the broadcast bound."""
-    stats = symbols.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("symbol")).alias("b")).first()
-    n, b = int(stats["n"] or 0), int(stats["b"] or 0)
-    return max(1, math.ceil(n / BROADCAST_MAX_SYMBOLS), math.ceil(b / BROADCAST_MAX_BYTES))
-
-
-WORD_RE = "[A-Za-z0-9_]+"
+#: A line is a sequence of maximal runs of word characters and of other characters.
+WORD_RUN, OTHER_RUN = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
 MAX_GRAM = 8
 
 
-def _match_word_symbols(lines: DataFrame, symbols: DataFrame, k: int) -> DataFrame:
-    """Exact substring matches for symbols made of word characters only.
-
-    Such a symbol can only occur inside one maximal word-character run of a
-    line, so lines are reduced to their distinct runs, runs are indexed by
-    their ``k``-grams (``k`` = shortest symbol, capped), each symbol probes
-    with its first ``k``-gram and the candidates are verified with
-    ``contains``.  Every step is an equi-join or aggregation -- no pairs of
-    lines and symbols are formed.
+def match_symbols(lines: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Keys ``(symbol, repo, path, line_no)`` of every line that contains the symbol.
+
+    A symbol's longest run (its *anchor*) can only occur inside a run of the line, so
+    lines are reduced to their distinct runs, the distinct runs are indexed by
+    substrings of the anchors' lengths (at most :data:`MAX_GRAM` characters), and each
+    anchor probes with its head.  Only keys and runs are shuffled.  A symbol of one run
+    is settled by that; for others, the candidates' lines are compared in full.  No
+    pairs of lines and symbols are formed beyond those that share an anchor.
     """
-    words = lines.select(
-        "repo", "path", "line_no", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(WORD_RE), 0))).alias("word")
-    ).filter(F.length("word") >= k)
-    distinct_words = words.select("word").distinct()
-    grams = distinct_words.select(
-        "word",
-        F.explode(
-            F.array_distinct(
-                F.transform(F.sequence(F.lit(1), F.length("word") - k + 1), lambda i: F.substring(F.col("word"), i, k))
-            )
-        ).alias("gram"),
+    symbols = symbols.select("symbol").filter(F.col("symbol").isNotNull() & (F.col("symbol") != "")).distinct()
+    runs_of = F.regexp_extract_all("symbol", F.lit(f"{WORD_RUN}|{OTHER_RUN}"), 0)
+    longest = F.array_max(F.transform(runs_of, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
+    probes = symbols.withColumn("anchor", longest).withColumn("gram", F.substring("anchor", 1, MAX_GRAM))
+    stats = probes.agg(
+        F.collect_set(F.length("gram")).alias("lengths"),  # at most MAX_GRAM numbers
+        F.max(~F.col("anchor").rlike(f"^{WORD_RUN}$")).alias("other"),
+    ).first()
+    lengths = sorted(stats["lengths"]) or [1]
+    pattern = f"{WORD_RUN}|{OTHER_RUN}" if stats["other"] else WORD_RUN
+    runs = lines.select(
+        "repo", "path", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(pattern), 0))).alias("run")
+    ).filter(F.length("run") >= lengths[0])
+
+    def grams(k: int):
+        at = F.sequence(F.lit(1), F.greatest(F.length("run") - k + 1, F.lit(1)))
+        return F.when(F.length("run") >= k, F.transform(at, lambda i: F.substring(F.col("run"), i, k))).otherwise(
+            F.array().cast("array<string>")
+        )
+
+    index = runs.select("run").distinct().select("run", F.explode(F.array_distinct(F.concat(*[grams(k) for k in lengths]))).alias("gram"))
+    pairs = index.join(probes, "gram").filter(F.col("run").contains(F.col("anchor"))).select("run", "symbol", "anchor").distinct()
+    hits = runs.join(pairs, "run").select("symbol", "anchor", "repo", "path", "line_no").distinct()
+    whole = hits.filter(F.col("symbol") == F.col("anchor")).drop("anchor")
+    mixed = (
+        hits.filter(F.col("symbol") != F.col("anchor")).join(lines.select("repo", "path", "line_no", "line"), ["repo", "path", "line_no"])
+        .filter(F.col("line").contains(F.col("symbol"))).select(*whole.columns)
     )
-    probes = symbols.select("symbol", F.substring("symbol", 1, k).alias("gram"))
-    pairs = grams.join(probes, "gram").filter(F.col("word").contains(F.col("symbol"))).select("word", "symbol").distinct()
-    hits = words.join(pairs, "word").select("symbol", "repo", "path", "line_no", "line")
-    return hits.dropDuplicates(["symbol", "repo", "path", "line_no"])
+    return whole.unionByName(mixed)
 
 
-def match_symbols(lines: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Every (symbol, line) pair where the line contains the symbol."""
-    symbols = symbols.select("symbol").filter(F.col("symbol").isNotNull() & (F.col("symbol") != "")).distinct()
-    stats = symbols.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.length("symbol")).alias("kmin"),
-        F.sum(F.when(F.col("symbol").rlike(f"^{WORD_RE}$"), 0).otherwise(1)).alias("other"),
-    ).first()
-    if stats["n"] and not stats["other"]:
-        out = _match_word_symbols(lines, symbols, min(int(stats["kmin"]), MAX_GRAM))
-        return out.select("symbol", "repo", "path", "line_no", py_strip(F.col("line")).alias("text"))
-    k = _bounded_chunks(symbols)
-    cond = F.expr("contains(line, symbol)")
-    parts = []
-    for chunk in range(k):
-        part = symbols if k == 1 else symbols.filter(F.pmod(F.xxhash64("symbol"), F.lit(k)) == chunk)
-        parts.append(lines.join(F.broadcast(part), cond, "inner"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("symbol", "repo", "path", "line_no", py_strip(F.col("line")).alias("text"))
-
-
-def reference_report(matches: DataFrame, symbols: DataFrame, n: int = TOP_N, materialize: bool = False) -> DataFrame:
+def reference_report(matches: DataFrame, symbols: DataFrame, n: int = TOP_N, lines: DataFrame | None = None) -> DataFrame:
     """Per (symbol, repo): total ``ref_count`` and the first ``n`` matches in path/line order.
 
     Symbols without any match keep one row with ``ref_count`` 0 (the "no
-    references" case).  The matches feed both the counts and the top rows;
-    with ``materialize`` they are computed once and checkpointed to the shared
-    checkpoint folder instead of being recomputed for each consumer.
+    references" case).  With ``lines``, ``matches`` holds keys only: they are
+    checkpointed once to the shared folder for both consumers, and the text is
+    joined to the top rows alone.
     """
-    if materialize:
+    if lines is not None:
         ensure_checkpoint_dir(matches.sparkSession)
         matches = matches.checkpoint(eager=True)
     counts = matches.groupBy("symbol", "repo").agg(F.count(F.lit(1)).alias("ref_count"))
     w = Window.partitionBy("symbol", "repo").orderBy("path", "line_no")
     top = matches.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    if lines is not None:
+        texts = lines.select("repo", "path", "line_no", py_strip(F.col("line")).alias("text"))
+        top = top.join(texts, ["repo", "path", "line_no"])
     found = top.join(counts, ["symbol", "repo"], "inner")
     missing = (
         symbols.select("symbol")

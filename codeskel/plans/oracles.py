@@ -9,6 +9,10 @@ runs on the pre-registered tables only; ``code_files`` is the shared CTE.
 
 from __future__ import annotations
 
+import re
+
+from ..operators.brace import JS_SIG_RE
+from ..sources.files import IGNORED_DIRS
 from ..sources.fixtures import code_files_cte
 
 NL = "chr(10)"
@@ -17,11 +21,7 @@ NL = "chr(10)"
 _WS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
-_JS_SIG = (
-    r"^\s*(export\s+)?(default\s+)?(async\s+)?(function|class|interface|type|enum|"
-    r"const\s+\w+\s*=\s*(async\s*)?\([^)]*\)\s*=>)\b"
-    r"|^\s*(public|private|protected|static|async|get|set|\*)*\s*\w+\s*\([^)]*\)\s*(:\s*[^\{]+)?\s*\{"
-)
+_JS_SIG = JS_SIG_RE.replace("(?U)", "")  # the corpus is ASCII there
 
 
 def _q(s: str) -> str:
@@ -69,7 +69,7 @@ def lang_sql(ext: str) -> str:
     )
 
 
-_IGNORED = "['venv','.git','__pycache__','node_modules','.gemini','dist','build','.idea','.vscode']"
+_IGNORED = "[" + ",".join(f"'{d}'" for d in IGNORED_DIRS) + "]"
 _SUPPORTED = "('.py','.ts','.js','.tsx','.jsx','.java','.cpp','.cs')"
 
 
@@ -443,8 +443,8 @@ m AS (SELECT {_q(symbol)} AS symbol, repo, path, line_no, {strip_sql('line')} AS
 
 def find_references_multi() -> str:
     return f"""WITH {_DOC_LINES},
-sy AS (SELECT DISTINCT w AS symbol FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark)
-       WHERE length(w) >= 5),
+sy AS (SELECT DISTINCT w AS symbol FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM benchmark)
+       WHERE w <> ''),
 m AS (SELECT sy.symbol, dl.repo, dl.path, dl.line_no, {strip_sql('dl.line')} AS text
       FROM dl JOIN sy ON contains(dl.line, sy.symbol)),
 {_report('m', 'sy')}"""
@@ -590,7 +590,8 @@ SELECT s.conv_id, s.turn,
   {b.format('REPO_SKELETON')} || {NL} || {strip_sql('d.skeleton')} || {NL} || {NL} ||
   {b.format('USER_CONTEXT_START')} || {NL} AS cached_prompt,
   {tokens_ceil_sql('s.system')} AS system_tokens, {tokens_ceil_sql('d.skeleton')} AS skeleton_tokens
-FROM s JOIN d ON d.conv_id = s.conv_id"""
+FROM (SELECT d.conv_id, s.turn, coalesce(s.system, '') AS system FROM d LEFT JOIN s ON d.conv_id = s.conv_id) s
+JOIN d ON d.conv_id = s.conv_id"""
 
 
 def repo_ref_normalise() -> str:
@@ -603,7 +604,7 @@ r3 AS (SELECT ref, t,
        FROM r2)
 SELECT ref, is_url, CASE WHEN is_url THEN u END AS url,
        CASE WHEN is_url THEN replace(string_split(rtrim(u, '/'), '/')[-1], '.git', '')
-            ELSE nullif(nullif(string_split(rtrim(t, '/'), '/')[-1], ''), '.') END AS repo_name
+            ELSE coalesce(nullif(string_split(rtrim(t, '/'), '/')[-1], ''), t) END AS repo_name
 FROM r3"""
 
 
@@ -638,15 +639,25 @@ FROM sm"""
 
 
 def sequence_diagram() -> str:
-    from .report import DIAGRAM_HEAD, DIAGRAM_NO_FILES, DIAGRAM_TAIL
+    from .report import DIAGRAM_FILE, DIAGRAM_KIND, DIAGRAM_NO_FILES, DIAGRAM_READ, DIAGRAM_REPO
 
-    a, b = DIAGRAM_TAIL.split("{repo}")
     clean = "replace(replace({x}, '\\', '/'), '\"', '')"
-    node = ("'    participant F' || cast(rank - 1 AS VARCHAR) || ' as \"' || " + clean.format(x="path")
-            + " || '\"' || chr(10)")
+
+    def put(pattern: str, *values: str) -> str:
+        parts = re.split("%d|%s", pattern.replace("%%", "\0"))
+        out = [_q(parts[0].replace("\0", "%"))]
+        for v, rest in zip(values, parts[1:], strict=True):
+            out += [v, _q(rest.replace("\0", "%"))]
+        return " || ".join(out)
+
+    place = "cast(rank - 1 AS VARCHAR)"
     return _scanned_metrics() + "," + _sampled(3) + f""",
-nd AS (SELECT repo, string_agg({node}, '' ORDER BY rank) AS nodes FROM smp GROUP BY repo)
-SELECT r.repo, {_q(DIAGRAM_HEAD)} || coalesce(nd.nodes, {_q(DIAGRAM_NO_FILES)}) || {_q(a)} || {clean.format(x='r.repo')} || {_q(b)} AS diagram
+sr AS (SELECT smp.repo, smp.path, smp.rank, sm.reduction_pct FROM smp JOIN sm ON sm.repo = smp.repo AND sm.path = smp.path),
+nd AS (SELECT repo, string_agg({put(DIAGRAM_FILE, place, clean.format(x='path'))}, '' ORDER BY rank) AS nodes,
+              string_agg({put(DIAGRAM_READ, place, place, 'cast(reduction_pct AS VARCHAR)')}, '' ORDER BY rank) AS arrows
+       FROM sr GROUP BY repo)
+SELECT r.repo, {_q(DIAGRAM_KIND)} || {put(DIAGRAM_REPO, clean.format(x='r.repo'))} || coalesce(nd.nodes, {_q(DIAGRAM_NO_FILES)})
+       || coalesce(nd.arrows, '') AS diagram
 FROM (SELECT DISTINCT repo FROM sm) r LEFT JOIN nd ON nd.repo = r.repo"""
 
 
@@ -675,7 +686,10 @@ FROM smp JOIN f ON f.repo = smp.repo AND f.path = smp.path JOIN sm ON sm.repo =
 # ------------------------------------------------------------------ streaming, tree source
 
 def stream_skeletons() -> str:
-    return file_skeleton_metrics()
+    from ..operators.skeleton import METRIC_COLUMNS
+
+    return _scanned_metrics() + f"""
+SELECT repo, path, skeleton, {', '.join(METRIC_COLUMNS)} FROM sm"""
 
 
 def stream_scan_totals() -> str:
@@ -749,28 +763,31 @@ FROM su LEFT JOIN hj ON hj.repo = su.repo"""
 
 def repo_report() -> str:
     """The markdown report composed from the summary, diagram, deep-dive and map oracles."""
+    from . import report as R
+
     lit = _q
 
     def num(x: str) -> str:
         return f"format('{{:,}}', {x})"
 
+    def row(name: str, value: str) -> list[str]:
+        return [lit(f"| {name} | "), value, lit(" |\n")]
+
     report = " || ".join([
-        lit("# Repository Architecture & Codebase Wiki: `"), "su.repo",
-        lit("`\n\nGenerated by codeskel.\n\n---\n\n## Token Context Reduction Metrics\n\n- **Target Repository**: `"),
-        "su.repo", lit("`\n- **Total Files Scanned**: "), "cast(su.total_files_scanned AS VARCHAR)",
-        lit("\n- **Raw Uncompressed Tokens**: ~"), num("su.total_raw_tokens"),
-        lit("\n- **Skeletonized Tokens**: ~"), num("su.total_skeleton_tokens"),
-        lit("\n- **Tokens Saved**: ~"), num("su.saved_tokens"),
-        lit("\n- **Context Reduction**: **"), "cast(su.reduction_pct AS VARCHAR)",
-        lit("%**\n- **Compression Ratio**: **"), "su.compression_ratio",
-        lit("**\n\n---\n\n## Component Interaction Sequence Flow\n\n```mermaid\n"), "dg.diagram",
-        lit("\n```\n\n---\n\n"),
-        "CASE WHEN bb.b IS NULL THEN '' ELSE " + lit("\n### Deep-Dive Method Implementations\n\n") + " || bb.b END",
-        lit("\n\n## Structural Skeleton Overview\n\n```\n"), "coalesce(ex.excerpt, '')",
-        lit("\n... [Truncated for Wiki summary]\n```\n\n---\n\n*Synthesized by codeskel.*\n"),
+        lit(R.REPORT_TITLE), "su.repo", lit(R.REPORT_TABLE),
+        *row("files", "cast(su.total_files_scanned AS VARCHAR)"),
+        *row("tokens as written", num("su.total_raw_tokens")),
+        *row("tokens as skeletons", num("su.total_skeleton_tokens")),
+        *row("tokens saved", num("su.saved_tokens")),
+        *row("saved, percent", "cast(su.reduction_pct AS VARCHAR)"),
+        *row("ratio", "su.compression_ratio"),
+        lit(R.REPORT_MAP), "coalesce(ex.excerpt, '')", lit(R.REPORT_MAP_END),
+        "CASE WHEN bb.b IS NULL THEN '' ELSE " + lit(R.REPORT_BODIES_HEAD) + " || bb.b END",
+        lit(R.REPORT_DIAGRAM), "dg.diagram", lit(R.REPORT_END),
     ])
     snippet_item = " || ".join([
-        lit("#### Target: `"), "path", lit(":"), "method", lit("`\n```\n"), "substring(text, 1, 500)", lit("\n```\n\n"),
+        lit(R.REPORT_BODY[0]), "method", lit(R.REPORT_BODY[1]), "path", lit(R.REPORT_BODY[2]),
+        "substring(text, 1, 500)", lit(R.REPORT_BODY[3]),
     ])
     return f"""WITH
 su AS ({repo_summary()}),
@@ -780,8 +797,7 @@ mp AS ({skeleton_map()}),
 bb AS (SELECT repo, string_agg({snippet_item}, '' ORDER BY k) AS b
        FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY rank) AS k FROM dd) WHERE k <= 3 GROUP BY repo),
 me AS (SELECT repo, string_agg(entry, chr(10) ORDER BY path) AS entries
-       FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS rn FROM mp WHERE path IS NOT NULL)
-       WHERE rn <= 60 GROUP BY repo),
+       FROM mp WHERE path IS NOT NULL GROUP BY repo),
 ex AS (SELECT h.repo, substring(h.entry || coalesce(me.entries, ''), 1, 3500) AS excerpt
        FROM (SELECT repo, entry FROM mp WHERE path IS NULL) h LEFT JOIN me ON me.repo = h.repo)
 SELECT su.*, dg.diagram, {report} AS markdown_report

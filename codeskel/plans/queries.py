@@ -148,10 +148,10 @@ def _doc_files(spark, sf):
 
 
 def _benchmark_symbols(spark, sf):
-    """Distinct lower-case words of at least 5 letters from the benchmark texts."""
+    """Distinct lower-case words of the benchmark texts."""
     b = spark.read.parquet(f"{sf}/benchmark.parquet")
-    words = b.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("symbol"))
-    return words.filter(F.length("symbol") >= 5).distinct()
+    words = b.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("symbol"))
+    return words.filter(F.col("symbol") != "").distinct()
 
 
 def find_references(spark, sf):
@@ -163,7 +163,7 @@ def find_references(spark, sf):
 def find_references_multi(spark, sf):
     lines = S.search_lines(_doc_files(spark, sf))
     syms = _benchmark_symbols(spark, sf)
-    return S.reference_report(S.match_symbols(lines, syms), syms, materialize=True)
+    return S.reference_report(S.match_symbols(lines, syms), syms, lines=lines)
 
 
 def find_references_header(spark, sf):
@@ -224,11 +224,11 @@ def compress_messages(spark, sf):
 
 
 def prompt_assembly(spark, sf):
-    """System turns paired with the generic skeleton of the document of the same id."""
+    """Every document's generic skeleton with the system turns of the conversation of its id (else an empty one)."""
     conv = read_table(spark, sf, "conversations", "conv_id").filter(F.col("role") == "system")
     docs = _docs(spark, sf).withColumn("_lines", split_lines(F.col("text")))
     docs = docs.select(F.col("doc_id").alias("conv_id"), skeleton_generic(F.col("text"), F.col("_lines")).alias("skeleton"))
-    pairs = conv.select("conv_id", "turn", F.col("text").alias("system")).join(docs, "conv_id")
+    pairs = docs.join(conv.select("conv_id", "turn", F.col("text").alias("system")), "conv_id", "left").fillna("", ["system"])
     return P.assemble_prompts(pairs).select("conv_id", "turn", "cached_prompt", "system_tokens", "skeleton_tokens")
 
 

@@ -2,8 +2,8 @@
 
 Everything is computed for all repos at once.  Per-repo text only ever
 aggregates bounded sets: at most 3-4 sampled files, the last 20 history
-entries, and at most ``MAP_PREFIX_ENTRIES`` map entries for the 3,500-char
-skeleton excerpt -- each selected with ``row_number() <= N`` (a per-task
+entries, and as many map entries as the skeleton excerpt can hold characters
+of -- each selected with ``row_number() <= N`` (a per-task
 ``WindowGroupLimit``).  The full skeleton map is one row per file
 (``skeleton_map``), never one string per repo.
 """
@@ -34,7 +34,9 @@ CANDIDATE_CONTAINS = " class "
 REJECT_WORDS = ("not found", "Error")
 # --------------------------------------------------------------------------
 
-MAP_PREFIX_ENTRIES = 60  # every entry is longer than 60 chars, so 60 cover 3,500
+#: The banner of an entry without its path and numbers, and the newline after it: no entry is shorter.
+MAP_BANNER = "--- FILE: %s (Raw: ~%d tokens -> Skeleton: ~%d tokens | Reduction: %s%%) ---"
+MIN_ENTRY_CHARS = len(MAP_BANNER.replace("%s", "").replace("%d", "").replace("%%", "%")) + 1
 
 
 def scanned_metrics(files: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def map_header(summary: DataFrame) -> DataFrame:
 def map_entries(metrics: DataFrame) -> DataFrame:
     """One map entry per file: banner, skeleton and a blank line (P10)."""
     banner = F.format_string(
-        "--- FILE: %s (Raw: ~%d tokens -> Skeleton: ~%d tokens | Reduction: %s%%) ---",
+        MAP_BANNER,
         F.col("path"), F.col("raw_tokens_est"), F.col("skeleton_tokens_est"), F.col("reduction_pct").cast("string"),
     )
     return metrics.select("repo", "path", F.concat(banner, F.lit("\n"), F.col("skeleton"), F.lit("\n")).alias("entry"))
@@ -84,7 +86,8 @@ def skeleton_map(metrics: DataFrame) -> DataFrame:
 def map_excerpt(metrics: DataFrame, n_chars: int = MAP_EXCERPT) -> DataFrame:
     """The first ``n_chars`` characters of each repo's map, from a bounded prefix of entries."""
     w = Window.partitionBy("repo").orderBy("path")
-    first = map_entries(metrics).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= MAP_PREFIX_ENTRIES)
+    enough = n_chars // MIN_ENTRY_CHARS + 1
+    first = map_entries(metrics).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= enough)
     joined = first.groupBy("repo").agg(
         F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct("_rn", "entry"))), lambda e: e["entry"]), "\n"
@@ -170,50 +173,38 @@ def _clean(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\\"), F.lit("/")), F.lit('"'), F.lit(""))
 
 
-DIAGRAM_HEAD = (
-    "sequenceDiagram\n"
-    "    autonumber\n"
-    "    actor User\n"
-    "    participant Explorer as Explorer\n"
-    "    participant DeepDive as Deep-Dive\n"
-    "    participant Tools as Skeleton Tools\n"
-)
-DIAGRAM_NO_FILES = '    participant App as "Target Application"\n'
-DIAGRAM_TAIL = (
-    "    participant Wiki as Publisher\n\n"
-    '    User->>Explorer: Target Repo: "{repo}"\n'
-    "    Explorer->>Tools: repo_skeleton(repo)\n"
-    "    Tools-->>Explorer: Skeleton map\n"
-    "    Explorer->>DeepDive: Identify core interfaces and functions\n"
-    "    DeepDive->>Tools: method_body(file, method)\n"
-    "    Tools-->>DeepDive: Selected implementation body\n"
-    "    DeepDive->>Wiki: Structural and execution findings\n"
-    "    Wiki-->>User: Markdown report and diagram\n"
-)
+# One participant for the repository and one per sampled file; the scan reads a
+# file and the file answers with its share of tokens saved.
+DIAGRAM_KIND = "sequenceDiagram\n"
+DIAGRAM_REPO = '    participant R as "%s"\n'
+DIAGRAM_FILE = '    participant F%d as "%s"\n'
+DIAGRAM_READ = "    R->>F%d: read\n    F%d-->>R: skeleton, %s%% smaller\n"
+DIAGRAM_NO_FILES = '    participant App as "no files sampled"\n'
 
 
 def sequence_diagram(metrics: DataFrame, files: DataFrame) -> DataFrame:
     """Diagram text per repo with up to three sampled files as participants."""
-    s = sampled_files(metrics, files, DIAGRAM_FILES)
+    s = sampled_files(metrics, files, DIAGRAM_FILES).select("repo", "path", "rank")
+    s = s.join(metrics.select("repo", "path", "reduction_pct"), ["repo", "path"])
+
+    def joined(part):
+        ordered = F.sort_array(F.collect_list(F.struct("rank", "path", "reduction_pct")))
+        return F.array_join(F.transform(ordered, part), "")
+
     nodes = s.groupBy("repo").agg(
-        F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("rank", "path"))),
-                lambda e: F.format_string('    participant F%d as "%s"\n', e["rank"] - 1, _clean(e["path"])),
-            ),
-            "",
-        ).alias("nodes")
+        joined(lambda e: F.format_string(DIAGRAM_FILE, e["rank"] - 1, _clean(e["path"]))).alias("nodes"),
+        joined(
+            lambda e: F.format_string(DIAGRAM_READ, e["rank"] - 1, e["rank"] - 1, e["reduction_pct"].cast("string"))
+        ).alias("arrows"),
     )
     repos = metrics.select("repo").distinct()
-    tail_a, tail_b = DIAGRAM_TAIL.split("{repo}")
     return repos.join(nodes, "repo", "left").select(
         "repo",
         F.concat(
-            F.lit(DIAGRAM_HEAD),
+            F.lit(DIAGRAM_KIND),
+            F.format_string(DIAGRAM_REPO, _clean(F.col("repo"))),
             F.coalesce(F.col("nodes"), F.lit(DIAGRAM_NO_FILES)),
-            F.lit(tail_a),
-            _clean(F.col("repo")),
-            F.lit(tail_b),
+            F.coalesce(F.col("arrows"), F.lit("")),
         ).alias("diagram"),
     )
 
@@ -243,6 +234,16 @@ def _fmt_int(c: Column) -> Column:
     return F.format_number(c, 0)
 
 
+REPORT_TITLE = "# Skeleton report: "
+REPORT_TABLE = "\n\n| measure | value |\n| --- | --- |\n"
+REPORT_MAP = "\n## Files\n\n```\n"
+REPORT_MAP_END = "\n```\n"
+REPORT_BODIES_HEAD = "\n## Bodies read\n\n"
+REPORT_BODY = ("**", " in ", "**\n\n```\n", "\n```\n\n")
+REPORT_DIAGRAM = "\n## Reads\n\n```mermaid\n"
+REPORT_END = "```\n"
+
+
 def repo_report(files: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
     """One markdown report per repo (metrics, diagram, <= 3 bodies, map excerpt).
 
@@ -260,8 +261,8 @@ def repo_report(files: DataFrame, metrics: DataFrame | None = None) -> DataFrame
             F.transform(
                 F.sort_array(F.collect_list(F.struct("_k", "path", "method", "text"))),
                 lambda e: F.concat(
-                    F.lit("#### Target: `"), e["path"], F.lit(":"), e["method"], F.lit("`\n```\n"),
-                    F.substring(e["text"], 1, BODY_EXCERPT), F.lit("\n```\n\n"),
+                    F.lit(REPORT_BODY[0]), e["method"], F.lit(REPORT_BODY[1]), e["path"], F.lit(REPORT_BODY[2]),
+                    F.substring(e["text"], 1, BODY_EXCERPT), F.lit(REPORT_BODY[3]),
                 ),
             ),
             "",
@@ -269,23 +270,19 @@ def repo_report(files: DataFrame, metrics: DataFrame | None = None) -> DataFrame
     )
     excerpt = map_excerpt(metrics)
     df = summary.join(diagram, "repo", "left").join(snippets, "repo", "left").join(excerpt, "repo", "left")
-    bodies_txt = F.when(F.col("_b").isNull(), F.lit("")).otherwise(
-        F.concat(F.lit("\n### Deep-Dive Method Implementations\n\n"), F.col("_b"))
-    )
+    bodies_txt = F.when(F.col("_b").isNull(), F.lit("")).otherwise(F.concat(F.lit(REPORT_BODIES_HEAD), F.col("_b")))
+    row = lambda name, value: [F.lit(f"| {name} | "), value, F.lit(" |\n")]
     report = F.concat(
-        F.lit("# Repository Architecture & Codebase Wiki: `"), F.col("repo"), F.lit("`\n\n"),
-        F.lit("Generated by codeskel.\n\n---\n\n## Token Context Reduction Metrics\n\n"),
-        F.lit("- **Target Repository**: `"), F.col("repo"), F.lit("`\n"),
-        F.lit("- **Total Files Scanned**: "), F.col("total_files_scanned").cast("string"), F.lit("\n"),
-        F.lit("- **Raw Uncompressed Tokens**: ~"), _fmt_int(F.col("total_raw_tokens")), F.lit("\n"),
-        F.lit("- **Skeletonized Tokens**: ~"), _fmt_int(F.col("total_skeleton_tokens")), F.lit("\n"),
-        F.lit("- **Tokens Saved**: ~"), _fmt_int(F.col("saved_tokens")), F.lit("\n"),
-        F.lit("- **Context Reduction**: **"), F.col("reduction_pct").cast("string"), F.lit("%**\n"),
-        F.lit("- **Compression Ratio**: **"), F.col("compression_ratio"), F.lit("**\n\n---\n\n"),
-        F.lit("## Component Interaction Sequence Flow\n\n```mermaid\n"), F.col("diagram"), F.lit("\n```\n\n---\n\n"),
+        F.lit(REPORT_TITLE), F.col("repo"), F.lit(REPORT_TABLE),
+        *row("files", F.col("total_files_scanned").cast("string")),
+        *row("tokens as written", _fmt_int(F.col("total_raw_tokens"))),
+        *row("tokens as skeletons", _fmt_int(F.col("total_skeleton_tokens"))),
+        *row("tokens saved", _fmt_int(F.col("saved_tokens"))),
+        *row("saved, percent", F.col("reduction_pct").cast("string")),
+        *row("ratio", F.col("compression_ratio")),
+        F.lit(REPORT_MAP), F.coalesce(F.col("excerpt"), F.lit("")), F.lit(REPORT_MAP_END),
         bodies_txt,
-        F.lit("\n\n## Structural Skeleton Overview\n\n```\n"), F.coalesce(F.col("excerpt"), F.lit("")),
-        F.lit("\n... [Truncated for Wiki summary]\n```\n\n---\n\n*Synthesized by codeskel.*\n"),
+        F.lit(REPORT_DIAGRAM), F.col("diagram"), F.lit(REPORT_END),
     )
     return df.select(*M.SUMMARY_COLUMNS, "diagram", report.alias("markdown_report"))
 

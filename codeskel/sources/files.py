@@ -86,7 +86,7 @@ def repo_ref_normalise(refs: DataFrame, ref: str = "ref") -> DataFrame:
     # local: basename of the absolute path; "." and "/" edge cases keep the path itself
     local = F.regexp_replace(t, "/+$", "")
     local_name = F.element_at(F.split(local, "/"), -1)
-    local_name = F.when((local_name == "") | (local_name == "."), F.lit(None)).otherwise(local_name)
+    local_name = F.when(local_name == "", t).otherwise(local_name)
     return refs.select(
         raw.alias("ref"),
         is_url.alias("is_url"),

@@ -183,8 +183,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     df = _MATERIALIZED.get(key)
     if df is None:
-        n = max(8, spark.sparkContext.defaultParallelism * 2)
-        df = build_code_files(spark, sf_dir).repartition(n, "path").persist(StorageLevel.MEMORY_AND_DISK)
+        df = build_code_files(spark, sf_dir).repartition("path").persist(StorageLevel.MEMORY_AND_DISK)
         _MATERIALIZED[key] = df
     return df
 

@@ -25,21 +25,26 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/codeskel/{name}/{uuid.uuid4().hex}"
 
 
-def stage_files(files: DataFrame, n_files: int = 8) -> str:
-    """Write a files table as ``n_files`` parquet files in the shared folder (the arriving files)."""
+def stage_files(files: DataFrame) -> str:
+    """Write a files table, partitioned as it comes, in the shared folder (the arriving files)."""
     path = _scratch(files.sparkSession, "stream_src")
-    files.select("repo", "path", "ext", "content").repartition(n_files, "path").write.parquet(path)
+    files.select("repo", "path", "ext", "content").write.parquet(path)
     return path
 
 
-def read_files_stream(spark: SparkSession, folder: str, files_per_trigger: int = 2) -> DataFrame:
-    return spark.readStream.schema(FILES_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def read_files_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The arriving files; all that are there make one batch unless the caller limits it."""
+    reader = spark.readStream.schema(FILES_SCHEMA)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(folder)
 
 
-def stream_skeletons(spark: SparkSession, folder: str) -> DataFrame:
-    """Per-file skeleton metrics appended to a parquet table as files arrive."""
+def stream_skeletons(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Skeletons and metrics of the supported files, appended to a parquet table as files arrive."""
     out = _scratch(spark, "stream_skeletons")
-    df = skeletonize(read_files_stream(spark, folder), keep_content=False).select("repo", "path", *METRIC_COLUMNS)
+    files = scan_supported_files(read_files_stream(spark, folder, files_per_trigger))
+    df = skeletonize(files, keep_content=False).select("repo", "path", "skeleton", *METRIC_COLUMNS)
     q = (
         df.writeStream.format("parquet")
         .option("path", out)
@@ -52,19 +57,23 @@ def stream_skeletons(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-def stream_scan_totals(spark: SparkSession, folder: str) -> DataFrame:
+def stream_scan_totals(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
     """Running per-repo scan totals; the table after the last batch is returned."""
     out = _scratch(spark, "stream_totals")
-    files = scan_supported_files(read_files_stream(spark, folder))
+    files = scan_supported_files(read_files_stream(spark, folder, files_per_trigger))
     totals = skeletonize(files, keep_content=False).groupBy("repo").agg(
         F.count(F.lit(1)).alias("total_files_scanned"),
         F.sum("raw_tokens_est").cast("long").alias("total_raw_tokens"),
         F.sum("skeleton_tokens_est").cast("long").alias("total_skeleton_tokens"),
     )
 
+    epochs: list[int] = []
+
     def write(batch: DataFrame, epoch: int) -> None:
-        # complete mode: every batch carries the whole (one row per repo) table
-        batch.write.mode("overwrite").parquet(out)
+        # complete mode: every batch carries the whole (one row per repo) table, in a folder of its own;
+        # a batch that is repeated after a failure replaces only its own folder
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        epochs.append(epoch)
 
     q = (
         totals.writeStream.outputMode("complete")
@@ -74,4 +83,4 @@ def stream_scan_totals(spark: SparkSession, folder: str) -> DataFrame:
         .start()
     )
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(totals.schema).parquet(f"{out}/epoch={max(epochs)}") if epochs else spark.createDataFrame([], totals.schema)

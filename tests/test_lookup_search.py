@@ -9,15 +9,15 @@ from .test_skeleton import G1, G3
 
 
 def test_method_body_python_and_brace(spark):
-    files = spark.createDataFrame([("r", "payment.py", G1), ("r", "f.js", G3)], "repo string, path string, content string")
+    files = spark.createDataFrame([("r", "ledger.py", G1), ("r", "f.js", G3)], "repo string, path string, content string")
     req = spark.createDataFrame(
-        [("r", "payment.py", "charge"), ("r", "f.js", "f"), ("r", "f.js", "nope"), ("r", "gone.py", "x")],
+        [("r", "ledger.py", "total"), ("r", "f.js", "f"), ("r", "f.js", "nope"), ("r", "gone.py", "x")],
         "repo string, path string, method string",
     )
     rows = {(r.path, r.method): r for r in method_bodies(files, req).collect()}
-    charge = rows[("payment.py", "charge")]
-    assert charge.status == "found" and "def charge(" in charge.body and "Verifying step" in charge.body
-    assert charge.body.splitlines()[-1].strip() == "return True"
+    total = rows[("ledger.py", "total")]
+    assert total.status == "found" and "def total(" in total.body and "s += r" in total.body
+    assert total.body.splitlines()[-1].strip() == "return math.floor(s * 100) / 100"
     assert rows[("f.js", "f")].body == G3.rstrip("\n")
     assert rows[("f.js", "nope")].status == "method not found"
     assert rows[("gone.py", "x")].result == "Error: File 'gone.py' not found."
@@ -27,9 +27,9 @@ def test_reference_search_matches_brute_force(spark):
     texts = {"a.txt": "alpha beta\nthe other\n  gamma the\n", "b.txt": "nothing\nthe end"}
     files = spark.createDataFrame([("r", p, t) for p, t in texts.items()], "repo string, path string, content string")
     lines = S.search_lines(files)
-    syms = spark.createDataFrame([("the",), ("zzz",), ("a",)], "symbol string")
-    rep = S.reference_report(S.match_symbols(lines, syms), syms, n=2).collect()
-    for sym in ["the", "a"]:
+    syms = spark.createDataFrame([("the",), ("zzz",), ("a",), (" the",), ("e o",)], "symbol string")
+    rep = S.reference_report(S.match_symbols(lines, syms), syms, n=2, lines=lines).collect()
+    for sym in ["the", "a", " the", "e o"]:
         brute = [(p, i + 1, ln.strip()) for p, t in sorted(texts.items()) for i, ln in enumerate(t.split("\n")[:-1] if t.endswith("\n") else t.split("\n")) if sym in ln]
         got = sorted((r.path, r.line_no, r.text) for r in rep if r.symbol == sym)
         assert got == brute[:2]
@@ -55,3 +55,50 @@ def test_scan_filter(spark):
     df = spark.createDataFrame([("r", p, "") for p in paths], "repo string, path string, content string")
     got = sorted(r.path for r in scan_supported_files(df).collect())
     assert got == ["pkg/__init__.py", "src/a.py"]
+
+
+def test_method_bodies_of_formatted_python(spark):
+    """Wrapped headers, strings at column 0, defs inside docstrings, equal names at two depths, names with ``$``."""
+    py = '''"""Usage:
+
+def h(): ...
+"""
+
+
+def f(
+    a,
+    b,
+):
+    s = """
+text at column 0
+"""
+    return (a,
+b)
+
+
+class K:
+    def g(self):
+        return 1
+
+
+def g(x):
+    return 2
+
+
+def h():
+    return 3
+'''
+    js = "x = 1;\nfunction $load(a) {\n  b();\n}\n"
+    files = spark.createDataFrame([("r", "a.py", py), ("r", "b.js", js)], "repo string, path string, content string")
+    reqs = spark.createDataFrame([("r", "a.py", m) for m in "fgh"] + [("r", "b.js", "$load")], "repo string, path string, method string")
+    got = {r.method: r.body for r in method_bodies(files, reqs).collect()}
+    lines = py.split("\n")
+    assert got["f"] == "\n".join(lines[6:15])
+    assert got["g"] == "def g(x):\n    return 2"
+    assert got["h"] == "def h():\n    return 3"
+    assert got["$load"] == js.rstrip("\n")[len("x = 1;\n"):]
+
+
+def test_local_reference_edge_cases(spark):
+    df = spark.createDataFrame([("/",), (".",), ("a/b/",)], "ref string")
+    assert {r.ref: r.repo_name for r in repo_ref_normalise(df).collect()} == {"/": "/", ".": ".", "a/b/": "b"}

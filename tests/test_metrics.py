@@ -2,6 +2,10 @@
 
 from itertools import accumulate
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from codeskel.operators import metrics as M
 from codeskel.operators.metrics import repo_summary, scan_running_totals
 
 
@@ -27,3 +31,19 @@ def test_repo_summary_ratio_and_pct(spark):
     r = repo_summary(df).first()
     assert (r.total_raw_tokens, r.total_skeleton_tokens, r.saved_tokens) == (150, 70, 80)
     assert r.reduction_pct == 53.3 and r.compression_ratio == "2.1x"
+
+
+def test_running_totals_when_range_bounds_are_sampled(spark):
+    """Few ranges over many rows: bounds are sampled, and still no row is lost or counted twice."""
+    rows = [("hot" if i % 3 else f"r{i % 7}", f"p{(i * 7919) % 20000:05d}", i % 101, i % 13) for i in range(20000)]
+    m = spark.createDataFrame(rows, "repo string, path string, raw_tokens_est int, skeleton_tokens_est int").repartition(8)
+    w = Window.partitionBy("repo").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = {
+        tuple(r)
+        for r in m.select(
+            "repo", "path", F.count("*").over(w), F.sum("raw_tokens_est").over(w), F.sum("skeleton_tokens_est").over(w)
+        ).collect()
+    }
+    for n in (2, 4, 2):
+        got = [tuple(r) for r in M.scan_running_totals(m, n).collect()]
+        assert len(got) == len(rows) and set(got) == want

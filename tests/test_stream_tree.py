@@ -19,15 +19,16 @@ def _files(spark):
 
 def test_stream_skeletons_equal_batch(spark):
     files = _files(spark)
-    folder = ST.stage_files(files, n_files=2)
-    streamed = sorted(tuple(r) for r in ST.stream_skeletons(spark, folder).select("repo", "path", *METRIC_COLUMNS).collect())
-    batch = sorted(tuple(r) for r in skeletonize(files, keep_content=False).select("repo", "path", *METRIC_COLUMNS).collect())
+    folder = ST.stage_files(files)
+    streamed = sorted(tuple(r) for r in ST.stream_skeletons(spark, folder, files_per_trigger=1).select("repo", "path", "skeleton", *METRIC_COLUMNS).collect())
+    scanned = files.filter(~F.col("path").startswith("node_modules/"))
+    batch = sorted(tuple(r) for r in skeletonize(scanned, keep_content=False).select("repo", "path", "skeleton", *METRIC_COLUMNS).collect())
     assert streamed == batch
 
 
 def test_stream_totals_equal_batch(spark):
     files = _files(spark)
-    folder = ST.stage_files(files, n_files=2)
+    folder = ST.stage_files(files)
     got = {r.repo: (r.total_files_scanned, r.total_raw_tokens) for r in ST.stream_scan_totals(spark, folder).collect()}
     m = skeletonize(files.filter(~F.col("path").startswith("node_modules/")), keep_content=False)
     want = {r.repo: (r.n, r.raw) for r in m.groupBy("repo").agg(F.count("*").alias("n"), F.sum("raw_tokens_est").alias("raw")).collect()}
