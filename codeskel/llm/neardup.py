@@ -5,15 +5,18 @@
    row from here on.
 2. A class signs its set with ``BANDS * ROWS`` minimum hashes.  Classes that agree
    on all rows of a band share a bucket.
-3. Buckets propose pairs in rounds.  In every round each bucket names one pivot,
-   another one each time, and pairs it with the members that are not yet in its
-   component: one pair per member, never all pairs.  After :data:`PIVOT_ROUNDS`
-   rounds what is left is settled exactly: members outside a bucket's largest
-   component are paired with all members of other components.
-4. A pair's signatures are compared batch by batch.  After each batch the
-   posterior of the similarity, given the agreements so far, bounds the chance
-   that it reaches the threshold; pairs below :data:`MISS` are dropped.  Survivors
-   are verified on their full sets.
+3. Buckets propose pairs in rounds.  In a pivot round each bucket names its most
+   central class (the one with most bucket mates in all bands, as an original has
+   among its copies; then one outside the bucket's largest component) and pairs it
+   with the members of other components: one pair per member, never all pairs.
+   What is left is settled exactly: the members outside a bucket's largest
+   component are compared with all members of other components, signatures only,
+   in blocks that stream past each other; only survivors become rows.  Their
+   signatures are longer, as many pairs hinge on them.
+4. A pair's signatures (a byte of each hash) are compared batch by batch.  After
+   each batch the posterior of the similarity, given the agreements so far, bounds
+   the chance that it reaches the threshold; pairs below :data:`MISS` are dropped.
+   Survivors are verified on their full sets.
 5. Verified links give connected components by minimum labels, in rounds of joins.
 
 Links, labels and candidates stay distributed; each round's table is written to
@@ -26,6 +29,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +45,14 @@ THRESHOLD_PERCENT = 80
 BANDS = 40
 ROWS = 6
 #: Chance, per comparison, with which a true link may be dropped unverified.
-MISS = 1e-6
+MISS = 1e-5
 #: Signature positions compared before each decision.
 BATCH = 16
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
+#: Further hashes of the classes that are compared with many others.
+MORE = 784
+#: Members of a bucket compared with its other members at once.
+BLOCK = 256
 #: Shingles hashed at once while signing.
 CHUNK = 256
 
@@ -59,6 +67,7 @@ def _params(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
 
 
 _A, _B = _params(BANDS * ROWS)
+_MORE = _params(MORE, 2)
 _word_hash: dict[bytes, int] = {}
 
 
@@ -72,7 +81,7 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, remembered up to a bound."""
     import xxhash
 
-    if len(_word_hash) > 500_000:
+    if len(_word_hash) > 150_000:
         _word_hash.clear()
     known = _word_hash
     for w in words:
@@ -97,41 +106,46 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+def signature(s: np.ndarray, params: tuple[np.ndarray, np.ndarray] = (_A, _B)) -> np.ndarray:
     """Minimum hashes of a set, in chunks of bounded size."""
-    best = np.full(len(_A), _M32, np.uint32)
+    mul, mask = params
+    best = np.full(len(mul), _M32, np.uint32)
     short = (s >> np.uint64(32)).astype(np.uint32)
     for i in range(0, len(s), CHUNK):
-        x = short[None, i : i + CHUNK] ^ _B[:, None]
-        x *= _A[:, None]
+        x = short[None, i : i + CHUNK] ^ mask[:, None]
+        x *= mul[:, None]
         np.minimum(best, x.min(axis=1), out=best)
     return best
 
 
-def _prune_limits() -> list[int]:
-    """Per batch, the least agreements with which a pair goes on.
+@lru_cache
+def _prune_limits(width: int) -> tuple[int, ...]:
+    """Per batch of a signature of ``width``, the least agreements with which a pair goes on.
 
     With a uniform prior the posterior after ``m`` agreements of ``n`` is
     Beta(m+1, n-m+1); its tail above the threshold t is the binomial sum
     P(Bin(n+1, t) <= m).  The least m whose tail exceeds MISS is the limit.
     """
     t, out = THRESHOLD_PERCENT / 100, []
-    for n in range(BATCH, BANDS * ROWS + 1, BATCH):
+    for n in range(BATCH, width + 1, BATCH):
         tail = 0.0
         for m in range(n + 1):
-            tail += math.comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
+            ways = math.lgamma(n + 2) - math.lgamma(m + 1) - math.lgamma(n + 2 - m)
+            tail += math.exp(ways + m * math.log(t) + (n + 1 - m) * math.log(1 - t))
             if tail > MISS:
                 out.append(m)
                 break
-    return out
+    return tuple(out)
 
 
 def survives(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which rows of two signature matrices stay candidates after every batch."""
     alive = np.arange(len(a))
     agreed = np.zeros(len(a), np.int64)
-    for i, least in enumerate(_prune_limits()):
+    for i, least in enumerate(_prune_limits(a.shape[1])):
         cols = slice(i * BATCH, (i + 1) * BATCH)
+        if not len(alive):
+            break
         agreed[alive] += (a[alive, cols] == b[alive, cols]).sum(axis=1)
         alive = alive[agreed[alive] >= least]
     out = np.zeros(len(a), bool)
@@ -143,35 +157,114 @@ def _digest(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """Bucket keys of a signature, one per band; the band is part of the key."""
+    rows = sig.reshape(BANDS, ROWS)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for r in range(ROWS):
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, r])
+    return key
+
+
 def _sign(k: int):
-    """Arrow batches of (doc_id, tag, text) to rows with class, set size and signature."""
+    """Arrow batches of (doc_id, tag, text) to rows with class, set size, signature bytes and bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 sets = [shingle_set(t, k) for t in part.column(2).cast(pa.binary()).to_pylist()]
+                sigs = [signature(s) if len(s) else None for s in sets]
                 yield pa.record_batch(
                     [part.column(0), part.column(1), pa.array([_digest(s) for s in sets], pa.binary()),
                      pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    names=["doc_id", "tag", "cls", "n_shingles", "sig"],
+                     pa.array([None if g is None else g.astype(np.uint8).tobytes() for g in sigs], pa.binary()),
+                     pa.array([None if g is None else band_keys(g).tobytes() for g in sigs], pa.binary())],
+                    names=["doc_id", "tag", "cls", "n_shingles", "sig", "bands"],
                 )
 
     return run
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of (cls, sig) to one row per band: bucket key and class."""
+    """Arrow batches of (cls, bands) to one row per band: bucket key and class."""
     for b in batches:
         for lo in range(0, b.num_rows, 1024):
             part = b.slice(lo, 1024)
-            sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(part.num_rows, BANDS, ROWS)
-            key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (part.num_rows, 1))
-            for r in range(ROWS):
-                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
+            keys = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int64)
             cls = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), BANDS)))
-            yield pa.record_batch([pa.array(key.ravel().view(np.int64)), cls], names=["bucket", "cls"])
+            yield pa.record_batch([pa.array(keys), cls], names=["bucket", "cls"])
+
+
+def _matrix(column: pa.Array, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _long(rows: pa.RecordBatch) -> np.ndarray:
+    """Both parts of the signatures of :func:`_cross` rows."""
+    return np.concatenate((_matrix(rows.column(5), np.uint8), _matrix(rows.column(7), np.uint8)), axis=1)
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """Digests as an array that compares element by element."""
+    return np.array(column.to_pylist(), object)
+
+
+def _more(k: int):
+    """Arrow batches of (cls, text) to (cls, further hashes); a text of another class is passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 128):
+                p = b.slice(lo, 128)
+                sets = [shingle_set(t, k) for t in p.column(1).cast(pa.binary()).to_pylist()]
+                mine = [_digest(s) == c for s, c in zip(sets, p.column(0).to_pylist())]
+                sigs = [signature(s, _MORE).astype(np.uint8).tobytes() for s in sets]
+                yield pa.record_batch([p.column(0), pa.array(sigs, pa.binary())], names=["cls", "more"]).filter(pa.array(mine, pa.bool_()))
+
+    return run
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rest members against their bucket's members; yields surviving pairs.
+
+    Rows are (bucket, block, side, cls, comp, sig, bands, more), sorted by the first three:
+    side 0 is the block, which is held; side 1 streams past.  A pair that shares
+    several buckets is reported by the first band alone.
+    """
+    key, held = None, []
+    mine: tuple | None = None
+    for batch in batches:
+        rows = batch.num_rows
+        if not rows:
+            continue
+        bucket, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        side = batch.column(2).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(block) != 0) | (np.diff(side) != 0)) + 1
+        edges = sorted({0, rows, *cuts.tolist(), *range(0, rows, 1024)})
+        for lo, hi in zip(edges, edges[1:]):
+            p = batch.slice(lo, hi - lo)
+            if (bucket[lo], block[lo]) != key:
+                key, held, mine = (bucket[lo], block[lo]), [], None
+            if side[lo] == 0:
+                held.append(p)
+                mine = None
+                continue
+            if not held:
+                continue
+            if mine is None:
+                t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                mine = (t.column(3).to_pylist(), _codes(t.column(4)), _long(t), _matrix(t.column(6), np.uint64))
+            cls, comp = p.column(3).to_pylist(), _codes(p.column(4))
+            sig, bands = _long(p), _matrix(p.column(6), np.uint64)
+            here = np.uint64(int(bucket[lo]) & ((1 << 64) - 1))
+            for i, (c, g) in enumerate(zip(mine[0], mine[1])):
+                band = np.flatnonzero(mine[3][i] == here)[0]
+                other = np.flatnonzero((comp != g) & ((bands == mine[3][i]).argmax(axis=1) == band))
+                other = other[survives(np.broadcast_to(mine[2][i], (len(other), sig.shape[1])), sig[other])]
+                if len(other):
+                    pairs = [(min(c, cls[j]), max(c, cls[j])) for j in other.tolist()]
+                    yield pa.record_batch([pa.array(x, pa.binary()) for x in zip(*pairs)], names=["a", "b"])
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +272,7 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 2048):
             p = batch.slice(lo, 2048)
-            m = [np.frombuffer(b"".join(p.column(i).to_pylist()), np.uint32).reshape(p.num_rows, -1) for i in (2, 3)]
-            yield p.select([0, 1]).filter(pa.array(survives(*m)))
+            yield p.select([0, 1]).filter(pa.array(survives(_matrix(p.column(2), np.uint8), _matrix(p.column(3), np.uint8))))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,15 +331,18 @@ def components(links: DataFrame) -> DataFrame:
 class _Linker:
     """Verified links among the classes of one corpus, found round by round.
 
-    ``docs`` has ``doc_id, text``; ``heads`` has ``cls, doc_id, sig``: each class with
-    its signature and a document that shows its set.
+    ``docs`` has ``doc_id, text``; ``heads`` has ``cls, doc_id, sig, bands``: each class
+    with its signature and a document that shows its set.
     """
 
     def __init__(self, docs: DataFrame, heads: DataFrame, k: int):
         self.docs, self.heads, self.k = docs, heads, k
-        rows = heads.select("cls", "sig").mapInArrow(_buckets, "bucket long, cls binary")
-        many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-        self.buckets = cut(rows.join(many, "bucket"), "buckets")
+        rows = heads.select("cls", "bands").mapInArrow(_buckets, "bucket long, cls binary")
+        many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        shared = cut(rows.join(many, "bucket"), "shared")
+        mates = shared.groupBy("cls").agg(F.sum("n").alias("mates"))
+        self.buckets = cut(shared.drop("n").join(mates, "cls"), "buckets")
+        drop(shared)
         self.links: DataFrame | None = None
         self.tested: DataFrame | None = None
 
@@ -260,10 +355,8 @@ class _Linker:
             "kept",
         )
         used = kept.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        shown = self.heads.select("cls", F.col("doc_id").alias("shown")).join(used, "cls")
         sets = cut(
-            self.docs.join(shown, F.col("doc_id").eqNullSafe(F.col("shown"))).select("cls", "text")
-            .mapInArrow(_full_sets(self.k), "cls binary, words binary"),
+            self._texts(used).mapInArrow(_full_sets(self.k), "cls binary, words binary"),
             "sets",
         )
         out = cut(
@@ -275,6 +368,11 @@ class _Linker:
         drop(sets)
         return out
 
+    def _texts(self, classes: DataFrame) -> DataFrame:
+        """``cls, text`` of the documents that show the given classes."""
+        shown = self.heads.select("cls", F.col("doc_id").alias("shown")).join(classes, "cls")
+        return self.docs.join(shown, F.col("doc_id").eqNullSafe(F.col("shown"))).select("cls", "text")
+
     def _labelled(self) -> DataFrame:
         """Bucket rows with each class's component so far (itself, if it has no link)."""
         if self.links is None:
@@ -303,22 +401,48 @@ class _Linker:
         self.tested = pairs if self.tested is None else cut(self.tested.union(pairs), "tested")
         return True
 
+    @staticmethod
+    def _main(rows: DataFrame) -> DataFrame:
+        """Each bucket's largest component."""
+        size = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+        return size.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
+
     def run(self) -> DataFrame | None:
         for turn in range(PIVOT_ROUNDS):
             rows = self._open()
-            by = F.struct(F.xxhash64(F.lit(turn), "cls").alias("h"), "cls", "comp")
-            pivot = rows.groupBy("bucket").agg(F.min(by).alias("p")).select("bucket", F.col("p.cls").alias("p"), F.col("p.comp").alias("pc"))
+            if turn:
+                rows = rows.join(self._main(rows), "bucket").withColumn("mates", F.when(F.col("comp") == F.col("main"), 0).otherwise(F.col("mates")))
+            pivot = rows.groupBy("bucket").agg(F.max(F.struct("mates", "cls", "comp")).alias("p"))
+            pivot = pivot.select("bucket", F.col("p.cls").alias("p"), F.col("p.comp").alias("pc"))
             star = rows.join(pivot, "bucket").filter(F.col("comp") != F.col("pc"))
             if not self._round(rows, star.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))):
                 break
-        rows = self._open()
-        size = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-        main = size.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
-        rest = rows.join(main, "bucket").filter(F.col("comp") != F.col("main")).select("bucket", F.col("cls").alias("x"), F.col("comp").alias("xc"))
-        others = rest.join(rows, "bucket").filter(F.col("comp") != F.col("xc"))
-        self._round(rows, others.select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")))
+        self._settle()
         return self.links
 
+    def _settle(self) -> None:
+        """Compare the members outside each bucket's largest component with all of other components."""
+        rows = self._open()
+        more = cut(self._texts(rows.select("cls").distinct()).mapInArrow(_more(self.k), "cls binary, more binary").dropDuplicates(["cls"]), "more")
+        signed = self.heads.select("cls", "sig", "bands").join(more, "cls")
+        known = rows.join(self._main(rows), "bucket").join(signed, "cls")
+        rest = F.col("comp") != F.col("main")
+        blocks = rows.join(self._main(rows), "bucket").filter(rest).groupBy("bucket").agg(
+            F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")
+        )
+        sided = known.join(blocks, "bucket").withColumn(
+            "to",
+            F.concat(
+                F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("block"), F.lit(1).alias("side"))),
+                F.when(rest, F.array(F.struct(F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("block"), F.lit(0).alias("side"))))
+                .otherwise(F.array().cast("array<struct<block:int,side:int>>")),
+            ),
+        ).select("bucket", F.explode("to").alias("to"), "cls", "comp", "sig", "bands", "more")
+        streams = sided.select("bucket", "to.block", "to.side", "cls", "comp", "sig", "bands", "more").repartition("bucket", "block")
+        found = streams.sortWithinPartitions("bucket", "block", "side").mapInArrow(_cross, "a binary, b binary")
+        self._round(rows, found)
+        drop(more)
+
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     """Per row of ``docs (doc_id, text)``: ``doc_id, n_shingles, component_id, kept, tag``.
@@ -334,11 +458,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tagged = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tag"), "text")
-    rows = cut(tagged.mapInArrow(_sign(k), "doc_id long, tag string, cls binary, n_shingles long, sig binary"), "signed")
+    rows = cut(tagged.mapInArrow(_sign(k), "doc_id long, tag string, cls binary, n_shingles long, sig binary, bands binary"), "signed")
     heads = cut(
         rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
-        .join(rows.select(F.col("cls").alias("c"), F.col("doc_id").alias("d"), "sig"), (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")))
-        .select("cls", "doc_id", "sig").dropDuplicates(["cls"]),
+        .join(rows.select(F.col("cls").alias("c"), F.col("doc_id").alias("d"), "sig", "bands"), (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")))
+        .select("cls", "doc_id", "sig", "bands").dropDuplicates(["cls"]),
         "heads",
     )
     links = _Linker(docs, heads, k).run()

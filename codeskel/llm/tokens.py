@@ -36,7 +36,7 @@ END_ID = 1
 #: Ids after which a block is closed (a longer document has a block of its own).
 BLOCK_IDS = 1 << 16
 #: Distinct words a worker remembers before it starts anew (about 200 bytes each).
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Text bytes that are tokenized at once.
 BATCH_BYTES = 4 << 20
 
