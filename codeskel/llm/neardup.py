@@ -18,6 +18,7 @@
    the chance that it reaches the threshold; pairs below :data:`MISS` are dropped.
    Survivors are verified on their full sets.
 5. Verified links give connected components by minimum labels, in rounds of joins.
+   Later links are drawn between the labels found so far.
 
 Links, labels and candidates stay distributed; each round's table is written to
 the shared folder.
@@ -329,7 +330,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 class _Linker:
-    """Verified links among the classes of one corpus, found round by round.
+    """Components of the classes of one corpus, from links verified round by round.
 
     ``docs`` has ``doc_id, text``; ``heads`` has ``cls, doc_id, sig, bands``: each class
     with its signature and a document that shows its set.
@@ -343,17 +344,20 @@ class _Linker:
         mates = shared.groupBy("cls").agg(F.sum("n").alias("mates"))
         self.buckets = cut(shared.drop("n").join(mates, "cls"), "buckets")
         drop(shared)
-        self.links: DataFrame | None = None
+        self.label: DataFrame | None = None
         self.tested: DataFrame | None = None
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """Candidates ``(a, b)`` to verified links, written."""
+    def _pruned(self, pairs: DataFrame) -> DataFrame:
+        """Candidates ``(a, b)`` that their signatures keep, written."""
         sig = self.heads.select("cls", "sig")
-        kept = cut(
+        return cut(
             pairs.join(sig.toDF("b", "sb"), "b").join(sig.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
             .mapInArrow(_prune, "a binary, b binary"),
             "kept",
         )
+
+    def _verified(self, kept: DataFrame) -> DataFrame:
+        """Candidates ``(a, b)`` to verified links, written."""
         used = kept.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         sets = cut(
             self._texts(used).mapInArrow(_full_sets(self.k), "cls binary, words binary"),
@@ -364,10 +368,23 @@ class _Linker:
             .mapInArrow(_verify, "a binary, b binary").distinct(),
             "verified",
         )
-        drop(kept)
         drop(sets)
         return out
 
+    def _merge(self, links: DataFrame) -> None:
+        """Add links to the labels: each is drawn between the labels of its ends, if they differ."""
+        if self.label is None:
+            self.label = components(links)
+            return
+        drawn = (
+            links.join(self.label.toDF("a", "ca"), "a", "left").join(self.label.toDF("b", "cb"), "b", "left")
+            .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a != b").distinct()
+        )
+        up = components(drawn).toDF("comp", "up")
+        old = self.label.join(up, "comp", "left").select("cls", F.coalesce("up", "comp").alias("comp"))
+        new = up.join(self.label.select(F.col("cls").alias("comp")), "comp", "left_anti").toDF("cls", "comp")
+        self.label = cut(old.union(new), "labels")
+
     def _texts(self, classes: DataFrame) -> DataFrame:
         """``cls, text`` of the documents that show the given classes."""
         shown = self.heads.select("cls", F.col("doc_id").alias("shown")).join(classes, "cls")
@@ -375,9 +392,9 @@ class _Linker:
 
     def _labelled(self) -> DataFrame:
         """Bucket rows with each class's component so far (itself, if it has no link)."""
-        if self.links is None:
+        if self.label is None:
             return self.buckets.withColumn("comp", F.col("cls"))
-        return self.buckets.join(components(self.links), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        return self.buckets.join(self.label, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
     def _open(self) -> DataFrame:
         """Rows of the buckets that still hold more than one component, written."""
@@ -387,8 +404,11 @@ class _Linker:
         drop(rows)
         return out
 
-    def _round(self, rows: DataFrame, pairs: DataFrame) -> bool:
-        """Test the pairs that no earlier round tested; False if there are none."""
+    def _round(self, rows: DataFrame, pairs: DataFrame, pruned: bool = False) -> bool:
+        """Test the pairs that no earlier round tested; False if there are none.
+
+        ``pruned`` pairs have passed the comparison of signatures already.
+        """
         pairs = pairs.distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
@@ -396,8 +416,10 @@ class _Linker:
         drop(rows)
         if pairs.isEmpty():
             return False
-        found = self._verified(pairs)
-        self.links = found if self.links is None else cut(self.links.union(found), "links")
+        kept = pairs if pruned else self._pruned(pairs)
+        self._merge(self._verified(kept))
+        if not pruned:
+            drop(kept)
         self.tested = pairs if self.tested is None else cut(self.tested.union(pairs), "tested")
         return True
 
@@ -408,6 +430,7 @@ class _Linker:
         return size.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
 
     def run(self) -> DataFrame | None:
+        """``cls, comp`` of the classes with links; None if no two classes were compared."""
         for turn in range(PIVOT_ROUNDS):
             rows = self._open()
             if turn:
@@ -418,7 +441,7 @@ class _Linker:
             if not self._round(rows, star.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))):
                 break
         self._settle()
-        return self.links
+        return self.label
 
     def _settle(self) -> None:
         """Compare the members outside each bucket's largest component with all of other components."""
@@ -440,7 +463,7 @@ class _Linker:
         ).select("bucket", F.explode("to").alias("to"), "cls", "comp", "sig", "bands", "more")
         streams = sided.select("bucket", "to.block", "to.side", "cls", "comp", "sig", "bands", "more").repartition("bucket", "block")
         found = streams.sortWithinPartitions("bucket", "block", "side").mapInArrow(_cross, "a binary, b binary")
-        self._round(rows, found)
+        self._round(rows, found, pruned=True)
         drop(more)
 
 
@@ -465,10 +488,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
         .select("cls", "doc_id", "sig", "bands").dropDuplicates(["cls"]),
         "heads",
     )
-    links = _Linker(docs, heads, k).run()
+    label = _Linker(docs, heads, k).run()
     first = heads.select("cls", F.col("doc_id").alias("first"))
-    if links is not None:
-        label = components(links).join(first, "cls")
+    if label is not None:
+        label = label.join(first, "cls")
         least = label.groupBy("comp").agg(F.min("first").alias("least"))
         first = first.join(label.join(least, "comp").select("cls", "least"), "cls", "left").select(
             "cls", F.coalesce("least", "first").alias("first")
