@@ -43,7 +43,7 @@ K = 15
 PRIOR_WEIGHT = 1.0
 BLOCK = 64
 #: Scored vectors a worker remembers.
-CACHE = 100_000
+CACHE = 10_000
 
 
 class BlockMaxIndex:
