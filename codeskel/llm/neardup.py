@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, drop, ship
+from .common import SPACE, cut, drop, ship, small_batches
 
 #: Shingle length and similarity of stages on documents; the contract query sets 4.
 SHINGLE_WORDS = 5
@@ -479,6 +479,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     table gives no rows.
     """
     ship(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, k)
+
+
+def _near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tagged = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tag"), "text")
     rows = cut(tagged.mapInArrow(_sign(k), "doc_id long, tag string, cls binary, n_shingles long, sig binary, bands binary"), "signed")
