@@ -46,7 +46,7 @@ STAGES = [
     ("tokens", token_stage),
 ]
 
-#: No SQL: the stages learn, hash and tokenize.  tests/llm compares run() with a brute-force version.
+#: No SQL: the stages learn, hash and tokenize.  tests/llm tests the operators; run() as a whole has no test yet.
 ORACLE_SQL = None
 
 
