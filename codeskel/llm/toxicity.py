@@ -1,17 +1,18 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-1. Terms are counted by label over a sample of labelled documents.  The terms of
-   which most documents are toxic, surely (lower confidence bound), are the
-   vocabulary.
-2. One pass over all documents gives each one's vocabulary terms; document
-   frequencies come from all of them.
-3. The sample's vectors form an inverted index.  Its postings are cut into blocks
-   of consecutive examples with the largest weight of each, so a search orders
-   blocks by the score they can reach and stops, exactly, when none can enter the
-   nearest :data:`K`.
-4. Neighbours vote with their cosine as weight, smoothed by the share of toxic
-   examples among those without any vocabulary term, which is also the score of a
-   document without one.
+1. The terms are all words of a sample of labelled documents; document frequencies
+   come from all documents.
+2. A term that surely (lower confidence bound) stands in toxic documents more often
+   than the sample's share of them weighs more, up to :data:`BOOST` times; no term
+   is left out.
+3. The sample's unit vectors form an index.  Terms that many examples hold are a
+   matrix, whose products with a batch of documents are taken at once; the others
+   are an inverted index.  The sums are cut into blocks of consecutive examples with
+   the largest of each, so the nearest :data:`K` are looked for, exactly, in the
+   blocks that can hold them.
+4. Neighbours vote with their cosine, sharpened relative to the nearest one's, as
+   weight, smoothed by the sample's share of toxic examples, which is also the score
+   of a document without neighbours.
 
 The sample holds at most about :data:`MAX_EXAMPLES` labelled documents, chosen by a
 hash of the id; everything else covers all documents.
@@ -19,7 +20,9 @@ hash of the id; everything else covers all documents.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,128 +37,200 @@ from .words import words_of
 FOLDS, HELD_OUT_FOLD = 5, 0
 #: Labelled documents learned from, in expectation (the documented bound of the sample).
 MAX_EXAMPLES = 20_000
-#: Terms in the vocabulary at most, the strongest first.
-MAX_TERMS = 4096
-#: A term needs this many documents and, three standard errors from chance, this share of toxic ones.
-MIN_DOCS, MIN_SHARE, Z = 5, 0.5, 3.0
+#: Standard errors from chance, and the largest factor on a term's weight (at a toxic share of 1).
+Z, BOOST = 3.0, 1000.0
 K = 15
 #: Weight of the prior among the votes.
 PRIOR_WEIGHT = 1.0
+#: A neighbour's vote is its cosine times this power of its ratio to the largest cosine.
+SHARPEN = 2
 BLOCK = 64
+#: Share of the examples from which a term is in the matrix.
+FREQUENT = 0.05
+#: Documents scored at once.
+BATCH = 64
 #: Scored vectors a worker remembers.
 CACHE = 10_000
 
 
 class BlockMaxIndex:
-    """Unit vectors by term, with block maxima; finds the exact nearest by cosine.
+    """Unit vectors by term; finds the exact nearest by cosine, by the maxima of blocks.
 
     ``vectors`` are sorted by what ties are broken by: the earlier wins.
     """
 
     def __init__(self, vectors: list[dict[int, float]]):
-        by_term: dict[int, list[tuple[int, float]]] = {}
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                by_term.setdefault(t, []).append((i, w))
-        self.n = len(vectors)
-        self.terms = {}
-        for t, post in by_term.items():
-            ids, ws = np.array([p[0] for p in post]), np.array([p[1] for p in post])
-            blocks, first = np.unique(ids // BLOCK, return_index=True)
-            self.terms[t] = (ids, ws, blocks, np.append(first, len(ids)), np.maximum.reduceat(ws, first))
+        sizes = [len(v) for v in vectors]
+        terms = np.fromiter((t for v in vectors for t in v), np.int32, sum(sizes))
+        weights = np.fromiter((w for v in vectors for w in v.values()), np.float64, sum(sizes))
+        self._build(len(vectors), np.repeat(np.arange(len(vectors), dtype=np.int32), sizes), terms, weights)
+
+    @classmethod
+    def from_arrays(cls, n: int, places: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> BlockMaxIndex:
+        """The index of ``n`` vectors with ``weights`` at ``places`` (ascending) and ``terms``."""
+        self = cls.__new__(cls)
+        self._build(n, places, terms, weights)
+        return self
+
+    def _build(self, n: int, places: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        self.n, width = n, int(terms.max()) + 1 if len(terms) else 0
+        held = np.bincount(terms, minlength=width)
+        frequent = np.flatnonzero(held > FREQUENT * n)
+        self.column = np.full(width, -1, np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        dense = self.column[terms] >= 0
+        self.matrix = np.zeros((n, len(frequent)))
+        self.matrix[places[dense], self.column[terms[dense]]] = weights[dense]
+        rest = np.flatnonzero(~dense)
+        rest = rest[np.argsort(terms[rest], kind="stable")]
+        self.places, self.weights = places[rest], weights[rest]
+        self.first = np.searchsorted(terms[rest], np.arange(width + 1)).astype(np.int64)
+        self.single = self.matrix.astype(np.float32)
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[int, float]]]:
+        """Of each query (ascending terms, weights): the ``k`` vectors of largest positive cosine, nearest first."""
+        if not self.n:
+            return [[] for _ in queries]
+        size = self.matrix.shape[1]
+        part = np.zeros((len(queries), size))
+        rare = []
+        for row, (terms, weights) in zip(part, queries):
+            known = terms < len(self.column)
+            terms, weights = terms[known], weights[known]
+            at = self.column[terms]
+            row[at[at >= 0]] = weights[at >= 0]
+            rare.append((terms[at < 0], weights[at < 0]))
+        sums = part.astype(np.float32) @ self.single.T
+        slack = 1e-9 + 4e-7 * (size + 8)  # the matrix products are of single precision; what is kept is summed again
+        return [self._nearest(row, *r, s, slack, k) for row, r, s in zip(part, rare, sums)]
+
+    def _nearest(self, row: np.ndarray, terms: np.ndarray, weights: np.ndarray, sums: np.ndarray, slack: float, k: int) -> list[tuple[int, float]]:
+        lo = self.first[terms]
+        sizes = self.first[terms + 1] - lo
+        total = int(sizes.sum())
+        where = np.arange(total) + np.repeat(lo - np.cumsum(sizes) + sizes, sizes)
+        sparse = np.bincount(self.places[where], self.weights[where] * np.repeat(weights, sizes), self.n)
+        full = np.zeros(-(-self.n // BLOCK) * BLOCK)
+        full[: self.n] = sparse + sums
+        blocks = full.reshape(-1, BLOCK)
+        peaks = blocks.max(1)
+        # k blocks of the largest maxima hold k sums at least as large as the last of these maxima
+        floor = max(float(np.partition(peaks, -k)[-k]) - 2 * slack, 0.0) if len(peaks) >= k else 0.0
+        open_ = np.flatnonzero(peaks >= floor)
+        i, j = np.nonzero(blocks[open_] >= floor)
+        hit = open_[i] * BLOCK + j
+        hit = hit[hit < self.n]
+        if len(hit) > k:
+            hit = hit[full[hit] >= np.partition(full[hit], -k)[-k] - 2 * slack]
+        exact = sparse[hit] + (self.matrix[hit] * row).sum(1)
+        best = np.lexsort((hit, -exact))[:k]
+        return [(int(hit[b]), float(exact[b])) for b in best if exact[b] > 0]
 
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[int, float]]:
         """The ``k`` vectors of largest positive cosine, nearest first."""
-        post = [(q, *self.terms[t]) for t, q in sorted(query.items()) if t in self.terms]
-        if not post:
-            return []
-        bound = np.zeros(-(-self.n // BLOCK))
-        for q, _, _, blocks, _, peak in post:
-            bound[blocks] += q * peak
-        bound *= 1 + 1e-9  # sums in another order may differ in the last bits
-        best: list[tuple[float, int]] = []  # (-cosine, place), nearest first
-        for b in np.lexsort((np.arange(len(bound)), -bound)).tolist():
-            if bound[b] <= 0:
-                break
-            if len(best) == k:
-                worst, place = best[-1]
-                if -worst > bound[b] or (-worst >= bound[b] / (1 + 1e-9) and place < b * BLOCK):
-                    break
-            score = np.zeros(BLOCK)
-            for q, ids, ws, blocks, first, _ in post:
-                j = int(np.searchsorted(blocks, b))
-                if j < len(blocks) and blocks[j] == b:
-                    lo, hi = first[j], first[j + 1]
-                    score[ids[lo:hi] - b * BLOCK] += q * ws[lo:hi]
-            hit = np.flatnonzero(score > 0)
-            best = sorted(best + [(-float(score[h]), b * BLOCK + int(h)) for h in hit])[:k]
-        return [(i, -s) for s, i in best]
+        terms = np.array(sorted(query), np.int64)
+        return self.search([(terms, np.array([query[t] for t in terms.tolist()], float))], k)[0]
 
 
 def unit(terms: list[int], counts: list[int], idf: np.ndarray) -> dict[int, float]:
     """The unit TF-IDF vector of a document's terms."""
-    w = {t: (1 + math.log(c)) * float(idf[t]) for t, c in zip(terms, counts)}
-    norm = math.sqrt(sum(x * x for x in w.values()))
-    return {t: x / norm for t, x in w.items()}
+    w = unit_weights(np.array(terms, np.int64), np.array(counts, np.int64), idf)
+    return dict(zip(terms, w.tolist()))
+
+
+def unit_weights(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    w = (1 + np.log(counts)) * idf[terms]
+    return w / math.sqrt(float((w * w).sum())) if len(w) else w
+
+
+def toxic_factor(clean: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """Factors of the terms' weights: 1, or more as the lower bound of the toxic share lies above ``share``."""
+    n = np.maximum(clean + toxic, 1)
+    p = toxic / n
+    lower = (p + Z * Z / (2 * n) - Z * np.sqrt((p * (1 - p) + Z * Z / (4 * n)) / n)) / (1 + Z * Z / n)
+    return BOOST ** (np.clip(lower - share, 0, None) / max(1 - share, 1e-9))
+
+
+class Terms:
+    """Codes of the terms."""
+
+    def __init__(self, words: list[bytes]):
+        self.words = words
+        self.code = None
+
+    def __getstate__(self):
+        return zlib.compress(b" ".join(self.words), 1)
+
+    def __setstate__(self, state):
+        self.__init__(zlib.decompress(state).split())
+
+    def of(self, text: bytes | str | None) -> tuple[np.ndarray, np.ndarray]:
+        """A text's terms, ascending, and their counts."""
+        if self.code is None:
+            self.code = {w: i for i, w in enumerate(self.words)}
+        get = self.code.get
+        codes = np.array([c for c in map(get, words_of(text)) if c is not None], np.int64)
+        return np.unique(codes, return_counts=True)
 
 
 class Scorer:
-    """Votes of the nearest examples."""
+    """Votes of the nearest examples.  It travels as the examples' terms and counts; the index is built where it is used."""
 
-    def __init__(self, examples: list[tuple[int, int, list[int], list[int]]], prior: float, idf: np.ndarray):
-        self.idf, self.prior = idf, prior
-        self.ids = [e[0] for e in examples]
-        self.labels = [e[1] for e in examples]
-        self.index = BlockMaxIndex([unit(e[2], e[3], idf) for e in examples])
+    def __init__(self, ids: list[int], labels: list[int], prior: float, idf: np.ndarray, terms: Terms, held: tuple[np.ndarray, ...]):
+        self.ids, self.labels, self.prior, self.idf, self.terms = ids, labels, prior, idf, terms
+        #: Examples' numbers of terms, and their terms (ascending) and counts, one example after the other.
+        self.held = held
+        self.index = None
         self.seen: dict = {}
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[int], list[float]]:
-        """Score, and the evidence: the nearest examples' ids and cosines."""
-        key = (tuple(terms), tuple(counts))
-        if key not in self.seen:
-            if len(self.seen) > CACHE:
-                self.seen.clear()
-            near = self.index.nearest(unit(terms, counts, self.idf), K) if terms else []
-            votes = sum(c * self.labels[i] for i, c in near) + PRIOR_WEIGHT * self.prior
-            score = votes / (sum(c for _, c in near) + PRIOR_WEIGHT)
-            self.seen[key] = score, [self.ids[i] for i, _ in near], [c for _, c in near]
-        return self.seen[key]
-
-
-def _by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of (text, label) to documents by term and label, summed per task; the empty term counts all."""
-    seen: list[Counter] = [Counter(), Counter()]
-    for b in batches:
-        for lo in range(0, b.num_rows, 256):
-            p = b.slice(lo, 256)
-            for t, y in zip(p.column(0).cast(pa.binary()).to_pylist(), p.column(1).to_pylist()):
-                seen[y].update(set(words_of(t)))
-                seen[y][b""] += 1
-    terms = list(seen[0] | seen[1])
-    for lo in range(0, len(terms), 50_000):
-        part = terms[lo : lo + 50_000]
-        yield pa.record_batch(
-            [pa.array(part, pa.binary()), *[pa.array([c[t] for t in part], pa.int64()) for c in seen]],
-            names=["term", "clean", "toxic"],
-        )
-
-
-def _terms(vocab):
+    def __getstate__(self):
+        sizes, terms, counts = self.held
+        packed = [zlib.compress(np.ascontiguousarray(x, np.int32).tobytes(), 1) for x in (sizes, np.diff(terms, prepend=0), counts)]
+        return self.ids, self.labels, self.prior, self.idf, self.terms, packed
+
+    def __setstate__(self, state):
+        *rest, packed = state
+        sizes, steps, counts = (np.frombuffer(zlib.decompress(x), np.int32) for x in packed)
+        self.__init__(*rest, (sizes, np.cumsum(steps, dtype=np.int32), counts))
+
+    def _built(self) -> BlockMaxIndex:
+        if self.index is None:
+            sizes, terms, counts = self.held
+            ends = np.cumsum(sizes)
+            weights = [unit_weights(terms[e - n : e], counts[e - n : e], self.idf) for n, e in zip(sizes, ends)]
+            places = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            self.index = BlockMaxIndex.from_arrays(len(sizes), places, terms, np.concatenate(weights) if weights else np.zeros(0))
+        return self.index
+
+    def score(self, texts: list[bytes | str | None]) -> list[tuple[float, list[int], list[float]]]:
+        """Scores, and the evidence: the nearest examples' ids and cosines."""
+        found = [self.terms.of(t) for t in texts]
+        keys = [(t.tobytes(), c.tobytes()) for t, c in found]
+        keys = [hashlib.blake2b(t + b"|" + c, digest_size=16).digest() for t, c in keys]
+        if len(self.seen) > CACHE:
+            self.seen.clear()
+        new = {k: f for k, f in zip(keys, found) if k not in self.seen}
+        near = self._built().search([(t, unit_weights(t, c, self.idf)) for t, c in new.values()], K)
+        for k, hits in zip(new, near):
+            weights = [c * (c / hits[0][1]) ** SHARPEN for _, c in hits]
+            votes = sum(w * self.labels[i] for w, (i, _) in zip(weights, hits)) + PRIOR_WEIGHT * self.prior
+            self.seen[k] = votes / (sum(weights) + PRIOR_WEIGHT), [self.ids[i] for i, _ in hits], [c for _, c in hits]
+        return [self.seen[k] for k in keys]
+
+
+def _frequencies(terms):
+    """Arrow batches of texts to documents by term, summed per task; term -1 counts all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = vocab.value
+        t = terms.value
+        seen, total = np.zeros(len(t.words), np.int64), 0
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                p = b.slice(lo, 512)
-                found = []
-                for t in p.column(1).cast(pa.binary()).to_pylist():
-                    ws = words_of(t)
-                    c = Counter(code[w] for w in ws if w in code) if not code.keys().isdisjoint(ws) else {}
-                    found.append(sorted(c.items()))
-                yield pa.record_batch(
-                    [p.column(0), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.int32())),
-                     pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32()))],
-                    names=["doc_id", "terms", "counts"],
-                )
+            for lo in range(0, b.num_rows, 256):
+                for text in b.column(0).slice(lo, 256).cast(pa.binary()).to_pylist():
+                    seen[t.of(text)[0]] += 1
+            total += b.num_rows
+        at = np.flatnonzero(seen)
+        yield pa.record_batch([pa.array([-1, *at.tolist()], pa.int32()), pa.array([total, *seen[at].tolist()], pa.int64())], names=["term", "n"])
 
     return run
 
@@ -164,12 +239,14 @@ def _score(scorer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scorer.value
         for b in batches:
-            rows = [s.score(t, c) for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.record_batch(
-                [b.column(0), pa.array([r[0] for r in rows], pa.float64()),
-                 pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))],
-                names=["doc_id", "score", "neighbours", "cosines"],
-            )
+            for lo in range(0, b.num_rows, BATCH):
+                p = b.slice(lo, BATCH)
+                rows = s.score(p.column(1).cast(pa.binary()).to_pylist())
+                yield pa.record_batch(
+                    [p.column(0), pa.array([r[0] for r in rows], pa.float64()),
+                     pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))],
+                    names=["doc_id", "score", "neighbours", "cosines"],
+                )
 
     return run
 
@@ -190,44 +267,53 @@ def sample_labels(labels: DataFrame, column: str, folds: int, held_out: int) ->
     return ok.filter(F.pmod(F.xxhash64(F.lit("example"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
+def build_scorer(docs: DataFrame, labels: DataFrame) -> Scorer:
+    """What the labels teach; ``docs`` has ``doc_id`` (long) and ``text``."""
+    spark = docs.sparkSession
+    chosen = cut(sample_labels(labels.select("doc_id", "toxic"), "toxic", FOLDS, HELD_OUT_FOLD), "examples")
+    known = cut(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").distinct(), "example-texts")  # bounded by MAX_EXAMPLES
+    code: dict[bytes, int] = {}
+    rows = []
+    for r in known.withColumn("tag", F.md5(F.col("text").cast("binary"))).toLocalIterator():
+        c = Counter(words_of(r["text"]))
+        codes = np.fromiter((code.setdefault(w, len(code)) for w in c), np.int32, len(c))
+        rows.append((r["doc_id"], r["label"], r["tag"] or "", codes, np.fromiter(c.values(), np.int32, len(c))))
+    rows.sort(key=lambda r: r[:3])
+    words = sorted(code)
+    place_of = np.zeros(len(code), np.int32)
+    place_of[[code[w] for w in words]] = np.arange(len(code))
+    del code
+    ids, labelled = [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)
+    prior = float(labelled.mean()) if rows else 0.0
+    sizes = np.array([len(r[3]) for r in rows], np.int32)
+    found = []
+    for *_, codes, counts in rows:
+        order = np.argsort(place_of[codes])
+        found.append((place_of[codes[order]], counts[order]))
+    terms, counts = (np.concatenate([np.zeros(0, np.int32), *(f[i] for f in found)]) for i in (0, 1))
+    del rows, found
+    coder = Terms(words)
+    sent = spark.sparkContext.broadcast(coder)
+    df = docs.select("text").mapInArrow(_frequencies(sent), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(len(words) + 1, np.int64)
+    n[df.column("term").to_numpy()] = df.column("n").to_numpy()  # the last place is that of term -1
+    label = np.repeat(labelled, sizes)
+    by_label = [np.bincount(terms[label == y], minlength=len(words)) for y in (0, 1)]
+    idf = (1 + np.log((n[-1] + 1) / (n[:-1] + 1))) * toxic_factor(*by_label, prior)
+    return Scorer(ids, labelled.tolist(), prior, idf, coder, (sizes, terms, counts))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of ``docs``: ``doc_id, score, neighbours, cosines`` (the evidence).
 
-    Null and empty texts, and texts without vocabulary terms, get the prior; so
+    Null and empty texts, and texts without a word of any example, get the prior; so
     does every text when there are no labels (then 0).  Equal texts get equal
     scores; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = cut(sample_labels(labels.select("doc_id", "toxic"), "toxic", FOLDS, HELD_OUT_FOLD), "examples")
-    few = F.broadcast(chosen)  # bounded by MAX_EXAMPLES
-    by_term = cut(
-        docs.join(few, "doc_id").select("text", "label").mapInArrow(_by_label, "term binary, clean long, toxic long")
-        .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")),
-        "terms",
-    )
-    n = F.col("clean") + F.col("toxic")
-    p = F.col("toxic") / n
-    lower = (p + Z * Z / (2 * n) - Z * F.sqrt((p * (1 - p) + Z * Z / (4 * n)) / n)) / (1 + Z * Z / n)
-    strong = (
-        by_term.filter((n >= MIN_DOCS) & (F.octet_length("term") > 0)).withColumn("lower", lower).filter(F.col("lower") >= MIN_SHARE)
-        .orderBy(F.col("lower").desc(), "term").limit(MAX_TERMS)
-    )
-    vocab = {bytes(r["term"]): i for i, r in enumerate(strong.select("term").collect())}
-    sent = spark.sparkContext.broadcast(vocab)
-    vectors = cut(docs.mapInArrow(_terms(sent), "doc_id long, terms array<int>, counts array<int>"), "vectors")
-    df = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()
-    total = vectors.count()
-    idf = np.ones(len(vocab))
-    for r in df:
-        idf[r["t"]] = 1 + math.log((total + 1) / (r["n"] + 1))
-    known = cut(vectors.join(few, "doc_id").distinct(), "example-vectors")
-    blank = known.filter(F.size("terms") == 0).agg(F.avg("label").alias("p")).first()["p"] or 0.0
-    rows = known.filter(F.size("terms") > 0).select("doc_id", "label", "terms", "counts").collect()  # bounded by the sample
-    examples = sorted((r["doc_id"], r["label"], list(r["terms"]), list(r["counts"])) for r in rows)
-    scorer = spark.sparkContext.broadcast(Scorer(examples, float(blank), idf))
-    return vectors.mapInArrow(_score(scorer), "doc_id long, score double, neighbours array<long>, cosines array<double>")
+    scorer = docs.sparkSession.sparkContext.broadcast(build_scorer(docs, labels))
+    return docs.mapInArrow(_score(scorer), "doc_id long, score double, neighbours array<long>, cosines array<double>")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

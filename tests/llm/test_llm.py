@@ -267,6 +267,20 @@ def test_toxicity(spark, empty):
     assert {r.score for r in toxicity.score_toxicity(df, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_reaches_words_outside_a_lexicon(spark):
+    """A copy of a toxic example whose words are rare finds it, on a handful of labels too."""
+    r = random.Random(12)
+    texts = [sentence(r, 40) for _ in range(30)]
+    learned = [i for i in range(30) if zlib.crc32(str(i).encode()) % 5]
+    bad = learned[3]
+    rows = [(i, t, "a") for i, t in enumerate(texts)] + [(100, texts[bad], "a"), (101, texts[bad] + " one more", "a"), (102, texts[learned[5]], "a")]
+    labels = spark.createDataFrame([(i, int(i == bad)) for i in range(30)], "doc_id long, toxic int")
+    got = {x.doc_id: x for x in toxicity.score_toxicity(table(spark, rows), labels).collect()}
+    assert got[100].score >= 0.5 and got[101].score >= 0.5 and got[102].score < 0.5
+    assert got[100].neighbours[0] == bad and abs(got[100].cosines[0] - 1) < 1e-9
+    assert got[102].neighbours[0] == learned[5]
+
+
 def test_quality(spark, empty):
     df, labels, truth = labelled(spark, "quality")
     got = quality.score_quality(df, labels).collect()
