@@ -105,5 +105,17 @@ def fold_of(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def text_tag(text: Column) -> Column:
+    """A digest of a text (null counts as empty)."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def without(docs: DataFrame, bad: DataFrame, name: str) -> DataFrame:
+    """``docs`` without the rows whose id and text are those of a row of ``bad (doc_id, tag)``."""
+    gone = cut(bad.select(F.col("doc_id").alias("_bad_id"), F.col("tag").alias("_bad_tag")).distinct(), name)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")) & (text_tag(F.col("text")) == F.col("_bad_tag"))
+    return docs.join(gone, same, "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import ship, text_tag, without
 from .words import words_of
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -209,14 +209,14 @@ def _finder(matcher):
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 p = b.slice(lo, 256)
-                ids = p.column(0).to_pylist()
-                rows = [(ids[k], *hit) for k, hits in m.find_all(p.column(1).cast(pa.binary()).to_pylist()) for hit in hits]
+                ids, tags = p.column(0).to_pylist(), p.column(2).to_pylist()
+                rows = [(ids[k], tags[k], *hit) for k, hits in m.find_all(p.column(1).cast(pa.binary()).to_pylist()) for hit in hits]
                 if rows:
                     cols = list(zip(*rows))
-                    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
+                    kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
                     yield pa.record_batch(
                         [pa.array(c, k) for c, k in zip(cols, kinds)],
-                        names=["doc_id", "item_id", "score", "first_word", "last_word"],
+                        names=["doc_id", "tag", "item_id", "score", "first_word", "last_word"],
                     )
 
     return run
@@ -239,19 +239,20 @@ def _portions(benchmark: DataFrame) -> Iterator[dict[int, list[bytes]]]:
         yield part
 
 
-MATCH_SCHEMA = "doc_id long, item_id long, score double, first_word int, last_word int"
+MATCH_SCHEMA = "doc_id long, tag string, item_id long, score double, first_word int, last_word int"
 
 
 def find_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and test item of which it holds a copy: ``doc_id, item_id, score,
-    first_word, last_word`` (score 1: word for word; the span counts the document's words from 0).
+    """One row per document and test item of which it holds a copy: ``doc_id, tag, item_id,
+    score, first_word, last_word`` (the text's digest; score 1: word for word; the span counts
+    the document's words from 0).
 
     Null and empty texts match nothing, nor do items without words or id; rows of
     equal ids are reported each; empty tables give no rows.
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_tag(F.col("text")).alias("tag"))
     out = spark.createDataFrame([], MATCH_SCHEMA)
     for items in _portions(benchmark):
         vocab = spark.sparkContext.broadcast(sorted({w for ws in items.values() for w in ws}))
@@ -264,12 +265,14 @@ def find_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a copy of a test item; all columns stay."""
-    bad = cut(find_copies(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """``docs`` without those that hold a copy of a test item; all columns stay.
+
+    Rows that share an id, or have none, go each by its own text.
+    """
+    return without(docs, find_copies(docs, benchmark), "contaminated")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of a benchmark item in any document."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return find_copies(read("documents"), read("benchmark"))
+    return find_copies(read("documents"), read("benchmark")).drop("tag")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fold_of, ship
+from .common import cut, fold_of, ship, text_tag, without
 from .words import words_of
 
 FOLDS, HELD_OUT_FOLD = 5, 0
@@ -243,9 +243,9 @@ def _score(scorer):
                 p = b.slice(lo, BATCH)
                 rows = s.score(p.column(1).cast(pa.binary()).to_pylist())
                 yield pa.record_batch(
-                    [p.column(0), pa.array([r[0] for r in rows], pa.float64()),
+                    [p.column(0), p.column(2), pa.array([r[0] for r in rows], pa.float64()),
                      pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))],
-                    names=["doc_id", "score", "neighbours", "cosines"],
+                    names=["doc_id", "tag", "score", "neighbours", "cosines"],
                 )
 
     return run
@@ -304,7 +304,7 @@ def build_scorer(docs: DataFrame, labels: DataFrame) -> Scorer:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, score, neighbours, cosines`` (the evidence).
+    """Per row of ``docs``: ``doc_id, tag, score, neighbours, cosines`` (the text's digest; the evidence).
 
     Null and empty texts, and texts without a word of any example, get the prior; so
     does every text when there are no labels (then 0).  Equal texts get equal
@@ -313,18 +313,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scorer = docs.sparkSession.sparkContext.broadcast(build_scorer(docs, labels))
-    return docs.mapInArrow(_score(scorer), "doc_id long, score double, neighbours array<long>, cosines array<double>")
+    return docs.withColumn("tag", text_tag(F.col("text"))).mapInArrow(_score(scorer), "doc_id long, tag string, score double, neighbours array<long>, cosines array<double>")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without those that score at least ``threshold``; all columns stay.
 
-    A row goes if a row of its id does.
+    Rows that share an id, or have none, go each by its own text.
     """
-    bad = cut(
-        score_toxicity(docs, labels).filter(F.col("score") >= threshold).select(F.col("doc_id").alias("_bad")).distinct(), "toxic"
-    )
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    return without(docs, score_toxicity(docs, labels).filter(F.col("score") >= threshold), "toxic")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,6 +281,21 @@ def test_toxicity_reaches_words_outside_a_lexicon(spark):
     assert got[102].neighbours[0] == learned[5]
 
 
+def test_rows_of_one_id_go_by_their_own_text(spark):
+    """Clean rows stay beside a rejected row of the same or of no id."""
+    r = random.Random(21)
+    texts = [sentence(r, 40) for _ in range(30)]
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    bad = next(i for i in range(30) if zlib.crc32(str(i).encode()) % 5)
+    clean = [(i, sentence(r, 40), "a") for i in (None, None, 77, 77)]
+    df = table(spark, rows + [(None, texts[bad], "a"), (77, texts[bad], "a"), *clean])
+    labels = spark.createDataFrame([(i, int(i == bad)) for i in range(30)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, texts[bad])], "item_id long, text string")
+    want = sorted(t for _, t, _ in rows + clean if t != texts[bad])
+    assert sorted(x.text for x in toxicity.drop_toxic(df, labels).collect()) == want
+    assert sorted(x.text for x in decontam.decontaminate(df, bench).collect()) == want
+
+
 def test_quality(spark, empty):
     df, labels, truth = labelled(spark, "quality")
     got = quality.score_quality(df, labels).collect()
