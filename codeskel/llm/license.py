@@ -1,8 +1,11 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-Blocks are the windows of one to :data:`WINDOW` consecutive lines.  A block matches a
-template if it contains at least :data:`CONTAINMENT` of the template's distinct
-words.  The join is exact and never compares all pairs:
+Blocks are the windows of consecutive words, wherever lines break, of at most
+:data:`SPAN` times the template's length.  A block matches a template if it contains
+at least :data:`CONTAINMENT` of the template's distinct words, among them those that
+tell it from other templates (:data:`MARKS`, or its numbers, and what a template that
+alone would reach the threshold lacks).  Candidates are the templates of which the
+whole document holds enough words; this join is exact and never compares all pairs:
 
 * words are ordered by the number of lines of the whole corpus that hold them,
   rarest first (ties by spelling);
@@ -11,7 +14,8 @@ words.  The join is exact and never compares all pairs:
 * length filter: the block has at least a distinct words;
 * positional filter: with the first shared word at place i of the template, at most
   n-i can be shared;
-* the remaining candidates are counted in full.
+* the remaining candidates are counted in full, then their blocks are looked for in
+  one pass over the places of the template's words.
 
 Templates are configuration: at most :data:`MAX_TEMPLATE_WORDS` words in all are
 accepted, which bounds what is sent to the workers.
@@ -30,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import ship
 
 CONTAINMENT = 0.8
-WINDOW = 3
+#: Words of a block at most, as a multiple of the template's words.
+SPAN = 1.5
 MAX_TEMPLATE_WORDS = 200_000
 
 #: Fixed values of the contract: phrases and their labels.
@@ -57,6 +62,22 @@ TEMPLATES = (
     ("rights-reserved", "copyright all rights reserved"),
 )
 
+#: Words without which a statement does not name the license.
+MARKS = {
+    "apache-2.0": "apache 2",
+    "gpl-3.0": "gnu 3",
+    "gpl-2.0": "gnu 2",
+    "mit-permission": "permission",
+    "mit-release": "mit license",
+    "cc-by-4.0": "creative commons attribution 4",
+    "cc-by-nc-4.0": "cc nc 4",
+    "cc-by-sa-4.0": "cc sa 4",
+    "cc0-1.0": "cc0",
+    "bsd": "redistribution",
+    "mpl-2.0": "mozilla 2",
+    "rights-reserved": "rights reserved",
+}
+
 #: ASCII other than digits and letters parts words (the contract's words); A-Z become a-z.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -85,6 +106,47 @@ class TemplateIndex:
                 self.prefix[w].append((len(self.items), place))
             self.items.append((label, words, need))
         self.rare = set(self.prefix)
+        lengths = {label: sum(map(len, line_words(t.encode()))) for label, t in templates}
+        places = defaultdict(list)
+        for t, (_, words, _) in enumerate(self.items):
+            for w in words:
+                places[w].append(t)
+        #: Per template: its words, how many a block must hold, those it must hold, and a block's length at most.
+        self.blocks = {}
+        for t, (label, words, need) in enumerate(self.items):
+            own = set(words)
+            marks = set(MARKS[label].encode().split()) & own if label in MARKS else {w for w in own if w.isdigit()}
+            shared: dict[int, int] = defaultdict(int)
+            for w in words:
+                for other in places[w]:
+                    shared[other] += 1
+            for other, n in shared.items():
+                if other != t and n >= need:
+                    marks |= own.difference(self.items[other][1])
+            self.blocks[label] = own, need, marks, max(len(words), int(SPAN * lengths[label]))
+
+    def best_block(self, label: str, words: list[bytes]) -> float:
+        """The largest containment of the template in a block of a document's words; 0 if none reaches it."""
+        own, need, marks, width = self.blocks[label]
+        at = [i for i, w in enumerate(words) if w in own]
+        held: dict[bytes, int] = defaultdict(int)
+        lo = distinct = marked = best = 0
+        for i in at:
+            w = words[i]
+            held[w] += 1
+            if held[w] == 1:
+                distinct += 1
+                marked += w in marks
+            while at[lo] <= i - width:
+                old = words[at[lo]]
+                held[old] -= 1
+                if not held[old]:
+                    distinct -= 1
+                    marked -= old in marks
+                lo += 1
+            if distinct >= need and marked == len(marks):
+                best = max(best, distinct)
+        return best / len(own)
 
     def matches(self, block: set[bytes]) -> Iterator[tuple[str, float]]:
         """Label and containment of every template that the block reaches."""
@@ -103,8 +165,7 @@ class TemplateIndex:
 
 def scan(text: bytes | None, index: TemplateIndex, phrases: list[tuple[list[bytes], str]]) -> tuple:
     """``n_words, n_base, first_word, last_word, base_labels, labels, score`` of a text."""
-    lines = line_words(text)
-    words = [w for ln in lines for w in ln]
+    words = [w for ln in line_words(text) for w in ln]
     held = set(words)
     base, places, score = set(), [], 0.0
     for phrase, label in phrases:
@@ -121,16 +182,11 @@ def scan(text: bytes | None, index: TemplateIndex, phrases: list[tuple[list[byte
                 base.add(label)
                 score = 1.0
     found = set(base)
-    if not held.isdisjoint(index.rare):
-        sets = [set(ln) for ln in lines]
-        hot = [i for i, s in enumerate(sets) if not s.isdisjoint(index.rare)]
-        for lo in sorted({i - back for i in hot for back in range(WINDOW) if i >= back}):
-            block: set[bytes] = set()
-            for hi in range(lo, min(lo + WINDOW, len(sets))):
-                block = block | sets[hi]
-                for label, share in index.matches(block):
-                    found.add(label)
-                    score = max(score, share)
+    for label, _ in index.matches(held):
+        share = index.best_block(label, words)
+        if share:
+            found.add(label)
+            score = max(score, share)
     ends = (min(places), max(places)) if places else (None, None)
     return len(words), len(places), *ends, ",".join(sorted(base)), ",".join(sorted(found)), score
 

@@ -322,6 +322,22 @@ def test_licenses(spark, docs, empty):
     assert license.scan_licenses(empty).count() == 0
 
 
+def test_licenses_that_must_be_absent(spark):
+    cases = {
+        "This work is licensed under the GNU General Public License, version 3.": {"gpl-3.0"},
+        "this work is licensed under the gnu general public license version 2": {"gpl-2.0"},
+        "Licensed under CC BY-NC 4.0": {"cc-by-nc-4.0"},
+        "licensed under cc by-sa 4.0": {"cc-by-sa-4.0"},
+        "released mit dem\nunter der under gehen\nthe " + "wort " * 30 + "license": set(),
+        "released under the apache license": set(),
+        "mit " + "wort " * 12 + "released under the license": set(),
+    }
+    df = table(spark, [(i, t, "a") for i, t in enumerate(cases)])
+    base = {label for _, label in license.PHRASES}
+    got = {r.doc_id: set(r.labels.split(",")) - base - {""} for r in license.scan_licenses(df).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
 def test_template_index_equals_all_pairs():
     r = random.Random(6)
     vocab = [f"w{i}" for i in range(25)]
