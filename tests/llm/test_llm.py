@@ -338,6 +338,18 @@ def test_licenses_that_must_be_absent(spark):
     assert got == dict(enumerate(cases.values()))
 
 
+def test_licenses_over_many_lines(spark):
+    narrow = "this work\nis licensed\nunder the\ngnu general\npublic license\nversion 3"
+    spaced = "permission is hereby granted free\n\nof charge to any person\n\nobtaining a copy of this software"
+    r = random.Random(2)
+    long = sentence(r, 300)
+    wrapped = "\n".join(re.findall(r"(?:\S+ ?){1,8}", long))
+    df = table(spark, [(1, narrow, "a"), (2, spaced, "a"), (3, "before it " + wrapped, "a")])
+    got = {x.doc_id: x for x in license.scan_licenses(df, (*license.TEMPLATES, ("long", long))).collect()}
+    assert "gpl-3.0" in got[1].labels.split(",") and got[2].labels == "mit-permission" and got[3].labels == "long"
+    assert got[2].score == got[3].score == 1
+
+
 def test_template_index_equals_all_pairs():
     r = random.Random(6)
     vocab = [f"w{i}" for i in range(25)]
