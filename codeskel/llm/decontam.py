@@ -9,6 +9,9 @@
 4. The item is aligned with the document's words around each diagonal by local
    alignment (match +2, mismatch -1, gap -1); the score is divided by that of a
    perfect copy.
+5. A run of :data:`RUN` words of an item is a copy too, also of a long item; its score
+   is its part of the item.  Items of fewer than :data:`SHORT` words count only where
+   they are the whole text.
 
 The scan is row-local: no document text is shuffled.  The test items travel to
 the workers in portions of at most :data:`PORTION_WORDS` words, one pass over the
@@ -32,6 +35,10 @@ from .words import words_of
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Part of a perfect copy's score from which a passage counts as a copy of the item.
 MIN_SCORE = 0.5
+#: A run of so many words of an item, word for word, counts as a copy whatever the item's length.
+RUN = 13
+#: Items of fewer words count only where they are a document's whole text.
+SHORT = 3
 #: Expected chance hits of a seed in the whole corpus.
 CHANCE_HITS = 0.05
 MAX_SEED = 8
@@ -73,6 +80,21 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def longest_run(item: np.ndarray, doc: np.ndarray, off: int) -> tuple[int, int]:
+    """The longest run of equal words on a diagonal: its length, and its first position in ``doc``."""
+    lo, hi = max(0, -off), min(len(item), len(doc) - off)
+    if hi <= lo:
+        return 0, 0
+    equal = np.zeros(hi - lo + 2, np.int8)
+    equal[1:-1] = item[lo:hi] == doc[off + lo : off + hi]
+    steps = np.diff(equal)
+    first, end = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+    if not len(first):
+        return 0, 0
+    k = int((end - first).argmax())
+    return int(end[k] - first[k]), off + lo + int(first[k])
+
+
 def choose_seeds(items: dict[int, list[bytes]], counts: dict[bytes, int], total: int) -> dict[tuple, list[tuple[int, int]]]:
     """Seed n-gram to its (item, position) places.
 
@@ -163,6 +185,10 @@ class Matcher:
         out = []
         for item, offs in sorted(diagonals.items()):
             ids = self.items[item]
+            if len(ids) < SHORT:
+                if np.array_equal(doc, ids):
+                    out.append((item, 1.0, 0, len(ids) - 1))
+                continue
             margin = len(ids) // 2 + 2
             best = (0, 0, 0)
             spans: list[list[int]] = []
@@ -183,6 +209,10 @@ class Matcher:
                     best = (s, lo + a, lo + b)
             if len(ids) and best[0] >= MIN_SCORE * MATCH * len(ids):
                 out.append((item, best[0] / (MATCH * len(ids)), best[1], best[2]))
+            elif len(ids) > RUN:
+                n, at = max(longest_run(ids, doc, off) for off in offs)
+                if n >= RUN:
+                    out.append((item, n / len(ids), at, at + n - 1))
         return out
 
 

@@ -220,6 +220,15 @@ def test_decontamination(spark, docs, empty):
     assert decontam.find_copies(empty, bench).count() == 0 and decontam.find_copies(full, bench.limit(0)).count() == 0
 
 
+def test_excerpts_of_long_items_and_short_items():
+    words = [f"w{i}".encode() for i in range(500)]
+    m = decontam.Matcher({1: words, 2: [b"one"], 3: [b"two", b"words"]}, {w: 1 for w in words}, 10_000)
+    text = lambda ws: b" ".join([b"before", *ws, b"after"])
+    got = dict(m.find_all([text(words[100:340]), text(words[7:20]), text(words[7:19]), b"there is one", b"two words more", b"One", b"Two, words"]))
+    assert {k: [h[0] for h in hits] for k, hits in got.items()} == {0: [1], 1: [1], 5: [2], 6: [3]}
+    assert got[0] == [(1, 240 / 500, 1, 240)] and got[1] == [(1, 13 / 500, 1, 13)]
+
+
 # ------------------------------------------------------------------ toxicity and quality
 
 
