@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontam, license, mixing, neardup, quality, tokens, toxicity, urls
+from . import ann, chat, decontam, license, mixing, neardup, quality, simhash, tokens, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_nearest": ann.op7_nearest,
         "op8_urls": urls.op8_urls,
         "op9_mix": mixing.op9_mix,
+        "op12_simhash": simhash.op12_simhash,
     }
 
 
