@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontam, license, mixing, neardup, quality, simhash, tokens, toxicity, urls
+from . import align, ann, chat, decontam, hardneg, license, mixing, neardup, quality, simhash, tokens, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_nearest": ann.op7_nearest,
         "op8_urls": urls.op8_urls,
         "op9_mix": mixing.op9_mix,
+        "op11_align": align.op11_align,
         "op12_simhash": simhash.op12_simhash,
+        "op13_hard_negatives": hardneg.op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": chat.OP6_SQL, "op9_mix": mixing.OP9_SQL}
+    return {"op6_chat": chat.OP6_SQL, "op9_mix": mixing.OP9_SQL, "op13_hard_negatives": hardneg.OP13_SQL}
