@@ -163,7 +163,9 @@ def planes_of(count: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     yield 0, np.ones(len(count), bool)
     more, i = count - 1, 0
     while (more >> i).any():
-        yield i + 1, (more >> i & 1).astype(bool)
+        mask = (more >> i & 1).astype(bool)
+        if mask.any():
+            yield i + 1, mask
         i += 1
 
 
