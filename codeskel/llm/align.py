@@ -333,7 +333,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if is_doc.true_count:
                 docs.append(part.filter(is_doc))
             if is_doc.false_count:
-                add(part.filter(is_doc.invert()))
+                add(part.filter(part.column("pair").is_valid()))
     yield from close()
 
 

@@ -35,7 +35,7 @@ def slow(texts):
         if not t:
             continue
         a, b = ta.encode(" " + t, add_special_tokens=False), tb.encode(t)
-        ba = [bytes(chars[c] for c in s) for s in a.tokens]
+        ids, ba = a.ids, [bytes(chars[c] for c in s) for s in a.tokens]
         bb = [bytes([int(tb.id_to_piece(i)[3:5], 16)]) if tb.is_byte(i) else tb.id_to_piece(i).replace("▁", " ").encode() for i in b]
         if b"".join(ba) != (" " + t).encode() or b"".join(bb) != (" " + t).encode():
             continue
@@ -46,9 +46,9 @@ def slow(texts):
         groups, i, j = [], 0, 0
         for e in common:
             p, q = ends[0].index(e, i) + 1, ends[1].index(e, j) + 1
-            groups.append(",".join(map(str, a.ids[i:p])) + "|" + ",".join(map(str, b[j:q])))
+            groups.append(",".join(map(str, ids[i:p])) + "|" + ",".join(map(str, b[j:q])))
             i, j = p, q
-        out[-1] = (len(a.ids), len(b), len(groups), [(a.ids[x], b[y]) for x, y in links], ";".join(groups))
+        out[-1] = (len(ids), len(b), len(groups), [(ids[x], b[y]) for x, y in links], ";".join(groups))
     return out
 
 
@@ -89,8 +89,8 @@ def test_compressed_sets(n):
     assert ones == len(both) and (align.positions(merged) == both).all()
 
 
-@pytest.mark.parametrize("held,links,docs", [(50, 400, 1 << 16), (1_500_000, 8_000_000, 7), (1_500_000, 8_000_000, 1 << 16)])
-def test_equals_brute_force(spark, monkeypatch, held, links, docs):
+@pytest.mark.parametrize("held,links", [(50, 400), (1_500_000, 8_000_000)])
+def test_equals_brute_force(spark, monkeypatch, held, links):
     r = random.Random(4)
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100 + i, sentence(r, r.randint(1, 80))) for i in range(60)]
     rows += [(7, TEXTS[0]), (7, TEXTS[0]), (300, sentence(r, 30_000))] + [(i, t) for i, t, _ in ODD]
@@ -99,7 +99,7 @@ def test_equals_brute_force(spark, monkeypatch, held, links, docs):
 
     def small(a, b):
         def run(batches):
-            align.HELD_LINKS, align.BLOCK_LINKS, full = held, links, align.BLOCK_DOCS
+            align.HELD_LINKS, align.BLOCK_LINKS = held, links
             yield from invert(a, b)(batches)
         return run
 
