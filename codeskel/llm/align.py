@@ -22,7 +22,9 @@ No key gathers the corpus: a pair that every document holds has one bitmap per b
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +40,8 @@ BLOCK_DOCS = 1 << 16
 BLOCK_LINKS = 8_000_000
 #: Links that a task holds before it writes their bitmaps.
 HELD_LINKS = 1_500_000
-#: Units that a worker remembers (twice: those seen since the last turnover, and before).
-MEMORY = 150_000
+#: Words that a worker remembers (twice: those seen since the last turnover, and before).
+MEMORY = 250_000
 #: From so many members on, a set is stored as bits.
 DENSE = BLOCK_DOCS // 16
 _PAIR_SHIFT = 20
@@ -49,9 +51,15 @@ POSTING_COLUMNS = "pair long, plane int, ones long, bits binary"
 INVERTED = f"block long, pos int, {DOC_COLUMNS}, {POSTING_COLUMNS}"
 STATS = "pair long, n_docs long, n_links long"
 
-#: A text may be cut before a blank or line feed between two characters that are not white space.
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_PLAIN = re.compile(r"[ \n]\S+")
+#: A text may be cut before a blank or line feed between two characters that are not white space,
+#: and after such a line feed.
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
+_WHITE = re.compile(r"\s")
+#: A word whose letters end before other characters that are not white space.
+_TAIL = re.compile(r"( ?[^\W\d_]+)([^\w\s]\S*)")
+#: How a byte-level vocabulary's tokenizer cuts a text before it merges.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_NONE = "", np.zeros(0, np.int64), 0, 0, 0
 
 
 def byte_of_char() -> dict[str, int]:
@@ -65,90 +73,164 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def byte_level_encoder(path: str):
+    """``(encode, bytes of each id)`` of a byte-level BPE file; special tokens in a text are plain text.
+
+    Where the file is plain byte-level BPE whose merges are ranked by their ids, the
+    same merges run several times faster as a rank table.
+    """
+    chars = byte_of_char()
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab = spec["model"]["vocab"]
+    special = {t["id"] for t in spec.get("added_tokens") or []}
+    of_id = {i: bytes(chars[c] for c in s) for s, i in vocab.items() if i not in special and all(c in chars for c in s)}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    first = len(vocab) - len(merges) - sum(i in special for i in vocab.values())
+    cuts = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    model = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges") and v}
+    if spec.get("pre_tokenizer") == cuts and not spec.get("normalizer") and model == {"type": "BPE"} and all(
+        vocab.get(x + y) == first + i for i, (x, y) in enumerate(merges)
+    ):
+        import tiktoken
+
+        ranked = tiktoken.Encoding("pair", pat_str=_BYTE_LEVEL, mergeable_ranks={v: i for i, v in of_id.items()}, special_tokens={})
+        return ranked.encode_ordinary, of_id
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    return (lambda text: tok.encode(text, add_special_tokens=False).ids), of_id
+
+
 class TokenizerPair:
-    """Both tokenizers with the bytes of their ids, and a bounded memory of aligned units.
+    """Both tokenizers with the bytes of their ids, and a bounded memory of aligned words.
 
-    Neither joins characters across a cut of :data:`_CUT` (checked on the vocabulary
-    for the second), so a text's alignment is that of its units in order.
+    Neither joins characters across a cut of :data:`_CUT`, nor between letters and
+    other marks where no piece holds the two characters side by side (both checked
+    on the second's vocabulary), so a text's alignment is that of its units in order.
     """
 
     def __init__(self, a_path: str, b_path: str, memory: int = MEMORY):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        chars = byte_of_char()
-        self.a_bytes = {i: bytes(chars[c] for c in s) if all(c in chars for c in s) else s.encode() for s, i in self.a.get_vocab().items()}
+        self.a, self.a_bytes = byte_level_encoder(a_path)
         self.b = SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [
             bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
-        self.mark = self.b.piece_to_id("▁")
+        self.a_len, self.b_len = {i: len(x) for i, x in self.a_bytes.items()}, [len(x) for x in self.b_bytes]
         self.cuts = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
+        self.together = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.limit = memory
+        # words without the blank before them, and other units as they are
         self.new: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
+        self.tails: dict[str, tuple] = {}
 
     def _ids_b(self, text: str) -> list[int]:
         """Ids of ``text``, which follows others unless it begins with a blank (the one that the tokenizer adds)."""
         if text.startswith(" "):
             return self.b.encode(text[1:], num_threads=1) if len(text) > 1 else []
-        return self.b.encode(text, num_threads=1)[1:]
+        return self.b.encode("\n" + text, num_threads=1)[2:]  # nothing merges with the line feed before it
 
     def align(self, text: str) -> tuple[bytes, bytes, int, int] | None:
         """Groups, linked pairs (64-bit integers) and numbers of ids; None if the bytes differ."""
         raw = text.encode()
-        a, b = self.a.encode(text, add_special_tokens=False).ids, self._ids_b(text)
+        a, b = self.a(text), self._ids_b(text)
         if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
             return None
-        groups, pairs = [], []
+        groups, pairs = [], array("q")
         i = j = i0 = j0 = end_a = end_b = 0
-        while i < len(a) or j < len(b):
+        a_len, b_len, n_a, n_b = self.a_len, self.b_len, len(a), len(b)
+        while i < n_a or j < n_b:
             # take the token that ends first; the one it lies in is the other side's current token
             if end_a == end_b:
                 if i > i0:
                     groups.append((i0, i, j0, j))
                 i0, j0 = i, j
-                end_a, end_b = end_a + len(self.a_bytes[a[i]]), end_b + len(self.b_bytes[b[j]])
+                end_a, end_b = end_a + a_len[a[i]], end_b + b_len[b[j]]
                 i, j = i + 1, j + 1
             elif end_a < end_b:
-                end_a += len(self.a_bytes[a[i]])
+                end_a += a_len[a[i]]
                 i += 1
             else:
-                end_b += len(self.b_bytes[b[j]])
+                end_b += b_len[b[j]]
                 j += 1
             pairs.append(a[i - 1] << _PAIR_SHIFT | b[j - 1])
         if i > i0:
             groups.append((i0, i, j0, j))
-        text_of = lambda ids: ",".join(map(str, ids))
-        said = ";".join(f"{text_of(a[p:q])}|{text_of(b[r:s])}" for p, q, r, s in groups)
-        return said.encode(), np.array(pairs, np.int64).tobytes(), len(a), len(b)
+        a, b = [str(x) for x in a], [str(x) for x in b]
+        said = ";".join([f"{','.join(a[p:q])}|{','.join(b[r:s])}" for p, q, r, s in groups])
+        return said.encode(), pairs.tobytes(), n_a, n_b
+
+    def _tail(self, unit: str) -> tuple | None:
+        """A unit that begins with marks or a line feed."""
+        got = self.tails.get(unit)
+        if got is None:
+            got = self.align(unit)
+            if got and len(unit) <= 8:
+                if len(self.tails) >= self.limit:
+                    self.tails.clear()
+                self.tails[unit] = got
+        return got
 
-    def _unit(self, unit: str) -> tuple | None:
-        got = self.old.get(unit) or self.align(unit)
-        if got and len(unit) <= 64 and _PLAIN.fullmatch(unit):
+    def _word(self, word: str) -> tuple | None:
+        """A blank and a word without white space in it."""
+        got = self.new.get(word)
+        if got:
+            return got
+        got = self.old.get(word)
+        if not got:
+            parts = _TAIL.fullmatch(word)
+            if parts and parts[1][-1] + parts[2][0] not in self.together:
+                return _joined([self._word(parts[1]), self._tail(parts[2])])
+            got = self.align(" " + word)
+        if got and len(word) <= 64:
             if len(self.new) >= self.limit:
                 self.old, self.new = self.new, {}
-            self.new[unit] = got
+            self.new[word] = got
         return got
 
+    def _unit(self, unit: str) -> tuple | None:
+        if unit[0] == " " and not _WHITE.search(unit, 1):
+            return self._word(unit[1:])
+        return self._tail(unit)
+
+    def _known(self, word: str) -> tuple | None | bool:
+        """The word's alignment; False where it tells that the text's blanks do not part its words."""
+        if not _WHITE.search(word):
+            return self._word(word) if word else False
+        if word[0].isspace() or word[-1].isspace():
+            return False
+        return _joined([self._unit(u) for u in _CUT.split(" " + word)])
+
     def document(self, text: str | None) -> tuple[str, np.ndarray, int, int, int]:
         """``groups_sha256``, links as pairs, ``n_a``, ``n_b``, ``n_groups`` of a whole text."""
-        none = "", np.zeros(0, np.int64), 0, 0, 0
         if not text:
-            return none
-        units = _CUT.split(" " + text) if self.cuts else [" " + text]
-        new, get = self.new, self._unit
-        got = [new.get(u) or get(u) for u in units]
+            return _NONE
+        if self.cuts:
+            get, known = self.new.get, self._known
+            got = [get(w) or known(w) for w in text.split(" ")]
+            if False in got:
+                got = [self._unit(u) for u in _CUT.split(" " + text)]
+        else:
+            got = [self.align(" " + text)]
         if None in got:  # bytes that one tokenizer does not give back
-            return none
+            return _NONE
         groups, pairs, n_a, n_b = zip(*got)
         said = b";".join(groups)
         return hashlib.sha256(said).hexdigest(), np.frombuffer(b"".join(pairs), np.int64), sum(n_a), sum(n_b), said.count(b"|")
 
 
+def _joined(parts: list[tuple | None]) -> tuple | None:
+    if None in parts:
+        return None
+    groups, pairs, n_a, n_b = zip(*parts)
+    return b";".join(groups), b"".join(pairs), sum(n_a), sum(n_b)
+
+
 _pairs: dict[tuple[str, str], TokenizerPair] = {}
 
 

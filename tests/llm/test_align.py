@@ -16,7 +16,7 @@ from .test_llm import ODD, sentence, table
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
     "Hello world", "  two  blanks  ", "\nline\nline \n\n x", "tab\there\r\nand  　wide blank", "Größe naïve 漢字かな交じり文 🙂👍🏽",
-    "a▁b", "▁", "<|endoftext|> <s> </s> <unk> <0x41>", "it's we'll 'tis 123456 a1b2", "\x00\x01\x1c \x1d", ";\r\n}\r", " lead", "trail ",
+    "a▁b", "▁", "<|endoftext|> <s> </s> <unk> <0x41>", "it's we'll 'tis 123456 a1b2", "\x00\x01\x1c \x1d", ";\r\n}\r", " lead", "trail ", "don't, (they're) e.g. www.x.com? \"No!\" te.&&& x², é́, a\nB\n c d", "Schön, Ça! — “q”… 3,5% #a_b",
     "x" * 3000, "ab " * 5000, "é ﬁ ½ ​ zero", "﻿bom", "\n", " ", " sep par",
 ]
 
@@ -73,6 +73,7 @@ def test_units_align_like_whole_texts():
         assert (n_a, n_b, n_groups, len(pairs)) == (*want[:3], len(want[3])), repr(t)
         assert sha == (hashlib.sha256(want[4].encode()).hexdigest() if want[3] else "")
         assert Counter((p >> 20, p & 0xFFFFF) for p in pairs.tolist()) == Counter(want[3])
+    assert two.old and two.tails  # both memories were turned over or used
     for t in ("a▁b", "", None):
         sha, pairs, *counts = two.document(t)
         assert (sha, len(pairs), counts) == ("", 0, [0, 0, 0])
