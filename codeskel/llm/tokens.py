@@ -20,8 +20,13 @@ repeats its unfinished tasks.
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +40,8 @@ from .common import cut, ship
 END_ID = 1
 #: Ids after which a block is closed (a longer document has a block of its own).
 BLOCK_IDS = 1 << 16
-#: Distinct words a worker remembers before it starts anew (about 200 bytes each).
-CACHE_WORDS = 500_000
+#: Distinct words of one generation of a worker's memory (about 200 bytes each; there are two).
+CACHE_WORDS = 300_000
 #: Text bytes that are tokenized at once.
 BATCH_BYTES = 4 << 20
 
@@ -74,29 +79,101 @@ def unpack_ids(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
     return (flat.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
+#: ASCII letters before ASCII marks: the tokenizer parts them, too.
+_TAILED = re.compile(rb"([a-z]+)([!-/:-@\[-`{-~].*)", re.DOTALL)
+#: Plain words that are encoded in one text.
+_JOINED = 64
+
+
+class _Memory:
+    """Words with their ids, laid end to end."""
+
+    def __init__(self):
+        self.seen: dict[bytes, int] = {}
+        self.start = np.zeros(1024, np.int64)
+        self.length = np.zeros(1024, np.int64)
+        self.flat = np.zeros(4096, np.uint32)
+        self.used = 0
+
+    def add(self, words: list[bytes], counts: np.ndarray, ids: np.ndarray) -> None:
+        first = len(self.seen)
+        while first + len(words) > len(self.start):
+            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.length[first : first + len(words)] = counts
+        self.start[first : first + len(words)] = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+        self.seen.update(zip(words, range(first, first + len(words))))
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words numbered ``at``, and each word's count."""
+        counts = self.length[at]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.start[at] - (ends - counts), counts) + np.arange(total)], counts
+
+
 class WordEncoder:
     """Encodes texts word by word through a bounded memory of words already seen.
 
     The tokenizer drops white space and never joins characters across it, lower-
     cases its input and treats every word on its own, so a text's ids are its
-    words' ids in order.  Only new words reach the tokenizer, joined by blanks in
-    one call; their ids are told apart by the offsets that it returns.
+    words' ids in order.  Only new words reach the tokenizer, many in one call:
+    plain ones (lower-case letters) are one piece each, whose last id ends a piece;
+    the others are told apart by the offsets that it returns.
+
+    The memory has two generations: when the young one is full it becomes the old
+    one, and words found there move on, so frequent words are learned once.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.limit = cache_words
         self.n_vocab = self.tok.get_vocab_size()
-        self.reset()
-
-    def reset(self) -> None:
-        self.seen: dict[bytes, int] = {}
-        self.start = np.zeros(1024, np.int64)
-        self.length = np.zeros(1024, np.int64)
-        self.flat = np.zeros(4096, np.uint32)
-        self.used = 0
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.bare = self._bare(path)
+        self.young, self.old = _Memory(), _Memory()
+
+    def _bare(self, path: str):
+        """The same model without the steps that leave plain words as they are; None if the file has other steps."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        spec = json.loads(self.tok.to_str())
+        normal, cuts = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+        if (
+            {n["type"] for n in normal.get("normalizers", [])} != {"NFC", "Replace", "Lowercase"}
+            or [c["type"] for c in cuts.get("pretokenizers", [])] != ["Split", "ByteLevel"]
+            or spec["model"].get("end_of_word_suffix") != "</w>"
+        ):
+            return None
+        bare = Tokenizer.from_file(path)
+        bare.normalizer = None
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), level])
+        return bare
+
+    def _plain(self, word: bytes) -> bool:
+        """Lower-case letters that the tokenizer leaves as they are: one piece."""
+        if word.isascii():
+            return word.isalpha() and word.islower()
+        text = word.decode("utf-8")
+        return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
+    def _learn_plain(self, words: list[bytes]) -> None:
+        texts = [b" ".join(words[i : i + _JOINED]).decode("utf-8") for i in range(0, len(words), _JOINED)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)])
+        counts = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(counts) != len(words):  # a vocabulary whose pieces end otherwise
+            self._learn(words)
+        else:
+            self.young.add(words, counts, ids)
 
     def _learn(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8") for w in words]
@@ -104,35 +181,44 @@ class WordEncoder:
         ids = np.array(enc.ids, np.uint32)
         begins = np.fromiter((o[0] for o in enc.offsets), np.int64, len(ids))
         edges = np.cumsum([0] + [len(t) + 1 for t in texts])
-        counts = np.diff(np.searchsorted(begins, edges))
-        first = len(self.seen)
-        while first + len(words) > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.length[first : first + len(words)] = counts
-        self.start[first : first + len(words)] = self.used + np.cumsum(counts) - counts
-        self.used += len(ids)
-        self.seen.update(zip(words, range(first, first + len(words))))
+        self.young.add(words, np.diff(np.searchsorted(begins, edges)), ids)
+
+    def _know(self, new: set[bytes]) -> None:
+        """Take words that the young generation does not know from the old one, or learn them."""
+        before = self.old.seen
+        known = [w for w in new if w in before]
+        if known:
+            ids, counts = self.old.ids(np.fromiter((before[w] for w in known), np.int64, len(known)))
+            self.young.add(known, counts, ids)
+        fresh = [w for w in new if w not in before] if known else list(new)
+        plain = [w for w in fresh if self._plain(w)] if self.bare else []
+        if plain:
+            self._learn_plain(plain)
+        taken = set(plain)
+        other = [w for w in fresh if w not in taken]
+        if other:
+            self._learn(other)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 texts to all their ids, :data:`END_ID` after each, and each text's count."""
         # bytes methods: ASCII letters and ASCII white space only; special tokens match before lower-casing
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.seen) > self.limit:
-            self.reset()
-        seen = self.seen
-        new = {w for ws in split for w in ws if w not in seen}
-        if new:
-            self._learn(sorted(new))
+        if len(self.young.seen) > self.limit:
+            self.old, self.young = self.young, _Memory()
+        seen = self.young.seen
+        new = set().union(*split).difference(seen)
+        tailed = [m for m in map(_TAILED.fullmatch, new) if m]
+        new.difference_update(m[0] for m in tailed)
+        new.update(p for m in tailed for p in m.groups() if p not in seen)
+        self._know(new)
+        if tailed:
+            pairs = np.fromiter((seen[p] for m in tailed for p in m.groups()), np.int64, 2 * len(tailed))
+            ids, counts = self.young.ids(pairs)
+            self.young.add([m[0] for m in tailed], counts.reshape(-1, 2).sum(axis=1), ids)
         n_words = np.fromiter(map(len, split), np.int64, len(split))
-        idx = np.fromiter((seen[w] for ws in split for w in ws), np.int64, int(n_words.sum()))
-        lens = self.length[idx]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        body = self.flat[np.repeat(self.start[idx] - (ends - lens), lens) + np.arange(total)]
-        at = np.concatenate(([0], ends))[np.cumsum(n_words)]  # ids of this and all earlier texts
+        numbers = map(seen.__getitem__, chain.from_iterable(split))
+        body, lens = self.young.ids(np.fromiter(numbers, np.int64, int(n_words.sum())))
+        at = np.concatenate(([0], np.cumsum(lens)))[np.cumsum(n_words)]  # ids of this and all earlier texts
         return np.insert(body, at, END_ID).astype(np.uint32), np.diff(at, prepend=0) + 1
 
 
