@@ -3,7 +3,7 @@
 A file is one row; its lines are an ``array<string>``.  The folds below emit
 only *ranges* (a handful per file) and the per-line view is rebuilt from them in
 linear time with ``array_repeat``/``flatten`` -- appending to an array inside
-``aggregate`` for every line would copy it each step (quadratic).
+``aggregate`` copies it, so what a fold emits grows in parts (``grow``).
 """
 
 from __future__ import annotations
@@ -56,6 +56,34 @@ def empty(type_str: str) -> Column:
     return F.array().cast(type_str)
 
 
+#: Elements after which a growing array's open part is closed.
+GROW = 512
+
+
+def growing(type_str: str) -> list[Column]:
+    """Fields ``full, part`` of a fold's state that stand for an empty growing array of ``type_str``."""
+    return [empty(f"array<{type_str}>").alias("full"), empty(type_str).alias("part")]
+
+
+def grow(acc: Column, items: Column, when: Column) -> list[Column]:
+    """The fields after appending ``items`` where ``when`` holds.
+
+    Appending copies an array, so a fold that appends to one array is quadratic in
+    its length.  Here only the open part of :data:`GROW` elements is copied, and the
+    list of closed parts once per part.
+    """
+    closes = F.size(acc["part"]) >= GROW
+    return [
+        F.when(when & closes, F.concat(acc["full"], F.array(acc["part"]))).otherwise(acc["full"]).alias("full"),
+        F.when(when & closes, items).when(when, F.concat(acc["part"], items)).otherwise(acc["part"]).alias("part"),
+    ]
+
+
+def grown(acc: Column) -> Column:
+    """The whole array."""
+    return F.flatten(F.concat(acc["full"], F.array(acc["part"])))
+
+
 def repeat_int(value: int, count) -> Column:
     return F.array_repeat(F.lit(value), F.greatest(F.lit(0), count).cast("int"))
 

@@ -79,12 +79,17 @@ def tokens_floor(n_chars) -> Column:
     return F.greatest(F.lit(1), F.floor(_c(n_chars) / F.lit(CHARS_PER_TOKEN)).cast("int"))
 
 
+def tokens_of_chars(n_chars) -> Column:
+    """max(1, ceil(chars / 3.8)) for a text that is not empty."""
+    return F.greatest(F.lit(1), F.ceil(_c(n_chars) / F.lit(CHARS_PER_TOKEN)).cast("int"))
+
+
 def tokens_ceil(text) -> Column:
     """0 for empty text else max(1, ceil(len / 3.8)) -- the prompt estimator."""
     t = _c(text)
     return (
         F.when(t.isNull() | (t == ""), F.lit(0))
-        .otherwise(F.greatest(F.lit(1), F.ceil(F.length(t) / F.lit(CHARS_PER_TOKEN)).cast("int")))
+        .otherwise(tokens_of_chars(F.length(t)))
         .cast("int")
     )
 

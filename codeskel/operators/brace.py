@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.arrays import INSIDE, RANGE_TYPE, count_true, empty, let, line_states, memo_column
+from ..functions.arrays import INSIDE, RANGE_TYPE, count_true, empty, grow, growing, grown, let, line_states, memo_column
 from ..functions.text import leading_ws, py_strip
 
 # --- fixed values ---------------------------------------------------------
@@ -76,7 +76,7 @@ def _fold_ranges(feats: Column, opens, counts, resets=None) -> Column:
         F.lit(0).alias("depth"),
         F.lit(0).alias("start"),
         F.lit(0).alias("i"),
-        empty(RANGE_TYPE).alias("ranges"),
+        *growing(RANGE_TYPE),
     )
 
     def step(acc, f):
@@ -93,16 +93,12 @@ def _fold_ranges(feats: Column, opens, counts, resets=None) -> Column:
             new_depth.alias("depth"),
             F.when(open_now, i).otherwise(acc["start"]).alias("start"),
             (i + 1).alias("i"),
-            F.when(
-                close_now, F.concat(acc["ranges"], F.array(F.struct(acc["start"].alias("o"), i.alias("c"))))
-            ).otherwise(acc["ranges"]).alias("ranges"),
+            *grow(acc, F.array(F.struct(acc["start"].alias("o"), i.alias("c"))), close_now),
         )
 
     def finish(acc):
-        return F.when(
-            acc["in_body"],
-            F.concat(acc["ranges"], F.array(F.struct(acc["start"].alias("o"), F.lit(None).cast("int").alias("c")))),
-        ).otherwise(acc["ranges"])
+        last = F.array(F.struct(acc["start"].alias("o"), F.lit(None).cast("int").alias("c")))
+        return F.when(acc["in_body"], F.concat(grown(acc), last)).otherwise(grown(acc))
 
     return F.aggregate(feats, init, step, finish)
 

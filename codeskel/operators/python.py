@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.arrays import empty, let, memo_column
+from ..functions.arrays import empty, grow, growing, grown, let, memo_column
 from ..functions.text import WS_CLASS, indent_width, py_strip
 
 # --- fixed values ---------------------------------------------------------
@@ -53,8 +53,6 @@ _ASSIGN_RE = (
     rf"|^(?!(?:{_KW})\b)[^\W\d][\w.]*\s*:\s*[^\s=]"
 )
 _EMPTY_STRING_RE = r"^[rRuU]?(\"\"|''|\"{6}|'{6})\s*(#.*)?$"
-#: Nesting of brackets that is blanked on one line.
-_NESTING = 4
 
 K_OTHER, K_CLASS, K_DEF, K_DECO, K_IMPORT, K_ASSIGN = 0, 1, 2, 3, 4, 5
 P_NONE, P_CLASS, P_DEF = 0, 1, 2
@@ -90,10 +88,15 @@ def _no_strings(s: Column) -> Column:
 
 def _is_assignment(s: Column) -> Column:
     """Stripped module-level line ``s`` assigns or annotates outside brackets and strings."""
-    c = _no_strings(s)
-    for _ in range(_NESTING):
-        c = F.regexp_replace(c, r"[(\[{][^()\[\]{}]*[)\]}]", "_")
-    return F.regexp_replace(c, r"[(\[{].*$", "_").rlike(_ASSIGN_RE)
+
+
+    def blanked(c):
+        # one pass per opening bracket blanks any nesting, from the inside out
+        passes = F.array_repeat(F.lit(0), _count_chars(c, "([{"))
+        inner = F.aggregate(passes, c, lambda acc, _: F.regexp_replace(acc, r"[(\[{][^()\[\]{}]*[)\]}]", "_"))
+        return F.regexp_replace(inner, r"[(\[{].*$", "_").rlike(_ASSIGN_RE)
+
+    return let(_no_strings(s), blanked)
 
 
 def _is_docstring(s: Column) -> Column:
@@ -153,7 +156,7 @@ def python_fold(feats: Column) -> Column:
         F.lit(0).alias("pstart"),
         empty("array<int>").alias("decos"),
         F.lit(-1).alias("keep_from"),
-        empty(SEG_TYPE).alias("segs"),
+        *growing(SEG_TYPE),
         F.lit(0).alias("classes"),
         F.lit(0).alias("methods"),
         F.lit(False).alias("bad"),
@@ -195,20 +198,15 @@ def python_fold(feats: Column) -> Column:
         is_def = e["reach"] & (kind == K_DEF)
         keep_from = F.when(e["is_doc"] | e["top_keep"], i).otherwise(a["keep_from"])
 
-        segs = a["segs"]
-        segs = F.when(resolve_def & (a["pstart"] <= i - 1), F.concat(segs, F.array(_seg(a["pstart"], i - 1)))).otherwise(
-            segs
+        header = resolve_def & (a["pstart"] <= i - 1)
+        kept = end & (keep_from >= 0)
+        segs = F.concat(
+            F.when(header, F.array(_seg(a["pstart"], i - 1))).otherwise(empty(SEG_TYPE)),
+            # decorators already inside a just-resolved header range are not repeated
+            F.when(is_cd & ~resolve_def, F.transform(a["decos"], lambda x: _seg(x, x))).otherwise(empty(SEG_TYPE)),
+            F.when(is_cls, F.array(_seg(i, i))).otherwise(empty(SEG_TYPE)),
+            F.when(kept, F.array(_seg(keep_from, i))).otherwise(empty(SEG_TYPE)),
         )
-        segs = F.when(
-            is_cd,
-            F.concat(
-                segs,
-                # decorators already inside a just-resolved header range are not repeated
-                F.transform(F.when(resolve_def, empty("array<int>")).otherwise(a["decos"]), lambda x: _seg(x, x)),
-                F.when(is_cls, F.array(_seg(i, i))).otherwise(empty(SEG_TYPE)),
-            ),
-        ).otherwise(segs)
-        segs = F.when(end & (keep_from >= 0), F.concat(segs, F.array(_seg(keep_from, i)))).otherwise(segs)
 
         pend = (
             F.when(~start, a["pend"])
@@ -240,7 +238,7 @@ def python_fold(feats: Column) -> Column:
             F.when(is_def, i).otherwise(a["pstart"]).alias("pstart"),
             decos.alias("decos"),
             F.when(end, F.lit(-1)).otherwise(keep_from).alias("keep_from"),
-            segs.alias("segs"),
+            *grow(a, segs, header | is_cd | kept),
             (a["classes"] + F.when(is_cls, 1).otherwise(0)).alias("classes"),
             (a["methods"] + F.when(is_def, 1).otherwise(0)).alias("methods"),
             (a["bad"] | (d["depth2"] < 0)).alias("bad"),
@@ -248,7 +246,7 @@ def python_fold(feats: Column) -> Column:
 
     def finish(a):
         return F.struct(
-            a["segs"].alias("segs"),
+            grown(a).alias("segs"),
             a["moddoc"].alias("moddoc"),
             a["classes"].alias("classes"),
             a["methods"].alias("methods"),
