@@ -1,16 +1,21 @@
-"""Method body lookup (J1, X1-X5) and fetch totals (A3).
+"""Method body lookup (J1, X1-X5) through a definition index, and fetch totals (A3).
 
-``method_bodies(files, requests)`` joins requests ``(repo, path, method)`` to
-the files table (AQE splits a file that a third of all requests hit) and
-extracts each body row-locally from that file's lines:
+``definition_index(files)`` holds, per file, every name that a lookup can find, with
+the range of lines of its body:
 
-* ``.py`` that parses (balanced brackets and quotes): the first ``def`` named
-  ``method`` in breadth-first order (shallowest block depth, then line), lines
-  from the ``def`` line to the last statement line of its block;
-* otherwise, any language: the first line matching the start pattern, then up
+* ``.py`` that parses (balanced brackets and quotes): a ``def`` of that name, the
+  first in breadth-first order (shallowest block depth, then line), from the ``def``
+  line to the last statement line of its block.  One fold over the lines, with a stack
+  of open blocks, gives all of them;
+* otherwise, any language: the first line where the name stands before ``(``, then up
   to 149 further lines -- Python stops at (and includes) the first code line
   indented at most as deep, brace languages at the first line where the running
   brace count is <= 0 and that holds a ``}``.
+
+``method_bodies(files, requests)`` joins requests ``(repo, path, method)`` to the
+index on all three keys; only the ranges found go back to their files, once per file,
+where the bodies are cut out.  Names that are not plain words (``$load``,
+``operator==``) have no entry and are looked up by scanning their files' lines.
 """
 
 from __future__ import annotations
@@ -18,8 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import OUTSIDE, RANGE_TYPE, empty, let, line_states, memo_column
-from ..functions.text import indent_width, py_strip, regex_quote, split_lines, tokens_ceil
+from ..functions.arrays import OUTSIDE, RANGE_TYPE, empty, grow, growing, grown, let, line_states, memo_column
+from ..functions.text import indent_width, py_strip, regex_quote, split_lines, tokens_ceil, tokens_of_chars
 from .brace import brace_net
 from .python import python_features, shared_python_features
 from .skeleton import file_ext
@@ -30,6 +35,7 @@ START_KEYWORDS = ("def", "function", "async", "public", "private", "protected",
 # At most this many further lines follow the start line.
 BODY_MAX_LINES = 150
 NOT_FOUND_FILE = "Error: File '%s' not found."
+READ_ERROR = "Error reading '%s': %s"
 NOT_FOUND_METHOD = "Method '%s' not found in '%s'."
 BODY_BANNER = "=== METHOD BODY: %s in %s (~%d tokens) ==="
 # --------------------------------------------------------------------------
@@ -49,7 +55,7 @@ def python_parses(lines: Column, feats: Column | None = None) -> Column:
     (K8's test), and the statements of several lines as ranges of first and last line."""
     init = F.struct(
         F.lit("").alias("q"), F.lit(0).alias("depth"), F.lit(False).alias("cont"), F.lit(False).alias("bad"),
-        F.lit(0).alias("i"), F.lit(-1).alias("open"), empty(RANGE_TYPE).alias("spans"),
+        F.lit(0).alias("i"), F.lit(-1).alias("open"), *growing(RANGE_TYPE),
     )
 
     def step(a, f):
@@ -71,14 +77,14 @@ def python_parses(lines: Column, feats: Column | None = None) -> Column:
             (a["bad"] | (b["depth"] < 0)).alias("bad"),
             (a["i"] + 1).alias("i"),
             F.when(inside & (a["open"] < 0), a["i"]).when(inside, a["open"]).otherwise(F.lit(-1)).alias("open"),
-            F.when(closes, F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"),
+            *grow(a, F.array(span), closes),
         )
 
     return F.aggregate(
         python_features(lines) if feats is None else feats,
         init,
         step,
-        lambda a: F.struct((~a["bad"] & (a["q"] == "") & (a["depth"] == 0) & ~a["cont"]).alias("ok"), a["spans"].alias("spans")),
+        lambda a: F.struct((~a["bad"] & (a["q"] == "") & (a["depth"] == 0) & ~a["cont"]).alias("ok"), grown(a).alias("spans")),
     )
 
 
@@ -212,19 +218,198 @@ def prepare_files(files: DataFrame) -> DataFrame:
     )
 
 
+# ------------------------------------------------------------------ definition index
+
+#: Names that the index holds; others are looked up by scanning.
+PLAIN_NAME = r"(?U)^\w+$"
+_DEF_NAME = r"^(?:async\s+)?def\s+((?U:\w+))\s*\("
+_CALL_NAME = r"(?U)(\w+)\s*\("
+_KEYWORDS = "(?:" + "|".join(START_KEYWORDS) + ")+"
+_OPEN_TYPE = "array<struct<ind:int,name:string,depth:int,i:int>>"
+_ENTRY_TYPE = "array<struct<name:string,kind:int,depth:int,start:int,stop:int>>"
+
+
+def _entry(name: Column, kind: int, depth: Column, start: Column, stop: Column) -> Column:
+    return F.struct(
+        name.alias("name"), F.lit(kind).alias("kind"), depth.cast("int").alias("depth"),
+        start.cast("int").alias("start"), stop.cast("int").alias("stop"),
+    )
+
+
+def _python_defs(lines: Column, stmt_ind: Column) -> Column:
+    """Entries (kind 0) of all ``def`` lines, from one fold with a stack of the open blocks.
+
+    A block ends before the first statement that is indented at most as deep; its last
+    line is the last line before that which is neither blank nor a comment.
+    """
+    tagged = F.zip_with(
+        lines, stmt_ind,
+        lambda ln, ind: F.struct(
+            ind.alias("ind"),
+            F.when((ind >= 0) & ln.contains("def"), F.nullif(F.regexp_extract(py_strip(ln), _DEF_NAME, 1), F.lit(""))).alias("name"),
+        ),
+    )
+    init = F.struct(empty(_OPEN_TYPE).alias("stack"), F.lit(0).alias("i"), F.lit(-1).alias("last"), *growing(_ENTRY_TYPE))
+
+    def closed(blocks, last):
+        return F.transform(blocks, lambda e: _entry(e["name"], 0, e["depth"], e["i"], last))
+
+    def step(a, f):
+        starts = f["ind"] >= 0
+        ends = F.filter(a["stack"], lambda e: (e["ind"] >= f["ind"]) & e["name"].isNotNull())
+        b = F.struct(
+            F.when(starts, ends).otherwise(empty(_OPEN_TYPE)).alias("ends"),
+            F.when(starts, F.filter(a["stack"], lambda e: e["ind"] < f["ind"])).otherwise(a["stack"]).alias("outer"),
+        )
+        return let(b, lambda b: advance(a, f, b, starts))
+
+    def advance(a, f, b, starts):
+        own = F.struct(f["ind"].alias("ind"), f["name"].alias("name"), (F.size(b["outer"]) + 1).alias("depth"), a["i"].alias("i"))
+        return F.struct(
+            F.when(starts, F.concat(b["outer"], F.array(own))).otherwise(b["outer"]).alias("stack"),
+            (a["i"] + 1).alias("i"),
+            F.when(f["ind"] != -1, a["i"]).otherwise(a["last"]).alias("last"),
+            *grow(a, closed(b["ends"], a["last"]), F.size(b["ends"]) > 0),
+        )
+
+    def finish(a):
+        return F.concat(grown(a), closed(F.filter(a["stack"], lambda e: e["name"].isNotNull()), a["last"]))
+
+    return F.aggregate(tagged, init, step, finish)
+
+
+def _called_names(line: Column) -> Column:
+    """Every name that :func:`start_pattern` finds on the line: words before ``(``, and
+    what is left of one when keywords glued to its front are taken off."""
+    words = F.regexp_extract_all(line, F.lit(_CALL_NAME), 1)
+
+    def names(w):
+        cuts = F.filter(F.sequence(F.lit(1), F.length(w)), lambda k: F.substring(w, F.lit(1), k).rlike(f"^{_KEYWORDS}$"))
+        rest = F.filter(F.transform(cuts, lambda k: F.substring(w, k + 1, F.length(w))), lambda r: r != "")
+        return F.concat(F.array(w), F.when(w.rlike(f"^{_KEYWORDS}"), rest).otherwise(empty("array<string>")))
+
+    return F.when(line.contains("("), F.flatten(F.transform(words, names))).otherwise(empty("array<string>"))
+
+
+def _calls(lines: Column) -> Column:
+    """Entries (kind 1) of the names before ``(``; their ends are not known yet."""
+    return F.flatten(
+        F.transform(lines, lambda ln, i: F.transform(_called_names(ln), lambda n: _entry(n, 1, F.lit(0), i, F.lit(-1))))
+    )
+
+
+def _block_end(lines: Column, code_ind: Column, nets: Column, is_py: Column, s: Column) -> Column:
+    """Last line of the fallback's block from line ``s`` on."""
+    last = F.least(s + BODY_MAX_LINES - 1, F.size(lines) - 1)
+
+    def py_end(own):
+        at = F.array_position(F.transform(F.slice(code_ind, s + 2, last - s), lambda c: (c >= 0) & (c <= own)), F.lit(True))
+        return F.when(at > 0, s + at.cast("int")).otherwise(last)
+
+    def brace_step(a, j):
+        total = a["bc"] + F.get(nets, j)
+        hit = a["stop"].isNull() & (total <= 0) & F.get(lines, j).contains("}")
+        return F.struct(total.alias("bc"), F.when(hit, j).otherwise(a["stop"]).alias("stop"))
+
+    brace = F.aggregate(
+        F.sequence(s + 1, F.greatest(last, s + 1)),
+        F.struct(F.get(nets, s).alias("bc"), F.lit(None).cast("int").alias("stop")),
+        lambda a, j: F.when((j <= last) & a["stop"].isNull(), brace_step(a, j)).otherwise(a),
+    )["stop"]
+    return F.when(is_py, let(indent_width(F.get(lines, s)), py_end)).otherwise(F.coalesce(brace, last))
+
+
+def _definitions() -> Column:
+    """``array<struct<name, start, stop, chars>>`` over the columns of :func:`prepare_files`: one entry per name."""
+    ln, ci, nets = F.col("lines"), F.col("code_ind"), F.col("nets")
+    is_py = file_ext(F.col("path")) == ".py"
+    defs = F.when(is_py & F.coalesce(F.col("py_ok"), F.lit(False)), _python_defs(ln, F.col("stmt_ind"))).otherwise(empty(_ENTRY_TYPE))
+
+    def first(entries):
+        return F.filter(entries, lambda e, j: (j == 0) | (F.get(entries, j - 1)["name"] != e["name"]))
+
+    def place(e):
+        stop = F.when(e["kind"] == 0, e["stop"]).otherwise(_block_end(ln, ci, nets, is_py, e["start"]))
+        return let(stop.cast("int"), lambda stop: measure(e, stop))
+
+    def measure(e, stop):
+        held = F.slice(ln, e["start"] + 1, stop - e["start"] + 1)
+        chars = F.aggregate(held, stop - e["start"], lambda n, x: n + F.length(x))
+        return F.struct(e["name"].alias("name"), e["start"].alias("start"), stop.alias("stop"), chars.alias("chars"))
+
+    # by name, then a def before a call, the shallowest, the first line
+    return F.transform(let(F.sort_array(F.concat(defs, _calls(ln))), first), place)
+
+
+def definition_index(files: DataFrame) -> DataFrame:
+    """``(repo, path, name, start, stop, chars)``: each name of each file with the lines
+    of its body (0-based, inclusive) and the body's length.  Row-local: no shuffle."""
+    rows = prepare_files(files).select("repo", "path", F.explode(memo_column("definitions:v1", _definitions)).alias("d"))
+    return rows.select("repo", "path", "d.name", "d.start", "d.stop", "d.chars")
+
+
+def _asked_files(files: DataFrame, requests: DataFrame) -> DataFrame:
+    return files.join(requests.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+
+
+def _scanned_bodies(files: DataFrame, requests: DataFrame) -> DataFrame:
+    """``(repo, path, method, body)`` of the requests that no index entry can answer."""
+    odd = requests.filter(~F.col("method").rlike(PLAIN_NAME)).select("repo", "path", "method").distinct()
+    joined = odd.join(prepare_files(_asked_files(files, odd)), ["repo", "path"])
+    return joined.select("repo", "path", "method", extract_method_body().alias("body")).filter(F.col("body") != "")
+
+
+def found_bodies(files: DataFrame, requests: DataFrame) -> DataFrame:
+    """``(repo, path, method, body)`` of the distinct requests whose method is found."""
+    asked = requests.select("repo", "path", "method").distinct()
+    files = files.select("repo", "path", "content")
+    mine = _asked_files(files, asked)
+    hits = definition_index(mine).withColumnRenamed("name", "method").join(asked, ["repo", "path", "method"])
+    # at most the names of one file meet here
+    ranges = hits.groupBy("repo", "path").agg(F.collect_list(F.struct("method", "start", "stop")).alias("ranges"))
+    body = lambda r: F.array_join(F.slice(F.col("lines"), r["start"] + 1, r["stop"] - r["start"] + 1), "\n")
+    cut = (
+        mine.select("repo", "path", split_lines(F.col("content")).alias("lines"))
+        .join(ranges, ["repo", "path"])
+        .select("repo", "path", F.explode(F.transform("ranges", lambda r: F.struct(r["method"].alias("method"), body(r).alias("body")))).alias("b"))
+        .select("repo", "path", "b.method", "b.body")
+    )
+    return cut.unionByName(_scanned_bodies(files, asked))
+
+
+def fetch_tokens(files: DataFrame, requests: DataFrame) -> DataFrame:
+    """``(repo, path, method, tokens)``: one row per request whose method is found (A2, A3).
+
+    Lengths come from the index; no body is built for a plain name.
+    """
+    asked = requests.select("repo", "path", "method").distinct()
+    files = files.select("repo", "path", "content")
+    index = definition_index(_asked_files(files, asked)).withColumnRenamed("name", "method").select("repo", "path", "method", "chars")
+    odd = _scanned_bodies(files, asked).select("repo", "path", "method", F.length("body").alias("chars"))
+    sized = requests.select("repo", "path", "method").join(index.unionByName(odd), ["repo", "path", "method"])
+    return sized.select("repo", "path", "method", tokens_of_chars(F.col("chars")).alias("tokens"))
+
+
 def method_bodies(files: DataFrame, requests: DataFrame) -> DataFrame:
-    """J1 + X5: one row per request with status, body, tokens and the tool's text."""
-    joined = requests.join(prepare_files(files), ["repo", "path"], "left")
-    body = extract_method_body()
-    df = joined.select("repo", "path", "method", F.col("lines").isNotNull().alias("_file"), body.alias("body"))
+    """J1 + X5: one row per request with status, body, tokens and the tool's text.
+
+    Files that could not be read (``error`` is not null, see the tree source) answer
+    with the reading error.
+    """
+    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    known = files.select("repo", "path", F.lit(True).alias("_file"), error.alias("_error"))
+    read = files.filter(F.col("error").isNull()) if "error" in files.columns else files
+    df = requests.join(known, ["repo", "path"], "left").join(found_bodies(read, requests), ["repo", "path", "method"], "left")
     tokens = tokens_ceil(F.col("body"))
     status = (
-        F.when(~F.col("_file"), F.lit("file not found"))
+        F.when(F.col("_file").isNull(), F.lit("file not found"))
+        .when(F.col("_error").isNotNull(), F.lit("read error"))
         .when(F.col("body").isNull() | (F.col("body") == ""), F.lit("method not found"))
         .otherwise(F.lit("found"))
     )
     text = (
         F.when(status == "file not found", F.format_string(NOT_FOUND_FILE, F.col("path")))
+        .when(status == "read error", F.format_string(READ_ERROR, F.col("path"), F.col("_error")))
         .when(status == "method not found", F.format_string(NOT_FOUND_METHOD, F.col("method"), F.col("path")))
         .otherwise(
             F.concat(

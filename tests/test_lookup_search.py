@@ -2,7 +2,8 @@
 
 
 from codeskel.operators import search as S
-from codeskel.operators.lookup import method_bodies
+from codeskel.operators.lookup import definition_index, extract_method_body, fetch_tokens, method_bodies, prepare_files
+from codeskel.operators.skeleton import skeletonize
 from codeskel.sources.files import repo_ref_normalise, scan_supported_files
 
 from .test_skeleton import G1, G3
@@ -102,3 +103,69 @@ def h():
 def test_local_reference_edge_cases(spark):
     df = spark.createDataFrame([("/",), (".",), ("a/b/",)], "ref string")
     assert {r.ref: r.repo_name for r in repo_ref_normalise(df).collect()} == {"/": "/", ".": ".", "a/b/": "b"}
+
+
+PY = """class A:
+    def run(self):
+        if x:
+            def inner(a):
+                return call(a)
+
+        # a comment
+        return inner(2)
+
+    async def stop(self): pass
+
+
+def run(a,
+        b):
+    return stop(a)
+def last(): return asyncrun (1)
+"""
+BROKEN = "def f(:\n    g(1)\n    x = (\n"
+JAVA = """class T {
+  publicint go(int x) {
+    if (x > 0) { stop(); }
+    return x;
+  }
+  void stop()
+  {
+    go(1);
+  }
+}
+"""
+
+
+def test_index_answers_like_a_scan_of_the_lines(spark):
+    """Every name that occurs, and some that do not, against the per-request scan of the file's lines."""
+    files = spark.createDataFrame(
+        [("r", "a.py", PY), ("r", "b.py", BROKEN), ("r", "T.java", JAVA), ("r", "e.py", ""), ("r", "n.js", None), ("q", "a.py", "x = run(1)\n" + PY)],
+        "repo string, path string, content string",
+    )
+    names = ["A", "run", "inner", "call", "stop", "last", "asyncrun", "f", "g", "go", "int", "publicint", "T", "if", "x", "nope", "return", "b", "a.b", "$x", ""]
+    asked = files.select("repo", "path").crossJoin(spark.createDataFrame([(n,) for n in names], "method string"))
+    scan = asked.join(prepare_files(files), ["repo", "path"]).withColumn("body", extract_method_body())
+    want = {(r.repo, r.path, r.method): r.body or None for r in scan.select("repo", "path", "method", "body").collect()}
+    got = {(r.repo, r.path, r.method): r.body for r in method_bodies(files, asked).collect()}
+    assert got == want and sum(v is not None for v in got.values()) > 15
+    assert got["r", "a.py", "run"].startswith("def run(a,") and got["r", "a.py", "inner"].endswith("return call(a)")
+    tokens = {(r.repo, r.path, r.method): r.tokens for r in fetch_tokens(files, asked).collect()}
+    assert tokens == {k: max(1, -(-len(v) * 10 // 38)) for k, v in got.items() if v}
+
+
+def test_index_is_linear_in_functions(spark):
+    """Eight times the functions take at most about eight times as long (a quadratic fold: 64 times)."""
+    import time
+
+    def seconds(n):
+        text = "\n".join(f"def f{i}(a):\n    return a" for i in range(n)) + "\n"
+        js = "\n".join(f"function g{i}(a) {{\n  h(a);\n}}" for i in range(n))
+        df = spark.createDataFrame([("r", "a.py", text), ("r", "a.js", js)], "repo string, path string, content string")
+        t = time.time()
+        assert definition_index(df).filter("name like 'f%' or name like 'g%'").count() == 2 * n
+        assert skeletonize(df).filter(f"method_count = {n}").count() == 2
+        return time.time() - t
+
+    seconds(100)
+    small, large = seconds(500), seconds(4_000)
+    assert large < 12 * small + 2
