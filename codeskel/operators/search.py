@@ -17,11 +17,18 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_strip, split_lf_lines
 from ..session import ensure_checkpoint_dir
+from ..sources.files import scan_filter
 
 # --- fixed values ---------------------------------------------------------
 TOP_N = 50
 # --------------------------------------------------------------------------
 
+def searched_files(files: DataFrame) -> DataFrame:
+    """The files a search reads: none below an ignored directory (any extension), none that could not be read."""
+    kept = files.filter(scan_filter("path", supported_only=False))
+    return kept.filter(F.col("error").isNull()) if "error" in files.columns else kept
+
+
 def search_lines(files: DataFrame, content: str = "content") -> DataFrame:
     """``(repo, path, line_no, line)``: one row per LF-terminated line, 1-based."""
     return files.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -49,5 +50,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_PACKAGE = os.path.dirname(os.path.abspath(__file__))
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor (once per application)."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    fd, path = tempfile.mkstemp(prefix="codeskel-", suffix=".zip")  # the driver serves it to the executors
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(_PACKAGE):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(_PACKAGE)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
