@@ -73,12 +73,14 @@ _IGNORED = "[" + ",".join(f"'{d}'" for d in IGNORED_DIRS) + "]"
 _SUPPORTED = "('.py','.ts','.js','.tsx','.jsx','.java','.cpp','.cs')"
 
 
-def scan_pred_sql(path: str) -> str:
+def ignored_pred_sql(path: str) -> str:
+    """No directory of the path is an ignored one."""
     d = f"regexp_extract({path}, '^(.*)/[^/]*$', 1)"
-    return (
-        f"(NOT list_has_any(string_split(replace({d}, '\\', '/'), '/'), {_IGNORED}) "
-        f"AND {ext_sql(path)} IN {_SUPPORTED})"
-    )
+    return f"NOT list_has_any(string_split(replace({d}, '\\', '/'), '/'), {_IGNORED})"
+
+
+def scan_pred_sql(path: str) -> str:
+    return f"({ignored_pred_sql(path)} AND {ext_sql(path)} IN {_SUPPORTED})"
 
 
 # ------------------------------------------------------------------ skeletons
@@ -343,6 +345,22 @@ def repo_summary() -> str:
     return _scanned_metrics() + _summary_select("sm", "repo")
 
 
+def repo_summary_with_fetches() -> str:
+    consumed = "(total_skeleton_tokens + mt)"
+    saved = f"greatest(0, total_raw_tokens - {consumed})"
+    pct = f"(CASE WHEN total_raw_tokens > 0 THEN {round1_sql(f'{saved}::DOUBLE / total_raw_tokens::DOUBLE * 100.0::DOUBLE')} ELSE 0.0::DOUBLE END)"
+    ratio = f"cast({round1_sql(f'total_raw_tokens::DOUBLE / greatest(1, {consumed})::DOUBLE')} AS VARCHAR) || 'x'"
+    return f"""WITH su AS ({repo_summary()}),
+ft AS ({method_fetch_totals()}),
+j AS (SELECT su.repo, total_files_scanned, total_raw_tokens, total_skeleton_tokens,
+             coalesce(ft.selective_method_fetches, 0)::BIGINT AS mf, coalesce(ft.method_tokens_fetched, 0)::BIGINT AS mt
+      FROM su LEFT JOIN ft ON ft.repo = su.repo)
+SELECT repo, total_files_scanned, total_raw_tokens, total_skeleton_tokens, mf AS selective_method_fetches,
+       mt AS method_tokens_fetched, {consumed} AS total_consumed_tokens, {saved} AS saved_tokens, {pct} AS reduction_pct,
+       {ratio} AS compression_ratio
+FROM j"""
+
+
 def repo_summary_rollup() -> str:
     return _scanned_metrics() + _summary_select("sm", "ROLLUP (repo)")
 
@@ -441,6 +459,17 @@ m AS (SELECT {_q(symbol)} AS symbol, repo, path, line_no, {strip_sql('line')} AS
 {_report('m', 'sy')}"""
 
 
+def find_references_code(symbol: str = "helper") -> str:
+    return f"""WITH {code_files_cte('duckdb')},
+dl AS (
+  SELECT repo, path, generate_subscripts(arr, 1) AS line_no, unnest(arr) AS line
+  FROM (SELECT repo, path, {lf_lines_sql('content')} AS arr FROM code_files WHERE {ignored_pred_sql('path')})
+),
+sy AS (SELECT {_q(symbol)} AS symbol),
+m AS (SELECT {_q(symbol)} AS symbol, repo, path, line_no, {strip_sql('line')} AS text FROM dl WHERE contains(line, {_q(symbol)})),
+{_report('m', 'sy')}"""
+
+
 def find_references_multi() -> str:
     return f"""WITH {_DOC_LINES},
 sy AS (SELECT DISTINCT w AS symbol FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM benchmark)
@@ -699,6 +728,20 @@ SELECT repo, count(*) AS total_files_scanned, sum(raw_tokens_est)::BIGINT AS tot
 FROM sm GROUP BY repo"""
 
 
+def skeleton_map_sink() -> str:
+    text = "CASE WHEN path IS NULL THEN entry[1:length(entry) - 1] ELSE entry END"
+    return f"""WITH mp AS ({skeleton_map()}),
+l AS (SELECT repo, unnest(string_split({text}, chr(10))) AS value FROM mp)
+SELECT repo, count(*) AS n_lines, sum(length(value))::BIGINT AS n_chars,
+       sum(cast('0x' || substring(md5(value), 1, 8) AS BIGINT))::BIGINT AS checksum
+FROM l GROUP BY repo"""
+
+
+def scan_tree_supported() -> str:
+    return f"""WITH {code_files_cte('duckdb')}
+SELECT repo, path, 'ok' AS status, length(content)::INTEGER AS n_chars FROM code_files WHERE {scan_pred_sql('path')}"""
+
+
 def scan_tree() -> str:
     return f"WITH {code_files_cte('duckdb')}\nSELECT repo, path, content FROM code_files"
 
@@ -796,12 +839,18 @@ dd AS ({deep_dive_samples()}),
 mp AS ({skeleton_map()}),
 bb AS (SELECT repo, string_agg({snippet_item}, '' ORDER BY k) AS b
        FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY rank) AS k FROM dd) WHERE k <= 3 GROUP BY repo),
+mb4 AS (SELECT repo, count(*) AS n, string_agg(path || ':' || method || chr(10) || text, chr(10) || chr(10)
+               ORDER BY path || ':' || method) AS t FROM dd GROUP BY repo),
+sf AS ({sample_file_pair()}),
 me AS (SELECT repo, string_agg(entry, chr(10) ORDER BY path) AS entries
        FROM mp WHERE path IS NOT NULL GROUP BY repo),
 ex AS (SELECT h.repo, substring(h.entry || coalesce(me.entries, ''), 1, 3500) AS excerpt
        FROM (SELECT repo, entry FROM mp WHERE path IS NULL) h LEFT JOIN me ON me.repo = h.repo)
-SELECT su.*, dg.diagram, {report} AS markdown_report
-FROM su LEFT JOIN dg ON dg.repo = su.repo LEFT JOIN bb ON bb.repo = su.repo LEFT JOIN ex ON ex.repo = su.repo"""
+SELECT su.*, dg.diagram, {report} AS markdown_report, coalesce(mb4.n, 0)::INTEGER AS n_bodies,
+       coalesce(mb4.t, '') AS method_bodies, sf.filename AS sample_filename, sf.original AS sample_original,
+       sf.skeleton AS sample_skeleton, sf.raw_tokens AS sample_raw_tokens, sf.skeleton_tokens AS sample_skeleton_tokens
+FROM su LEFT JOIN dg ON dg.repo = su.repo LEFT JOIN bb ON bb.repo = su.repo LEFT JOIN ex ON ex.repo = su.repo
+LEFT JOIN mb4 ON mb4.repo = su.repo LEFT JOIN sf ON sf.repo = su.repo"""
 
 
 def repo_report_snippet() -> str:

@@ -6,6 +6,8 @@ from ``part`` and ``lineitem``), prose from ``documents``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ from ..operators import metrics as M
 from ..operators.skeleton import METRIC_COLUMNS, skeleton_generic, skeletonize
 from pyspark import StorageLevel
 
-from ..sources.files import scan_filter, scan_supported_files
+from ..session import ensure_checkpoint_dir
+from ..sources.files import IGNORED_DIRS, SUPPORTED_EXTS, scan_filter, scan_supported_files
+from ..sources.tree import read_tree, write_tree
 from ..sources.fixtures import code_files, method_requests
 from ..operators import search as S
 from ..operators import prompts as P
@@ -25,7 +29,7 @@ from ..operators.skeleton import file_ext, language
 from ..sources.files import repo_ref_normalise as _refs
 from ..functions.arrays import let
 from . import report as R
-from ..operators.lookup import method_bodies as _method_bodies
+from ..operators.lookup import fetch_tokens, method_bodies as _method_bodies
 from ..sources.tables import read_table
 
 
@@ -33,6 +37,11 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents", "doc_id")
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/codeskel/{name}/{uuid.uuid4().hex}"
+
+
 _METRICS: dict[tuple, DataFrame] = {}
 
 
@@ -166,6 +175,16 @@ def find_references_multi(spark, sf):
     return S.reference_report(S.match_symbols(lines, syms), syms, lines=lines)
 
 
+CODE_SYMBOL = "helper"
+
+
+def find_references_code(spark, sf):
+    """J3 over the source files, directories of installed or built code left out."""
+    lines = S.search_lines(S.searched_files(code_files(spark, sf)))
+    syms = spark.range(1).select(F.lit(CODE_SYMBOL).alias("symbol"))
+    return S.reference_report(S.find_references(lines, CODE_SYMBOL), syms)
+
+
 def find_references_header(spark, sf):
     """A4: the header line the search prints per (symbol, repo), or the no-match message."""
     return S.reference_header(find_references_multi(spark, sf))
@@ -178,8 +197,13 @@ def method_bodies(spark, sf):
 
 
 def method_fetch_totals(spark, sf):
-    mb = method_bodies(spark, sf).withColumn("_found", F.col("status") == "found")
-    return M.method_fetch_totals(mb, found="_found")
+    return M.method_fetch_totals(fetch_tokens(code_files(spark, sf), method_requests(spark, sf)))
+
+
+def repo_summary_with_fetches(spark, sf):
+    """A2 with the bodies that every line item's request fetches."""
+    fetches = fetch_tokens(code_files(spark, sf), method_requests(spark, sf))
+    return M.repo_summary(_file_metrics(spark, sf, scanned=True), fetches)
 
 
 # ------------------------------------------------------------------ gaps, ranges
@@ -265,12 +289,38 @@ def sample_file_pair(spark, sf):
     return R.sample_file_pair(_scanned(spark, sf), code_files(spark, sf))
 
 
-def repo_report(spark, sf):
+def _bundle(spark, sf):
     return R.repo_report(code_files(spark, sf), _scanned(spark, sf))
 
 
+def repo_report(spark, sf):
+    """R5 with the map of bodies (J4) and the sample file spelled out in plain columns."""
+    entry = lambda e: F.concat(e["key"], F.lit("\n"), e["value"])
+    df = _bundle(spark, sf)
+    return df.select(
+        *[c for c in df.columns if c not in ("method_bodies", "sample_file")],
+        F.size("method_bodies").alias("n_bodies"),
+        F.array_join(F.transform(F.array_sort(F.map_entries("method_bodies")), entry), "\n\n").alias("method_bodies"),
+        F.col("sample_file.filename").alias("sample_filename"),
+        F.col("sample_file.original").alias("sample_original"),
+        F.col("sample_file.skeleton").alias("sample_skeleton"),
+        F.col("sample_file.raw_tokens").alias("sample_raw_tokens"),
+        F.col("sample_file.skeleton_tokens").alias("sample_skeleton_tokens"),
+    )
+
+
 def repo_report_snippet(spark, sf):
-    return R.repo_report_snippet(repo_report(spark, sf))
+    return R.repo_report_snippet(_bundle(spark, sf))
+
+
+def skeleton_map_sink(spark, sf):
+    """The maps written as text by repo and read back; lines, characters and a checksum per repo."""
+    root = _scratch(spark, "map")
+    R.write_map(R.skeleton_map(_scanned(spark, sf)), root)
+    digest = F.conv(F.substring(F.md5(F.col("value").cast("binary")), 1, 8), 16, 10).cast("long")
+    return R.read_map(spark, root).groupBy("repo").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("value")).alias("n_chars"), F.sum(digest).alias("checksum")
+    )
 
 
 # ------------------------------------------------------------------ streaming, tree source
@@ -289,10 +339,14 @@ def stream_scan_totals(spark, sf):
 
 def scan_tree(spark, sf):
     """S1 round trip: the corpus written as a directory tree, read back by the tree source."""
-    import uuid
+    root = _scratch(spark, "tree")
+    write_tree(code_files(spark, sf), root)
+    return read_tree(spark, root).select("repo", "path", "content")
 
-    from ..session import ensure_checkpoint_dir
-    from ..sources.tree import scan_tree as _scan_tree
 
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/codeskel/tree/{uuid.uuid4().hex}"
-    return _scan_tree(spark, code_files(spark, sf), root)
+def scan_tree_supported(spark, sf):
+    """S1 with S2, S3 and S6: ignored subtrees and other extensions are not read; every file has a status."""
+    root = _scratch(spark, "tree")
+    write_tree(code_files(spark, sf), root)
+    found = read_tree(spark, root, extensions=SUPPORTED_EXTS, skip_dirs=IGNORED_DIRS)
+    return found.select("repo", "path", "status", F.length("content").alias("n_chars"))

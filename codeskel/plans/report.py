@@ -10,13 +10,13 @@ of -- each selected with ``row_number() <= N`` (a per-task
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
 from ..functions.text import WS_CLASS, py_strip, split_lines
 from ..operators import metrics as M
-from ..operators.lookup import BODY_BANNER, extract_method_body, prepare_files
+from ..operators.lookup import BODY_BANNER, found_bodies
 from ..operators.skeleton import skeletonize
 from ..sources.files import scan_supported_files
 
@@ -32,16 +32,26 @@ SNIPPET_LINES = 25
 CANDIDATE_PREFIXES = ("def ", "function ")
 CANDIDATE_CONTAINS = " class "
 REJECT_WORDS = ("not found", "Error")
+# Banners of the map's entries: a skeleton, and a file that could not be read.
+MAP_BANNER = "--- FILE: %s (Raw: ~%d tokens -> Skeleton: ~%d tokens | Reduction: %s%%) ---"
+MAP_ERROR = "--- FILE: %s (Error parsing: %s) ---"
 # --------------------------------------------------------------------------
 
 #: The banner of an entry without its path and numbers, and the newline after it: no entry is shorter.
-MAP_BANNER = "--- FILE: %s (Raw: ~%d tokens -> Skeleton: ~%d tokens | Reduction: %s%%) ---"
 MIN_ENTRY_CHARS = len(MAP_BANNER.replace("%s", "").replace("%d", "").replace("%%", "%")) + 1
 
 
 def scanned_metrics(files: DataFrame) -> DataFrame:
-    """K0 over the files the skeleton scan reads (S2/S3 applied)."""
-    return skeletonize(scan_supported_files(files), keep_content=False)
+    """K0 over the files the skeleton scan reads (S2/S3 applied); files that could not be read take no part."""
+    scanned = scan_supported_files(files)
+    if "error" in files.columns:
+        scanned = scanned.filter(F.col("error").isNull())
+    return skeletonize(scanned, keep_content=False)
+
+
+def failed_files(files: DataFrame) -> DataFrame:
+    """``(repo, path, error)`` of the scanned files that could not be read."""
+    return scan_supported_files(files).filter(F.col("error").isNotNull()).select("repo", "path", "error")
 
 
 # ------------------------------------------------------------------ R1
@@ -72,15 +82,45 @@ def map_entries(metrics: DataFrame) -> DataFrame:
     return metrics.select("repo", "path", F.concat(banner, F.lit("\n"), F.col("skeleton"), F.lit("\n")).alias("entry"))
 
 
-def skeleton_map(metrics: DataFrame) -> DataFrame:
+def error_entries(failed: DataFrame) -> DataFrame:
+    """One map entry per file that could not be read: its banner alone."""
+    return failed.select("repo", "path", F.format_string(MAP_ERROR, F.col("path"), F.col("error")).alias("entry"))
+
+
+def skeleton_map(metrics: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """R1 as rows ``(repo, path, entry)``; the header row has ``path`` null.
 
     The map text of a repo is the header followed by the entries in path
-    order joined with newlines.
+    order joined with newlines.  ``failed (repo, path, error)`` adds the banners of
+    files that could not be read; the header counts only the others.  A repo of
+    which nothing could be read has no header.
     """
     header = map_header(M.repo_summary(metrics)).select("repo", F.lit(None).cast("string").alias("path"),
                                                         F.col("header").alias("entry"))
-    return header.unionByName(map_entries(metrics))
+    rows = header.unionByName(map_entries(metrics))
+    return rows if failed is None else rows.unionByName(error_entries(failed))
+
+
+def write_map(map_rows: DataFrame, path: str, n_ranges: int | None = None) -> None:
+    """The maps as text files under ``path/repo=<repo>/``.
+
+    Rows are range-partitioned on (repo, path), so a repo of any size spans as many
+    files as it needs: inside a file entries are in path order, and a repo's files,
+    in name order, follow each other.  The writer commits whole tasks, so a lost
+    executor repeats its unfinished files only.
+    """
+    order = ["repo", F.col("path").asc_nulls_first()]
+    ranged = map_rows.repartitionByRange(n_ranges, *order) if n_ranges else map_rows.repartitionByRange(*order)
+    # the writer ends each row with a line feed; the header's own last one is left out for it
+    header = F.substring("entry", F.lit(1), F.length("entry") - 1)
+    text = F.when(F.col("path").isNull(), header).otherwise(F.col("entry"))
+    ranged.sortWithinPartitions(*order).select("repo", text.alias("entry")).write.partitionBy("repo").text(path, lineSep="\n")
+
+
+def read_map(spark: SparkSession, path: str) -> DataFrame:
+    """``(repo, file, value)``: the written maps line by line."""
+    lines = spark.read.schema("value string, repo string").text(path, lineSep="\n")
+    return lines.select("repo", F.col("_metadata.file_name").alias("file"), "value")
 
 
 def map_excerpt(metrics: DataFrame, n_chars: int = MAP_EXCERPT) -> DataFrame:
@@ -145,11 +185,9 @@ def deep_dive_samples(metrics: DataFrame, files: DataFrame) -> DataFrame:
     (banner and body) has neither "not found" nor "Error"."""
     sampled = sampled_files(metrics, files)
     picked = files.join(sampled, ["repo", "path"], "left_semi")
-    f = prepare_files(picked)
     cands = callable_candidates(picked.select("repo", "path", "content"))
-    # the candidate is looked up under the column name the shared lookup expression uses
-    tried = cands.join(f, ["repo", "path"]).join(sampled, ["repo", "path"]).withColumnRenamed("name", "method")
-    tried = tried.withColumn("body", extract_method_body()).withColumnRenamed("method", "name")
+    bodies = found_bodies(picked, cands.select("repo", "path", F.col("name").alias("method"))).withColumnRenamed("method", "name")
+    tried = cands.join(bodies, ["repo", "path", "name"]).join(sampled, ["repo", "path"])
     text = F.concat(
         F.format_string(BODY_BANNER, F.col("name"), F.col("path"),
                         F.greatest(F.lit(1), F.ceil(F.length("body") / F.lit(3.8))).cast("int")),
@@ -244,8 +282,22 @@ REPORT_DIAGRAM = "\n## Reads\n\n```mermaid\n"
 REPORT_END = "```\n"
 
 
+def body_maps(bodies: DataFrame) -> DataFrame:
+    """Per repo the map ``path:method -> fetched text`` of its deep-dive samples.
+
+    ``bodies`` has at most :data:`DEEP_DIVE_FILES` rows per repo.
+    """
+    entry = F.struct("rank", F.concat("path", F.lit(":"), "method").alias("key"), "text")
+    ordered = F.sort_array(F.collect_list(entry))
+    return bodies.groupBy("repo").agg(
+        F.map_from_entries(F.transform(ordered, lambda e: F.struct(e["key"], e["text"]))).alias("method_bodies")
+    )
+
+
 def repo_report(files: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
-    """One markdown report per repo (metrics, diagram, <= 3 bodies, map excerpt).
+    """One bundle per repo: the summary, the diagram, one markdown report (metrics,
+    diagram, <= 3 bodies, map excerpt), ``method_bodies`` (J4, a map; empty without
+    samples) and ``sample_file`` (a struct; null without samples).
 
     ``metrics`` is the scanned K0 output when the caller already holds it.
     """
@@ -255,6 +307,7 @@ def repo_report(files: DataFrame, metrics: DataFrame | None = None) -> DataFrame
     diagram = sequence_diagram(metrics, files)
     bodies = deep_dive_samples(metrics, files)
     w = Window.partitionBy("repo").orderBy("rank")
+    fetched = body_maps(bodies)
     top = bodies.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= REPORT_BODIES)
     snippets = top.groupBy("repo").agg(
         F.array_join(
@@ -268,8 +321,12 @@ def repo_report(files: DataFrame, metrics: DataFrame | None = None) -> DataFrame
             "",
         ).alias("_b")
     )
+    sample = sample_file_pair(metrics, files)
+    sample = sample.select("repo", F.struct(*[c for c in sample.columns if c != "repo"]).alias("sample_file"))
     excerpt = map_excerpt(metrics)
-    df = summary.join(diagram, "repo", "left").join(snippets, "repo", "left").join(excerpt, "repo", "left")
+    df = summary
+    for part in (diagram, snippets, excerpt, fetched, sample):  # one row per repo each
+        df = df.join(part, "repo", "left")
     bodies_txt = F.when(F.col("_b").isNull(), F.lit("")).otherwise(F.concat(F.lit(REPORT_BODIES_HEAD), F.col("_b")))
     row = lambda name, value: [F.lit(f"| {name} | "), value, F.lit(" |\n")]
     report = F.concat(
@@ -284,7 +341,11 @@ def repo_report(files: DataFrame, metrics: DataFrame | None = None) -> DataFrame
         bodies_txt,
         F.lit(REPORT_DIAGRAM), F.col("diagram"), F.lit(REPORT_END),
     )
-    return df.select(*M.SUMMARY_COLUMNS, "diagram", report.alias("markdown_report"))
+    none = F.from_json(F.lit("{}"), "map<string,string>")
+    return df.select(
+        *M.SUMMARY_COLUMNS, "diagram", report.alias("markdown_report"),
+        F.coalesce(F.col("method_bodies"), none).alias("method_bodies"), "sample_file",
+    )
 
 
 def repo_report_snippet(report: DataFrame) -> DataFrame:
