@@ -1,43 +1,23 @@
-"""Shared helpers: shipping the package to workers and cutting lineage in shared storage."""
+"""Shared helpers, above all cutting lineage in shared storage; ``ship`` comes from the session module."""
 
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship
 
 #: ASCII white space that separates words, as a character class body (Java, RE2 and Python alike).
 SPACE = r"\x20\x09-\x0D"
 
-_PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-_shipped: set[str] = set()
-_written: list[tuple[SparkSession, str]] = []
-
+__all__ = ["SPACE", "cut", "drop", "fold_of", "lower_ascii", "shared_path", "ship", "small_batches", "table", "text_tag", "without"]
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of every executor (once per application)."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    fd, path = tempfile.mkstemp(prefix="codeskel-", suffix=".zip")  # the driver serves it to the executors
-    os.close(fd)
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(_PACKAGE):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(_PACKAGE)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
+_written: list[tuple[SparkSession, str]] = []
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
