@@ -74,44 +74,59 @@ class BlockMaxIndex:
 
     def _build(self, n: int, places: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
         self.n, width = n, int(terms.max()) + 1 if len(terms) else 0
+        #: The vectors one after the other, to sum what is kept exactly; the search itself is of single precision.
+        self.terms, self.weights = terms, weights
+        self.begin = np.searchsorted(places, np.arange(n + 1)).astype(np.int64)
         held = np.bincount(terms, minlength=width)
         frequent = np.flatnonzero(held > FREQUENT * n)
         self.column = np.full(width, -1, np.int32)
         self.column[frequent] = np.arange(len(frequent))
-        dense = self.column[terms] >= 0
-        self.matrix = np.zeros((n, len(frequent)))
-        self.matrix[places[dense], self.column[terms[dense]]] = weights[dense]
-        rest = np.flatnonzero(~dense)
+        self.matrix = np.zeros((n, len(frequent)), np.float32)
+        column = self.column[terms]
+        dense = np.flatnonzero(column >= 0)
+        self.matrix[places[dense], column[dense]] = weights[dense]
+        del dense
+        rest = np.flatnonzero(column < 0).astype(np.int32)
         rest = rest[np.argsort(terms[rest], kind="stable")]
-        self.places, self.weights = places[rest], weights[rest]
-        self.first = np.searchsorted(terms[rest], np.arange(width + 1)).astype(np.int64)
-        self.single = self.matrix.astype(np.float32)
+        self.places, self.rare = places[rest], weights[rest].astype(np.float32)
+        counts = np.where(self.column < 0, held, 0)
+        self.first = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+        self.query = np.zeros(width)
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[int, float]]]:
         """Of each query (ascending terms, weights): the ``k`` vectors of largest positive cosine, nearest first."""
         if not self.n:
             return [[] for _ in queries]
         size = self.matrix.shape[1]
-        part = np.zeros((len(queries), size))
+        part = np.zeros((len(queries), size), np.float32)
         rare = []
         for row, (terms, weights) in zip(part, queries):
             known = terms < len(self.column)
             terms, weights = terms[known], weights[known]
             at = self.column[terms]
             row[at[at >= 0]] = weights[at >= 0]
-            rare.append((terms[at < 0], weights[at < 0]))
-        sums = part.astype(np.float32) @ self.single.T
-        slack = 1e-9 + 4e-7 * (size + 8)  # the matrix products are of single precision; what is kept is summed again
-        return [self._nearest(row, *r, s, slack, k) for row, r, s in zip(part, rare, sums)]
-
-    def _nearest(self, row: np.ndarray, terms: np.ndarray, weights: np.ndarray, sums: np.ndarray, slack: float, k: int) -> list[tuple[int, float]]:
-        lo = self.first[terms]
-        sizes = self.first[terms + 1] - lo
+            rare.append((terms, weights, at < 0))
+        sums = part @ self.matrix.T
+        slack = 1e-9 + 4e-7 * (size + 8)  # these sums are of single precision; what is kept is summed again
+        return [self._nearest(*r, s, slack, k) for r, s in zip(rare, sums)]
+
+    def _exact(self, terms: np.ndarray, weights: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Cosines of the vectors ``hit``, in double precision."""
+        self.query[terms] = weights
+        lo, hi = self.begin[hit], self.begin[hit + 1]
+        sizes = hi - lo
+        where = np.arange(int(sizes.sum())) + np.repeat(lo - np.cumsum(sizes) + sizes, sizes)
+        out = np.bincount(np.repeat(np.arange(len(hit)), sizes), self.weights[where] * self.query[self.terms[where]], len(hit))
+        self.query[terms] = 0
+        return out
+
+    def _nearest(self, terms: np.ndarray, weights: np.ndarray, few: np.ndarray, sums: np.ndarray, slack: float, k: int) -> list[tuple[int, float]]:
+        lo = self.first[terms[few]]
+        sizes = self.first[terms[few] + 1] - lo
         total = int(sizes.sum())
         where = np.arange(total) + np.repeat(lo - np.cumsum(sizes) + sizes, sizes)
-        sparse = np.bincount(self.places[where], self.weights[where] * np.repeat(weights, sizes), self.n)
         full = np.zeros(-(-self.n // BLOCK) * BLOCK)
-        full[: self.n] = sparse + sums
+        full[: self.n] = np.bincount(self.places[where], self.rare[where] * np.repeat(weights[few], sizes), self.n) + sums
         blocks = full.reshape(-1, BLOCK)
         peaks = blocks.max(1)
         # k blocks of the largest maxima hold k sums at least as large as the last of these maxima
@@ -122,7 +137,7 @@ class BlockMaxIndex:
         hit = hit[hit < self.n]
         if len(hit) > k:
             hit = hit[full[hit] >= np.partition(full[hit], -k)[-k] - 2 * slack]
-        exact = sparse[hit] + (self.matrix[hit] * row).sum(1)
+        exact = self._exact(terms, weights, hit)
         best = np.lexsort((hit, -exact))[:k]
         return [(int(hit[b]), float(exact[b])) for b in best if exact[b] > 0]
 
@@ -195,11 +210,14 @@ class Scorer:
 
     def _built(self) -> BlockMaxIndex:
         if self.index is None:
-            sizes, terms, counts = self.held
-            ends = np.cumsum(sizes)
-            weights = [unit_weights(terms[e - n : e], counts[e - n : e], self.idf) for n, e in zip(sizes, ends)]
+            (sizes, terms, counts), self.held = self.held, None
+            weights, end = np.zeros(len(terms)), 0
+            for n in sizes.tolist():
+                weights[end : end + n] = unit_weights(terms[end : end + n], counts[end : end + n], self.idf)
+                end += n
+            del counts
             places = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-            self.index = BlockMaxIndex.from_arrays(len(sizes), places, terms, np.concatenate(weights) if weights else np.zeros(0))
+            self.index = BlockMaxIndex.from_arrays(len(sizes), places, terms, weights)
         return self.index
 
     def score(self, texts: list[bytes | str | None]) -> list[tuple[float, list[int], list[float]]]:
@@ -295,6 +313,7 @@ def build_scorer(docs: DataFrame, labels: DataFrame) -> Scorer:
     coder = Terms(words)
     sent = spark.sparkContext.broadcast(coder)
     df = docs.select("text").mapInArrow(_frequencies(sent), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()  # workers drop it before they build the index
     n = np.zeros(len(words) + 1, np.int64)
     n[df.column("term").to_numpy()] = df.column("n").to_numpy()  # the last place is that of term -1
     label = np.repeat(labelled, sizes)
