@@ -468,12 +468,13 @@ class _Linker:
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
-    """Per row of ``docs (doc_id, text)``: ``doc_id, n_shingles, component_id, kept, tag``.
+    """Per row of ``docs (doc_id, text)``: ``doc_id, n_shingles, component_id, kept, tag, group``.
 
     Documents are linked when 100 * |A and B| >= 80 * |A or B| of their shingle
     sets.  ``component_id`` is the least doc_id of the connected component, the
     document's own id included; ``kept`` tells whether it is its own; ``tag``
-    (MD5 of the text) tells rows with equal ids apart.  Null and wordless texts
+    (MD5 of the text) tells rows with equal ids apart; ``group`` names the connected
+    component (null without words).  Null and wordless texts
     have no shingles and are linked with nothing; rows with equal ids are judged
     by their texts; a null id is its component only if nothing else is; an empty
     table gives no rows.
@@ -494,12 +495,12 @@ def _near_duplicates(docs: DataFrame, k: int) -> DataFrame:
         "heads",
     )
     label = _Linker(docs, heads, k).run()
-    first = heads.select("cls", F.col("doc_id").alias("first"))
+    first = heads.select("cls", F.col("doc_id").alias("first"), F.col("cls").alias("group"))
     if label is not None:
-        label = label.join(first, "cls")
+        label = label.join(first.drop("group"), "cls")
         least = label.groupBy("comp").agg(F.min("first").alias("least"))
-        first = first.join(label.join(least, "comp").select("cls", "least"), "cls", "left").select(
-            "cls", F.coalesce("least", "first").alias("first")
+        first = first.join(label.join(least, "comp").select("cls", "least", "comp"), "cls", "left").select(
+            "cls", F.coalesce("least", "first").alias("first"), F.coalesce("comp", "group").alias("group")
         )
     first = cut(first, "first")
     return rows.select("doc_id", "tag", "cls", "n_shingles").join(first, "cls", "left").select(
@@ -508,24 +509,28 @@ def _near_duplicates(docs: DataFrame, k: int) -> DataFrame:
         F.coalesce("first", "doc_id").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.coalesce("first", "doc_id")).alias("kept"),
         "tag",
+        "group",
     )
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     """``docs`` with one document of each group of near duplicates; all columns stay.
 
-    The kept row is that of the least id; repeated rows of it are kept once.
+    The kept row is that of the least id, of equal or no ids that of the least text
+    digest, and of repeated rows any one.  Different groups that share an id each
+    keep a row.  Documents without words form no groups: each is kept, repeated rows once.
     """
-    verdict = near_duplicates(docs.select("doc_id", "text"), k).filter("kept").select(
-        F.col("doc_id").alias("_k_id"), F.col("tag").alias("_k_tag")
-    ).distinct()
+    rows = near_duplicates(docs.select("doc_id", "text"), k).select("group", F.col("doc_id").alias("_k_id"), F.col("tag").alias("_k_tag"))
+    least = F.min(F.struct(F.col("_k_id").isNull(), "_k_id", "_k_tag")).alias("m")
+    first = rows.filter("group is not null").groupBy("group").agg(least).select("m._k_id", "m._k_tag")
+    wordless = rows.filter("group is null").select("_k_id", "_k_tag").distinct()
     tag = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     joined = docs.withColumn("_tag", tag).join(
-        verdict, F.col("doc_id").eqNullSafe(F.col("_k_id")) & (F.col("_tag") == F.col("_k_tag"))
+        first.union(wordless), F.col("doc_id").eqNullSafe(F.col("_k_id")) & (F.col("_tag") == F.col("_k_tag"))
     )
     return joined.dropDuplicates(["doc_id", "_tag"]).select(*docs.columns)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: four-word shingles over all documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4).drop("tag")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4).drop("tag", "group")

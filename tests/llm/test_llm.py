@@ -305,6 +305,20 @@ def test_rows_of_one_id_go_by_their_own_text(spark):
     assert sorted(x.text for x in decontam.decontaminate(df, bench).collect()) == want
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Groups whose rows share an id or have none keep one row; unrelated rows of one id all stay."""
+    r = random.Random(33)
+    a, b, c = (sentence(r, 200) for _ in range(3))
+    edit = lambda t, w: " ".join([*t.split()[:-1], w])
+    rows = [(5, a), (5, edit(a, "x")), (5, b), (None, edit(a, "y")), (None, c), (None, edit(c, "z")), (None, c), (7, edit(b, "w")),
+            (8, ""), (8, None), (9, " "), (9, " ")]
+    kept = neardup.keep_one(table(spark, [(i, t, "s") for i, t in rows])).collect()
+    groups = [sum(x.text is not None and x.text[:50] == t[:50] for x in kept) for t in (a, b, c)]
+    assert groups == [1, 1, 1]
+    assert sorted((x.doc_id for x in kept if x.text and x.text[:50] == b[:50])) == [5]
+    assert sorted((x.doc_id or 0) for x in kept if not (x.text or "").strip()) == [8, 9]
+
+
 def test_quality(spark, empty):
     df, labels, truth = labelled(spark, "quality")
     got = quality.score_quality(df, labels).collect()
