@@ -41,6 +41,11 @@ INDEX_SCHEMA = "dim int, shard int, pos int, entry int, vector array<double>, id
 FOUND_SCHEMA = "query_id long, vec_id long, score double"
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1: no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -166,7 +171,7 @@ def _add_reverse(x: np.ndarray, edges: np.ndarray, points: np.ndarray) -> None:
 def _build(table: pa.Table) -> pa.Table:
     """One shard's nodes to its index rows."""
     x = np.array(table.column("vector").to_pylist(), np.float64)
-    edges, entry = build_graph(_unit(x))
+    edges, entry = build_graph(_unit(_scaled(x)))
     n = len(x)
     return pa.table(
         {
@@ -192,7 +197,7 @@ class _Shard:
         if not self.rows and self.x is None:
             return
         if self.x is None:
-            self.x = np.array([r["vector"] for r in self.rows], np.float64)
+            self.x = _scaled(np.array([r["vector"] for r in self.rows], np.float64))
             self.norm = np.sqrt((self.x * self.x).sum(axis=1))
             self.unit = _unit(self.x)
             self.edges = np.full((len(self.rows), DEGREE), -1, np.int64)
@@ -200,6 +205,7 @@ class _Shard:
                 self.edges[r["pos"], : len(r["edges"])] = r["edges"]
             self.ids = [r["ids"] for r in self.rows]
             self.entry, self.rows = self.rows[0]["entry"], []
+        q = _scaled(q)
         found, _ = beam_search(self.unit, self.edges, self.entry, _unit(q), QUERY_BEAM)
         for i, (qid, v) in enumerate(zip(qids, q)):
             near = found[i][found[i] >= 0]
