@@ -47,8 +47,8 @@ SHARPEN = 2
 BLOCK = 64
 #: Share of the examples from which a term is in the matrix.
 FREQUENT = 0.05
-#: Documents scored at once.
-BATCH = 64
+#: Documents scored at once, and examples indexed at once.
+BATCH, BUILD = 64, 256
 #: Scored vectors a worker remembers.
 CACHE = 10_000
 
@@ -60,37 +60,51 @@ class BlockMaxIndex:
     """
 
     def __init__(self, vectors: list[dict[int, float]]):
-        sizes = [len(v) for v in vectors]
-        terms = np.fromiter((t for v in vectors for t in v), np.int32, sum(sizes))
-        weights = np.fromiter((w for v in vectors for w in v.values()), np.float64, sum(sizes))
-        self._build(len(vectors), np.repeat(np.arange(len(vectors), dtype=np.int32), sizes), terms, weights)
+        sizes = np.array([len(v) for v in vectors], np.int64)
+        terms = np.fromiter((t for v in vectors for t in v), np.int32, int(sizes.sum()))
+        weights = np.fromiter((w for v in vectors for w in v.values()), np.float64, len(terms))
+        begin = np.concatenate(([0], np.cumsum(sizes)))
+        self._build(sizes, terms, lambda i, j: weights[begin[i] : begin[j]])
 
     @classmethod
-    def from_arrays(cls, n: int, places: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> BlockMaxIndex:
-        """The index of ``n`` vectors with ``weights`` at ``places`` (ascending) and ``terms``."""
+    def from_arrays(cls, sizes: np.ndarray, terms: np.ndarray, weigh) -> BlockMaxIndex:
+        """The index of vectors of ``sizes``, whose ``terms`` lie one after the other; ``weigh(i, j)`` are
+        the weights of vectors i to j - 1, as they are needed."""
         self = cls.__new__(cls)
-        self._build(n, places, terms, weights)
+        self._build(sizes, terms, weigh)
         return self
 
-    def _build(self, n: int, places: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
-        self.n, width = n, int(terms.max()) + 1 if len(terms) else 0
-        #: The vectors one after the other, to sum what is kept exactly; the search itself is of single precision.
-        self.terms, self.weights = terms, weights
-        self.begin = np.searchsorted(places, np.arange(n + 1)).astype(np.int64)
-        held = np.bincount(terms, minlength=width)
-        frequent = np.flatnonzero(held > FREQUENT * n)
+    def _build(self, sizes: np.ndarray, terms: np.ndarray, weigh) -> None:
+        """Fill the matrix and the inverted index a few vectors at a time: nothing is held twice."""
+        self.n, width = len(sizes), int(terms.max()) + 1 if len(terms) else 0
+        #: What is kept is summed again exactly; the search itself is of single precision.
+        self.terms, self.weigh = terms, weigh
+        self.begin = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        parts = [(i, min(i + BUILD, self.n)) for i in range(0, self.n, BUILD)]
+        held = np.zeros(width, np.int64)
+        for i, j in parts:
+            held += np.bincount(terms[self.begin[i] : self.begin[j]], minlength=width)
+        frequent = np.flatnonzero(held > FREQUENT * self.n)
         self.column = np.full(width, -1, np.int32)
         self.column[frequent] = np.arange(len(frequent))
-        self.matrix = np.zeros((n, len(frequent)), np.float32)
-        column = self.column[terms]
-        dense = np.flatnonzero(column >= 0)
-        self.matrix[places[dense], column[dense]] = weights[dense]
-        del dense
-        rest = np.flatnonzero(column < 0).astype(np.int32)
-        rest = rest[np.argsort(terms[rest], kind="stable")]
-        self.places, self.rare = places[rest], weights[rest].astype(np.float32)
-        counts = np.where(self.column < 0, held, 0)
-        self.first = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+        self.matrix = np.zeros((self.n, len(frequent)), np.float32)
+        held[frequent] = 0
+        self.first = np.concatenate(([0], np.cumsum(held)))
+        self.places, self.rare = np.zeros(self.first[-1], np.int32), np.zeros(self.first[-1], np.float32)
+        free = self.first[:-1].copy()
+        for i, j in parts:
+            t, w = terms[self.begin[i] : self.begin[j]], weigh(i, j)
+            place = np.repeat(np.arange(i, j, dtype=np.int32), sizes[i:j])
+            column = self.column[t]
+            dense = column >= 0
+            self.matrix[place[dense], column[dense]] = w[dense]
+            t, w, place = t[~dense], w[~dense], place[~dense]
+            order = np.argsort(t, kind="stable")
+            t = t[order]
+            nth = np.arange(len(t)) - np.searchsorted(t, t)
+            at = free[t] + nth
+            self.places[at], self.rare[at] = place[order], w[order]
+            free += np.bincount(t, minlength=width)
         self.query = np.zeros(width)
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[int, float]]]:
@@ -113,10 +127,7 @@ class BlockMaxIndex:
     def _exact(self, terms: np.ndarray, weights: np.ndarray, hit: np.ndarray) -> np.ndarray:
         """Cosines of the vectors ``hit``, in double precision."""
         self.query[terms] = weights
-        lo, hi = self.begin[hit], self.begin[hit + 1]
-        sizes = hi - lo
-        where = np.arange(int(sizes.sum())) + np.repeat(lo - np.cumsum(sizes) + sizes, sizes)
-        out = np.bincount(np.repeat(np.arange(len(hit)), sizes), self.weights[where] * self.query[self.terms[where]], len(hit))
+        out = np.array([float(self.weigh(i, i + 1) @ self.query[self.terms[self.begin[i] : self.begin[i + 1]]]) for i in hit.tolist()])
         self.query[terms] = 0
         return out
 
@@ -211,13 +222,12 @@ class Scorer:
     def _built(self) -> BlockMaxIndex:
         if self.index is None:
             (sizes, terms, counts), self.held = self.held, None
-            weights, end = np.zeros(len(terms)), 0
-            for n in sizes.tolist():
-                weights[end : end + n] = unit_weights(terms[end : end + n], counts[end : end + n], self.idf)
-                end += n
-            del counts
-            places = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-            self.index = BlockMaxIndex.from_arrays(len(sizes), places, terms, weights)
+            if counts.max(initial=0) < 1 << 16:
+                counts = counts.astype(np.uint16)
+            begin = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+            plain = lambda i, j: (1 + np.log(counts[begin[i] : begin[j]], dtype=np.float64)) * self.idf[terms[begin[i] : begin[j]]]
+            length = np.array([math.sqrt(float((w * w).sum())) or 1.0 for w in (plain(i, i + 1) for i in range(len(sizes)))])
+            self.index = BlockMaxIndex.from_arrays(sizes, terms, lambda i, j: plain(i, j) / np.repeat(length[i:j], sizes[i:j]))
         return self.index
 
     def score(self, texts: list[bytes | str | None]) -> list[tuple[float, list[int], list[float]]]:
