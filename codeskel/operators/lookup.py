@@ -222,6 +222,8 @@ def prepare_files(files: DataFrame) -> DataFrame:
 
 #: Names that the index holds; others are looked up by scanning.
 PLAIN_NAME = r"(?U)^\w+$"
+#: Lines in which the end of a block is looked for first.
+NEAR_LINES = 16
 _DEF_NAME = r"^(?:async\s+)?def\s+((?U:\w+))\s*\("
 _CALL_NAME = r"(?U)(\w+)\s*\("
 _KEYWORDS = "(?:" + "|".join(START_KEYWORDS) + ")+"
@@ -299,24 +301,28 @@ def _calls(lines: Column) -> Column:
 
 
 def _block_end(lines: Column, code_ind: Column, nets: Column, is_py: Column, s: Column) -> Column:
-    """Last line of the fallback's block from line ``s`` on."""
+    """Last line of the fallback's block from line ``s`` on; most end within a few lines, which are tried first."""
     last = F.least(s + BODY_MAX_LINES - 1, F.size(lines) - 1)
+    near = F.least(s + NEAR_LINES, last)
 
-    def py_end(own):
-        at = F.array_position(F.transform(F.slice(code_ind, s + 2, last - s), lambda c: (c >= 0) & (c <= own)), F.lit(True))
-        return F.when(at > 0, s + at.cast("int")).otherwise(last)
+    def py_end(own, until):
+        at = F.array_position(F.transform(F.slice(code_ind, s + 2, until - s), lambda c: (c >= 0) & (c <= own)), F.lit(True))
+        return F.when(at > 0, s + at.cast("int"))
 
-    def brace_step(a, j):
-        total = a["bc"] + F.get(nets, j)
-        hit = a["stop"].isNull() & (total <= 0) & F.get(lines, j).contains("}")
-        return F.struct(total.alias("bc"), F.when(hit, j).otherwise(a["stop"]).alias("stop"))
+    def brace_end(until):
+        def step(a, j):
+            total = a["bc"] + F.get(nets, j)
+            hit = (total <= 0) & F.get(lines, j).contains("}")
+            return F.struct(total.alias("bc"), F.when(hit, j).alias("stop"))
+
+        return F.aggregate(
+            F.sequence(s + 1, F.greatest(until, s + 1)),
+            F.struct(F.get(nets, s).alias("bc"), F.lit(None).cast("int").alias("stop")),
+            lambda a, j: F.when((j <= until) & a["stop"].isNull(), step(a, j)).otherwise(a),
+        )["stop"]
 
-    brace = F.aggregate(
-        F.sequence(s + 1, F.greatest(last, s + 1)),
-        F.struct(F.get(nets, s).alias("bc"), F.lit(None).cast("int").alias("stop")),
-        lambda a, j: F.when((j <= last) & a["stop"].isNull(), brace_step(a, j)).otherwise(a),
-    )["stop"]
-    return F.when(is_py, let(indent_width(F.get(lines, s)), py_end)).otherwise(F.coalesce(brace, last))
+    py = let(indent_width(F.get(lines, s)), lambda own: F.coalesce(py_end(own, near), py_end(own, last), last))
+    return F.when(is_py, py).otherwise(F.coalesce(brace_end(near), brace_end(last), last))
 
 
 def _definitions() -> Column:
@@ -344,7 +350,7 @@ def _definitions() -> Column:
 def definition_index(files: DataFrame) -> DataFrame:
     """``(repo, path, name, start, stop, chars)``: each name of each file with the lines
     of its body (0-based, inclusive) and the body's length.  Row-local: no shuffle."""
-    rows = prepare_files(files).select("repo", "path", F.explode(memo_column("definitions:v1", _definitions)).alias("d"))
+    rows = prepare_files(files).select("repo", "path", F.explode(memo_column("definitions:v2", _definitions)).alias("d"))
     return rows.select("repo", "path", "d.name", "d.start", "d.stop", "d.chars")
 
 

@@ -136,13 +136,20 @@ JAVA = """class T {
 """
 
 
+LONG = "\n".join(
+    f"function g{n}(x) {{\n" + "  x = f(x);\n" * n + "}" for n in (14, 15, 16, 17, 60, 147, 148, 149, 200)
+) + "\nfunction open(x) {\n  y(x);"
+LONG_PY = "z = (\n" + "\n".join(f"def g{n}(x):\n" + "    x = f(x)\n" * n for n in (14, 15, 16, 17, 60, 148, 149, 200))
+
+
 def test_index_answers_like_a_scan_of_the_lines(spark):
     """Every name that occurs, and some that do not, against the per-request scan of the file's lines."""
     files = spark.createDataFrame(
-        [("r", "a.py", PY), ("r", "b.py", BROKEN), ("r", "T.java", JAVA), ("r", "e.py", ""), ("r", "n.js", None), ("q", "a.py", "x = run(1)\n" + PY)],
+        [("r", "a.py", PY), ("r", "b.py", BROKEN), ("r", "T.java", JAVA), ("r", "e.py", ""), ("r", "n.js", None), ("q", "a.py", "x = run(1)\n" + PY),
+         ("q", "long.js", LONG), ("q", "long.py", LONG_PY)],
         "repo string, path string, content string",
     )
-    names = ["A", "run", "inner", "call", "stop", "last", "asyncrun", "f", "g", "go", "int", "publicint", "T", "if", "x", "nope", "return", "b", "a.b", "$x", ""]
+    names = ["A", "run", "inner", "call", "stop", "last", "asyncrun", "f", "g", "go", "int", "publicint", "T", "if", "x", "nope", "return", "b", "a.b", "$x", "", "y", "open", *(f"g{n}" for n in (14, 15, 16, 17, 60, 147, 148, 149, 200))]
     asked = files.select("repo", "path").crossJoin(spark.createDataFrame([(n,) for n in names], "method string"))
     scan = asked.join(prepare_files(files), ["repo", "path"]).withColumn("body", extract_method_body())
     want = {(r.repo, r.path, r.method): r.body or None for r in scan.select("repo", "path", "method", "body").collect()}
