@@ -35,6 +35,8 @@ HEADLINE = [
     "prompt_assembly",
     "repo_ref_normalise",
     "callable_candidates",
+    "method_bodies",
+    "find_references_code",
 ]
 
 
