@@ -46,7 +46,7 @@ STAGES = [
     ("tokens", token_stage),
 ]
 
-#: No SQL: the stages learn, hash and tokenize.  tests/llm tests the operators; run() as a whole has no test yet.
+#: No SQL: the stages learn, hash and tokenize; tests/llm/test_pipeline.py works the result out by hand.
 ORACLE_SQL = None
 
 
