@@ -3,8 +3,8 @@
 A line matches a symbol when it contains it as a substring (no word match).
 Lines come from the files split at LF only; the reported text is stripped.
 
-Scale: many symbols are matched through an index of the lines' word runs, by
-equi-joins on keys.  Counts are a ``groupBy`` with map-side partial aggregation;
+Scale: many symbols are matched line by line inside the tasks, through an index of
+the symbols' word runs that every task holds.  Counts are a ``groupBy`` with map-side partial aggregation;
 the top-N rows use ``row_number() <= N`` which Spark plans as a per-task
 ``WindowGroupLimit``, so a symbol matching a third of all lines never lands in
 one task.
@@ -12,11 +12,17 @@ one task.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip, split_lf_lines
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship
 from ..sources.files import scan_filter
 
 # --- fixed values ---------------------------------------------------------
@@ -44,62 +50,107 @@ def find_references(lines: DataFrame, symbol: str) -> DataFrame:
 
 
 #: A line is a sequence of maximal runs of word characters and of other characters.
-WORD_RUN, OTHER_RUN = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
+WORD_RUN, OTHER_RUN = r"\w+", r"\W+"
 MAX_GRAM = 8
+#: Symbols that one pass over the lines looks for, runs whose symbols a task remembers, lines of an Arrow batch.
+SYMBOL_BLOCK, KNOWN_RUNS, LINE_BATCH = 65_536, 200_000, 1_024
+
+
+def _line_hits(symbols: list[tuple[int, str]]):
+    """Batches of ``(repo, path, line_no, line)`` to the lines that hold a symbol, with the numbers of theirs.
+
+    A symbol's longest run (its *anchor*) can only occur inside a run of the line.  Each
+    distinct run is looked at once: its substrings of at most :data:`MAX_GRAM` characters
+    probe the heads of the anchors.  A symbol of one run is settled by that; for others,
+    the line is compared in full.
+    """
+
+    def index():
+        heads: dict[str, dict[str, tuple[list, list]]] = {}
+        for n, symbol in symbols:
+            anchor = max(re.findall(f"{WORD_RUN}|{OTHER_RUN}", symbol), key=len)
+            whole, mixed = heads.setdefault(anchor[:MAX_GRAM], {}).setdefault(anchor, ([], []))
+            if symbol == anchor:
+                whole.append(n)
+            else:
+                mixed.append((n, symbol))
+        return heads
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = index()
+        lengths = sorted({len(h) for h in heads})
+        words_only = all(re.fullmatch(WORD_RUN, h) for h in heads)
+        runs_of = re.compile(WORD_RUN if words_only else f"{WORD_RUN}|{OTHER_RUN}").findall
+        known: dict[str, tuple[frozenset, frozenset]] = {}
+
+        def symbols_in(word: str) -> tuple[frozenset, frozenset]:
+            whole, mixed = set(), set()
+            for i in range(len(word)):
+                for k in lengths:
+                    for anchor, (ids, others) in heads.get(word[i : i + k], {}).items():
+                        if len(anchor) >= k and word.startswith(anchor, i):
+                            whole.update(ids)
+                            mixed.update(others)
+            if len(known) >= KNOWN_RUNS:
+                known.clear()
+            found = known[word] = frozenset(whole), frozenset(mixed)
+            return found
+
+        def hits(line: str) -> list[int]:
+            found: set[int] = set()
+            for word in set(runs_of(line)):
+                whole, mixed = known.get(word) or symbols_in(word)
+                found |= whole
+                if mixed:
+                    found.update(n for n, symbol in mixed if symbol in line)
+            return sorted(found)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, LINE_BATCH):
+                part = batch.slice(at, LINE_BATCH)
+                found = pa.array([hits(x) for x in part.column(3).to_pylist()], pa.list_(pa.int32()))
+                out = pa.RecordBatch.from_arrays([*part.columns[:3], found], names=["repo", "path", "line_no", "hits"])
+                yield out.filter(pc.greater(pc.list_value_length(found), 0))
+
+    return run
 
 
 def match_symbols(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """Keys ``(symbol, repo, path, line_no)`` of every line that contains the symbol.
 
-    A symbol's longest run (its *anchor*) can only occur inside a run of the line, so
-    lines are reduced to their distinct runs, the distinct runs are indexed by
-    substrings of the anchors' lengths (at most :data:`MAX_GRAM` characters), and each
-    anchor probes with its head.  Only keys and runs are shuffled.  A symbol of one run
-    is settled by that; for others, the candidates' lines are compared in full.  No
-    pairs of lines and symbols are formed beyond those that share an anchor.
+    The symbols, a list of questions, go to every task (in blocks of
+    :data:`SYMBOL_BLOCK`, each one pass over the lines).  A line gives one row with the
+    numbers of the symbols that it holds; these rows are written once to the shared
+    folder, and the keys are spelled out from there by each reader, so what is shuffled
+    and written grows with the lines, not with the pairs of lines and symbols.
     """
-    symbols = symbols.select("symbol").filter(F.col("symbol").isNotNull() & (F.col("symbol") != "")).distinct()
-    runs_of = F.regexp_extract_all("symbol", F.lit(f"{WORD_RUN}|{OTHER_RUN}"), 0)
-    longest = F.array_max(F.transform(runs_of, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
-    probes = symbols.withColumn("anchor", longest).withColumn("gram", F.substring("anchor", 1, MAX_GRAM))
-    stats = probes.agg(
-        F.collect_set(F.length("gram")).alias("lengths"),  # at most MAX_GRAM numbers
-        F.max(~F.col("anchor").rlike(f"^{WORD_RUN}$")).alias("other"),
-    ).first()
-    lengths = sorted(stats["lengths"]) or [1]
-    pattern = f"{WORD_RUN}|{OTHER_RUN}" if stats["other"] else WORD_RUN
-    runs = lines.select(
-        "repo", "path", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(pattern), 0))).alias("run")
-    ).filter(F.length("run") >= lengths[0])
-
-    def grams(k: int):
-        at = F.sequence(F.lit(1), F.greatest(F.length("run") - k + 1, F.lit(1)))
-        return F.when(F.length("run") >= k, F.transform(at, lambda i: F.substring(F.col("run"), i, k))).otherwise(
-            F.array().cast("array<string>")
-        )
-
-    index = runs.select("run").distinct().select("run", F.explode(F.array_distinct(F.concat(*[grams(k) for k in lengths]))).alias("gram"))
-    pairs = index.join(probes, "gram").filter(F.col("run").contains(F.col("anchor"))).select("run", "symbol", "anchor").distinct()
-    hits = runs.join(pairs, "run").select("symbol", "anchor", "repo", "path", "line_no").distinct()
-    whole = hits.filter(F.col("symbol") == F.col("anchor")).drop("anchor")
-    mixed = (
-        hits.filter(F.col("symbol") != F.col("anchor")).join(lines.select("repo", "path", "line_no", "line"), ["repo", "path", "line_no"])
-        .filter(F.col("line").contains(F.col("symbol"))).select(*whole.columns)
+    spark = lines.sparkSession
+    ship(spark)
+    ensure_checkpoint_dir(spark)
+    wanted = symbols.select("symbol").filter(F.col("symbol").isNotNull() & (F.col("symbol") != "")).distinct()
+    named = list(enumerate(sorted(r.symbol for r in wanted.collect())))
+    names = spark.createDataFrame(named, "id int, symbol string")
+    schema = "repo string, path string, line_no int, hits array<int>"
+    keyed = lines.select("repo", "path", "line_no", "line").filter(F.col("line").isNotNull())
+    passes = [
+        keyed.mapInArrow(_line_hits(named[i : i + SYMBOL_BLOCK]), schema) for i in range(0, max(len(named), 1), SYMBOL_BLOCK)
+    ]
+    # a line that comes more than once counts once
+    found = reduce(DataFrame.unionByName, passes).groupBy("repo", "path", "line_no").agg(
+        F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits")
     )
-    return whole.unionByName(mixed)
+    found = found.checkpoint(eager=True)
+    pairs = found.select("repo", "path", "line_no", F.explode("hits").alias("id"))
+    return pairs.join(F.broadcast(names), "id").select("symbol", "repo", "path", "line_no")
 
 
 def reference_report(matches: DataFrame, symbols: DataFrame, n: int = TOP_N, lines: DataFrame | None = None) -> DataFrame:
     """Per (symbol, repo): total ``ref_count`` and the first ``n`` matches in path/line order.
 
     Symbols without any match keep one row with ``ref_count`` 0 (the "no
-    references" case).  With ``lines``, ``matches`` holds keys only: they are
-    checkpointed once to the shared folder for both consumers, and the text is
+    references" case).  With ``lines``, ``matches`` holds keys only, and the text is
     joined to the top rows alone.
     """
-    if lines is not None:
-        ensure_checkpoint_dir(matches.sparkSession)
-        matches = matches.checkpoint(eager=True)
     counts = matches.groupBy("symbol", "repo").agg(F.count(F.lit(1)).alias("ref_count"))
     w = Window.partitionBy("symbol", "repo").orderBy("path", "line_no")
     top = matches.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)

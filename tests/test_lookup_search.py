@@ -176,3 +176,19 @@ def test_index_is_linear_in_functions(spark):
     seconds(100)
     small, large = seconds(500), seconds(4_000)
     assert large < 12 * small + 2
+
+
+def test_matches_are_written_by_line(spark):
+    """What the search writes has one row a line, however many symbols stand in it; copies of a line count once."""
+    import os
+
+    symbols = sorted({w[i:j] for w in ("abcdefghij",) for i in range(10) for j in range(i + 1, 11)} | {"j k", "klé"})
+    rows = [("r", "a.txt", n, "abcdefghij klé") for n in (1, 2, 2)] + [("r", "b.txt", 1, "zzz"), ("r", "c.txt", 1, None)]
+    lines = spark.createDataFrame(rows, "repo string, path string, line_no int, line string")
+    kept = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = {d for d, _, _ in os.walk(kept)}
+    matches = S.match_symbols(lines, spark.createDataFrame([(s,) for s in symbols], "symbol string"))
+    (new,) = [d for d, _, _ in os.walk(kept) if d not in before and os.path.basename(d).startswith("rdd-")]
+    got = sorted((r.symbol, r.path, r.line_no) for r in matches.collect())
+    assert got == sorted((s, "a.txt", n) for s in symbols for n in (1, 2))
+    assert sum(os.path.getsize(os.path.join(new, f)) for f in os.listdir(new)) < 20_000
