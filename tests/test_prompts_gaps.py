@@ -1,6 +1,7 @@
 """Prompt assembly (P11), message compression (P12) and gap collapse with any keep rule (K5)."""
 
 import math
+import time
 
 from pyspark.sql import functions as F
 
@@ -44,3 +45,19 @@ def test_gap_collapse(spark):
     got = df.select(collapse_dropped(F.col("l"), keep).alias("s")).first().s
     marker = "...  # [Body compressed: 2 lines]"
     assert got == f"keep this long line\n    {marker}\nkeep another long one\n    {marker}"
+
+
+def test_gaps_look_at_each_line_once(spark):
+    """Eight times the lines take at most about eight times as long (flags computed anew for every line: 64 times)."""
+    def seconds(n):
+        text = "\n".join(["a", "b" * 50] * (n // 2))
+        df = spark.createDataFrame([(text,)], "text string").select(F.split("text", "\n").alias("ln"))
+        keep = F.transform("ln", lambda x: F.length(F.trim(x)) >= 40)
+        t = time.time()
+        (row,) = df.select(collapse_dropped(F.col("ln"), keep).alias("s")).collect()
+        assert row.s.count("Body compressed: 1 lines") == n // 2
+        return time.time() - t
+
+    seconds(100)
+    small, large = seconds(1_000), seconds(8_000)
+    assert large < 12 * small + 2
