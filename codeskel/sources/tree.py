@@ -230,7 +230,8 @@ def write_tree(files: DataFrame, root: str) -> None:
         filesystem, base = open_tree(target)
         made: set[str] = set()
         for b in batches:
-            for repo, path, content in zip(*(c.to_pylist() for c in b.columns)):
+            for i in range(b.num_rows):  # one content at a time: a batch may hold large files
+                repo, path, content = (c[i].as_py() for c in b.columns)
                 full = posixpath.join(base, repo, path)
                 folder = posixpath.dirname(full)
                 if folder not in made:

@@ -127,3 +127,17 @@ def test_map_sink_keeps_the_order(spark, tmp_path):
     assert len(list((tmp_path / "map" / "repo=r1").glob("part-*"))) > 1
     back = R.read_map(spark, str(tmp_path / "map"))
     assert back.filter("repo = 'r2'").count() == 4
+
+
+def test_queries_that_read_the_corpus_once_keep_no_copy(spark, tmp_path):
+    """The tree round trip and the streams read the corpus a single time; nothing stays persisted for them."""
+    from codeskel.plans import queries as Q
+
+    part = "select cast(id as long) p_partkey, 'B' p_brand, 'T' p_type, 1 p_size from range(10)"
+    item = "select cast(id as long) l_orderkey, cast(id % 10 as long) l_partkey, cast(1 as long) l_suppkey, 1 l_linenumber, 1.0D l_extendedprice from range(30)"
+    spark.sql(part).write.parquet(f"{tmp_path}/part.parquet")
+    spark.sql(item).write.parquet(f"{tmp_path}/lineitem.parquet")
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert Q.scan_tree(spark, str(tmp_path)).count() == 10
+    assert Q.stream_scan_totals(spark, str(tmp_path)).count() == 1
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
