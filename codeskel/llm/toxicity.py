@@ -24,7 +24,8 @@ import hashlib
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -63,22 +64,20 @@ class BlockMaxIndex:
         sizes = np.array([len(v) for v in vectors], np.int64)
         terms = np.fromiter((t for v in vectors for t in v), np.int32, int(sizes.sum()))
         weights = np.fromiter((w for v in vectors for w in v.values()), np.float64, len(terms))
-        begin = np.concatenate(([0], np.cumsum(sizes)))
-        self._build(sizes, terms, lambda i, j: weights[begin[i] : begin[j]])
+        self._build(sizes, terms, weights)
 
     @classmethod
-    def from_arrays(cls, sizes: np.ndarray, terms: np.ndarray, weigh) -> BlockMaxIndex:
-        """The index of vectors of ``sizes``, whose ``terms`` lie one after the other; ``weigh(i, j)`` are
-        the weights of vectors i to j - 1, as they are needed."""
+    def from_arrays(cls, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> BlockMaxIndex:
+        """The index of vectors of ``sizes``, whose ``terms`` and ``weights`` lie one after the other."""
         self = cls.__new__(cls)
-        self._build(sizes, terms, weigh)
+        self._build(sizes, terms, weights)
         return self
 
-    def _build(self, sizes: np.ndarray, terms: np.ndarray, weigh) -> None:
+    def _build(self, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
         """Fill the matrix and the inverted index a few vectors at a time: nothing is held twice."""
         self.n, width = len(sizes), int(terms.max()) + 1 if len(terms) else 0
         #: What is kept is summed again exactly; the search itself is of single precision.
-        self.terms, self.weigh = terms, weigh
+        self.terms, self.weights = terms, weights
         self.begin = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
         parts = [(i, min(i + BUILD, self.n)) for i in range(0, self.n, BUILD)]
         held = np.zeros(width, np.int64)
@@ -90,11 +89,14 @@ class BlockMaxIndex:
         self.matrix = np.zeros((self.n, len(frequent)), np.float32)
         held[frequent] = 0
         self.first = np.concatenate(([0], np.cumsum(held)))
-        self.places, self.rare = np.zeros(self.first[-1], np.int32), np.zeros(self.first[-1], np.float32)
+        # the place and the weight side by side, so that one look finds both
+        self.held = np.zeros(self.first[-1], np.int64)
+        places, rare = self.held.view(np.int32)[::2], self.held.view(np.float32)[1::2]
         free = self.first[:-1].copy()
         for i, j in parts:
-            t, w = terms[self.begin[i] : self.begin[j]], weigh(i, j)
+            here = slice(self.begin[i], self.begin[j])
             place = np.repeat(np.arange(i, j, dtype=np.int32), sizes[i:j])
+            t, w = terms[here], weights[here]
             column = self.column[t]
             dense = column >= 0
             self.matrix[place[dense], column[dense]] = w[dense]
@@ -103,7 +105,7 @@ class BlockMaxIndex:
             t = t[order]
             nth = np.arange(len(t)) - np.searchsorted(t, t)
             at = free[t] + nth
-            self.places[at], self.rare[at] = place[order], w[order]
+            places[at], rare[at] = place[order], w[order]
             free += np.bincount(t, minlength=width)
         self.query = np.zeros(width)
 
@@ -127,17 +129,19 @@ class BlockMaxIndex:
     def _exact(self, terms: np.ndarray, weights: np.ndarray, hit: np.ndarray) -> np.ndarray:
         """Cosines of the vectors ``hit``, in double precision."""
         self.query[terms] = weights
-        out = np.array([float(self.weigh(i, i + 1) @ self.query[self.terms[self.begin[i] : self.begin[i + 1]]]) for i in hit.tolist()])
+        ranges = zip(self.begin[hit].tolist(), self.begin[hit + 1].tolist())
+        out = np.array([float(self.weights[i:j] @ self.query.take(self.terms[i:j])) for i, j in ranges])
         self.query[terms] = 0
         return out
 
     def _nearest(self, terms: np.ndarray, weights: np.ndarray, few: np.ndarray, sums: np.ndarray, slack: float, k: int) -> list[tuple[int, float]]:
-        lo = self.first[terms[few]]
-        sizes = self.first[terms[few] + 1] - lo
-        total = int(sizes.sum())
-        where = np.arange(total) + np.repeat(lo - np.cumsum(sizes) + sizes, sizes)
+        lo, hi = self.first[terms[few]], self.first[terms[few] + 1]
+        sizes = hi - lo
+        ends = np.cumsum(sizes)
+        held = self.held[np.arange(sizes.sum()) + np.repeat(lo - ends + sizes, sizes)]
+        places, rare = held.view(np.int32)[::2], held.view(np.float32)[1::2]
         full = np.zeros(-(-self.n // BLOCK) * BLOCK)
-        full[: self.n] = np.bincount(self.places[where], self.rare[where] * np.repeat(weights[few], sizes), self.n) + sums
+        full[: self.n] = np.bincount(places, rare * np.repeat(weights[few], sizes), self.n) + sums
         blocks = full.reshape(-1, BLOCK)
         peaks = blocks.max(1)
         # k blocks of the largest maxima hold k sums at least as large as the last of these maxima
@@ -190,13 +194,24 @@ class Terms:
     def __setstate__(self, state):
         self.__init__(zlib.decompress(state).split())
 
-    def of(self, text: bytes | str | None) -> tuple[np.ndarray, np.ndarray]:
-        """A text's terms, ascending, and their counts."""
+    def _of(self, words: Collection[bytes]) -> np.ndarray:
+        """The words' codes, -1 for those that are no terms."""
         if self.code is None:
             self.code = {w: i for i, w in enumerate(self.words)}
-        get = self.code.get
-        codes = np.array([c for c in map(get, words_of(text)) if c is not None], np.int64)
-        return np.unique(codes, return_counts=True)
+        return np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
+
+    def held(self, text: bytes | str | None) -> np.ndarray:
+        """A text's terms, each once, in any order."""
+        codes = self._of(set(words_of(text)))
+        return codes[codes >= 0]
+
+    def of(self, text: bytes | str | None) -> tuple[np.ndarray, np.ndarray]:
+        """A text's terms, ascending, and their counts."""
+        held = Counter(words_of(text))
+        codes = self._of(held)
+        counts = np.fromiter(held.values(), np.int64, len(held))
+        order = np.argsort(codes)[np.count_nonzero(codes < 0) :]
+        return codes[order], counts[order]
 
 
 class Scorer:
@@ -222,12 +237,14 @@ class Scorer:
     def _built(self) -> BlockMaxIndex:
         if self.index is None:
             (sizes, terms, counts), self.held = self.held, None
-            if counts.max(initial=0) < 1 << 16:
-                counts = counts.astype(np.uint16)
             begin = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-            plain = lambda i, j: (1 + np.log(counts[begin[i] : begin[j]], dtype=np.float64)) * self.idf[terms[begin[i] : begin[j]]]
-            length = np.array([math.sqrt(float((w * w).sum())) or 1.0 for w in (plain(i, i + 1) for i in range(len(sizes)))])
-            self.index = BlockMaxIndex.from_arrays(sizes, terms, lambda i, j: plain(i, j) / np.repeat(length[i:j], sizes[i:j]))
+            # the index refers to nothing of this scorer, so both are freed as soon as nothing uses them
+            weights = np.zeros(len(terms))
+            often = 1 + np.log(np.arange(1, counts.max(initial=1) + 1, dtype=np.float64))
+            for i, j in zip(begin[:-1].tolist(), begin[1:].tolist()):
+                w = often[counts[i:j] - 1] * self.idf[terms[i:j]]
+                weights[i:j] = w / (math.sqrt(float((w * w).sum())) or 1.0)
+            self.index = BlockMaxIndex.from_arrays(sizes, terms, weights)
         return self.index
 
     def score(self, texts: list[bytes | str | None]) -> list[tuple[float, list[int], list[float]]]:
@@ -255,7 +272,7 @@ def _frequencies(terms):
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 for text in b.column(0).slice(lo, 256).cast(pa.binary()).to_pylist():
-                    seen[t.of(text)[0]] += 1
+                    seen[t.held(text)] += 1
             total += b.num_rows
         at = np.flatnonzero(seen)
         yield pa.record_batch([pa.array([-1, *at.tolist()], pa.int32()), pa.array([total, *seen[at].tolist()], pa.int64())], names=["term", "n"])
