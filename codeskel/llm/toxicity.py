@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Collection, Iterator
 from itertools import repeat
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fold_of, ship, text_tag, without
+from .common import cut, drop, fold_of, ship, small_batches, text_tag, without
 from .words import words_of
 
 FOLDS, HELD_OUT_FOLD = 5, 0
@@ -48,8 +49,10 @@ SHARPEN = 2
 BLOCK = 64
 #: Share of the examples from which a term is in the matrix.
 FREQUENT = 0.05
-#: Documents scored at once, and examples indexed at once.
-BATCH, BUILD = 64, 256
+#: Documents scored at once, those of them whose products are taken at once, and examples indexed at once.
+BATCH, GROUP, BUILD = 1000, 64, 256
+#: Kinds of documents (languages, subjects) by which those scored at once are grouped, and examples they are found from.
+KINDS, KIND_EXAMPLES = 16, 2_000
 #: Scored vectors a worker remembers.
 CACHE = 10_000
 
@@ -86,34 +89,48 @@ class BlockMaxIndex:
         frequent = np.flatnonzero(held > FREQUENT * self.n)
         self.column = np.full(width, -1, np.int32)
         self.column[frequent] = np.arange(len(frequent))
-        self.matrix = np.zeros((self.n, len(frequent)), np.float32)
+        self.matrix = np.zeros((len(frequent), self.n), np.float32)
         held[frequent] = 0
         self.first = np.concatenate(([0], np.cumsum(held)))
-        # the place and the weight side by side, so that one look finds both
-        self.held = np.zeros(self.first[-1], np.int64)
-        places, rare = self.held.view(np.int32)[::2], self.held.view(np.float32)[1::2]
+        # the place and the weight, in whole steps, side by side, so that one look finds both in little memory
+        self.half, pair = (np.uint16, np.uint32) if self.n <= 1 << 16 else (np.uint32, np.uint64)
+        self.step = float(weights.max(initial=0)) / np.iinfo(self.half).max or 1.0
+        self.held = np.zeros(self.first[-1], pair)
+        places, rare = self.held.view(self.half)[::2], self.held.view(self.half)[1::2]
         free = self.first[:-1].copy()
         for i, j in parts:
             here = slice(self.begin[i], self.begin[j])
-            place = np.repeat(np.arange(i, j, dtype=np.int32), sizes[i:j])
+            place = np.repeat(np.arange(i, j), sizes[i:j])
             t, w = terms[here], weights[here]
             column = self.column[t]
             dense = column >= 0
-            self.matrix[place[dense], column[dense]] = w[dense]
+            self.matrix[column[dense], place[dense]] = w[dense]
             t, w, place = t[~dense], w[~dense], place[~dense]
             order = np.argsort(t, kind="stable")
             t = t[order]
             nth = np.arange(len(t)) - np.searchsorted(t, t)
             at = free[t] + nth
-            places[at], rare[at] = place[order], w[order]
+            places[at], rare[at] = place[order], np.rint(w[order] / self.step)
             free += np.bincount(t, minlength=width)
         self.query = np.zeros(width)
+        self.kinds = self._kinds()
+
+    def _kinds(self) -> np.ndarray:
+        """Centres of some vectors' frequent terms (k-means): they only say which queries go together."""
+        some = self.matrix[:, :: -(-self.n // KIND_EXAMPLES) or 1].T
+        some = some[some.any(1)]
+        some = some / np.linalg.norm(some, axis=1, keepdims=True)
+        centres = some[:: -(-len(some) // KINDS) or 1]
+        for _ in range(5):
+            near = (some @ centres.T).argmax(1) if len(centres) else np.zeros(0, int)
+            centres = np.array([some[near == c].mean(0) if (near == c).any() else x for c, x in enumerate(centres)], np.float32).reshape(centres.shape)
+        return centres
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[int, float]]]:
         """Of each query (ascending terms, weights): the ``k`` vectors of largest positive cosine, nearest first."""
         if not self.n:
             return [[] for _ in queries]
-        size = self.matrix.shape[1]
+        size = len(self.matrix)
         part = np.zeros((len(queries), size), np.float32)
         rare = []
         for row, (terms, weights) in zip(part, queries):
@@ -122,15 +139,32 @@ class BlockMaxIndex:
             at = self.column[terms]
             row[at[at >= 0]] = weights[at >= 0]
             rare.append((terms, weights, at < 0))
-        sums = part @ self.matrix.T
         slack = 1e-9 + 4e-7 * (size + 8)  # these sums are of single precision; what is kept is summed again
-        return [self._nearest(*r, s, slack, k) for r, s in zip(rare, sums)]
+        found: list = [None] * len(queries)
+        # queries of one kind go together, so that a product takes the rows of few terms
+        alike = np.argsort((part @ self.kinds.T).argmax(1), kind="stable") if len(self.kinds) else np.arange(len(queries))
+        for i in range(0, len(queries), GROUP):
+            group = alike[i : i + GROUP]
+            mine = part[group]
+            used = np.flatnonzero(mine.any(0))
+            sums = mine[:, used] @ self.matrix[used]
+            for q, few in zip(group.tolist(), sums):
+                found[q] = self._nearest(*rare[q], few, slack, k)
+        return found
 
     def _exact(self, terms: np.ndarray, weights: np.ndarray, hit: np.ndarray) -> np.ndarray:
         """Cosines of the vectors ``hit``, in double precision."""
+        if not len(hit):
+            return np.zeros(0)
         self.query[terms] = weights
-        ranges = zip(self.begin[hit].tolist(), self.begin[hit + 1].tolist())
-        out = np.array([float(self.weights[i:j] @ self.query.take(self.terms[i:j])) for i, j in ranges])
+        ranges = [slice(i, j) for i, j in zip(self.begin[hit].tolist(), self.begin[hit + 1].tolist())]
+        sizes = self.begin[hit + 1] - self.begin[hit]
+        of = self.query.take(np.concatenate([self.terms[r] for r in ranges]))
+        of *= np.concatenate([self.weights[r] for r in ranges])
+        out = np.zeros(len(hit))
+        full = np.flatnonzero(sizes)
+        if len(full):
+            out[full] = np.add.reduceat(of, (np.cumsum(sizes) - sizes)[full])
         self.query[terms] = 0
         return out
 
@@ -139,9 +173,10 @@ class BlockMaxIndex:
         sizes = hi - lo
         ends = np.cumsum(sizes)
         held = self.held[np.arange(sizes.sum()) + np.repeat(lo - ends + sizes, sizes)]
-        places, rare = held.view(np.int32)[::2], held.view(np.float32)[1::2]
+        places, rare = held.view(self.half)[::2], held.view(self.half)[1::2]
+        slack += self.step * float(weights[few].sum())  # twice what rounding to steps can take
         full = np.zeros(-(-self.n // BLOCK) * BLOCK)
-        full[: self.n] = np.bincount(places, rare * np.repeat(weights[few], sizes), self.n) + sums
+        full[: self.n] = np.bincount(places, rare * np.repeat(weights[few] * self.step, sizes), self.n) + sums
         blocks = full.reshape(-1, BLOCK)
         peaks = blocks.max(1)
         # k blocks of the largest maxima hold k sums at least as large as the last of these maxima
@@ -215,9 +250,12 @@ class Terms:
 
 
 class Scorer:
-    """Votes of the nearest examples.  It travels as the examples' terms and counts; the index is built where it is used."""
+    """Votes of the nearest examples.  It travels as the examples' terms and counts; the index is built where it is used.
 
-    def __init__(self, ids: list[int], labels: list[int], prior: float, idf: np.ndarray, terms: Terms, held: tuple[np.ndarray, ...]):
+    Without ``terms`` it scores documents by their terms only, not texts.
+    """
+
+    def __init__(self, ids: list[int], labels: list[int], prior: float, idf: np.ndarray, terms: Terms | None, held: tuple[np.ndarray, ...]):
         self.ids, self.labels, self.prior, self.idf, self.terms = ids, labels, prior, idf, terms
         #: Examples' numbers of terms, and their terms (ascending) and counts, one example after the other.
         self.held = held
@@ -249,7 +287,10 @@ class Scorer:
 
     def score(self, texts: list[bytes | str | None]) -> list[tuple[float, list[int], list[float]]]:
         """Scores, and the evidence: the nearest examples' ids and cosines."""
-        found = [self.terms.of(t) for t in texts]
+        return self.score_terms([self.terms.of(t) for t in texts])
+
+    def score_terms(self, found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int], list[float]]]:
+        """The same of documents' terms, ascending, and counts."""
         keys = [(t.tobytes(), c.tobytes()) for t, c in found]
         keys = [hashlib.blake2b(t + b"|" + c, digest_size=16).digest() for t, c in keys]
         if len(self.seen) > CACHE:
@@ -263,16 +304,28 @@ class Scorer:
         return [self.seen[k] for k in keys]
 
 
-def _frequencies(terms):
-    """Arrow batches of texts to documents by term, summed per task; term -1 counts all."""
+def _code(terms):
+    """Arrow batches of ids, texts and tags to ids, tags, terms (ascending) and counts, both as 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = terms.value
-        seen, total = np.zeros(len(t.words), np.int64), 0
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                for text in b.column(0).slice(lo, 256).cast(pa.binary()).to_pylist():
-                    seen[t.held(text)] += 1
+            for lo in range(0, b.num_rows, BATCH):
+                p = b.slice(lo, BATCH)
+                found = [t.of(text) for text in p.column(1).cast(pa.binary()).to_pylist()]
+                coded = [pa.array([f[i].astype("<i4").tobytes() for f in found], pa.binary()) for i in (0, 1)]
+                yield pa.record_batch([p.column(0), p.column(2), *coded], names=["doc_id", "tag", "terms", "counts"])
+
+    return run
+
+
+def _frequencies(width: int):
+    """Arrow batches of documents' terms to documents by term, summed per task; term -1 counts all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, total = np.zeros(width, np.int64), 0
+        for b in batches:
+            seen += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<i4"), minlength=width)
             total += b.num_rows
         at = np.flatnonzero(seen)
         yield pa.record_batch([pa.array([-1, *at.tolist()], pa.int32()), pa.array([total, *seen[at].tolist()], pa.int64())], names=["term", "n"])
@@ -286,9 +339,10 @@ def _score(scorer):
         for b in batches:
             for lo in range(0, b.num_rows, BATCH):
                 p = b.slice(lo, BATCH)
-                rows = s.score(p.column(1).cast(pa.binary()).to_pylist())
+                coded = zip(p.column(2).to_pylist(), p.column(3).to_pylist())
+                rows = s.score_terms([(np.frombuffer(t, "<i4").astype(np.int64), np.frombuffer(c, "<i4").astype(np.int64)) for t, c in coded])
                 yield pa.record_batch(
-                    [p.column(0), p.column(2), pa.array([r[0] for r in rows], pa.float64()),
+                    [p.column(0), p.column(1), pa.array([r[0] for r in rows], pa.float64()),
                      pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))],
                     names=["doc_id", "tag", "score", "neighbours", "cosines"],
                 )
@@ -312,41 +366,57 @@ def sample_labels(labels: DataFrame, column: str, folds: int, held_out: int) ->
     return ok.filter(F.pmod(F.xxhash64(F.lit("example"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
-def build_scorer(docs: DataFrame, labels: DataFrame) -> Scorer:
-    """What the labels teach; ``docs`` has ``doc_id`` (long) and ``text``."""
+def build_scorer(docs: DataFrame, labels: DataFrame) -> tuple[Scorer, DataFrame]:
+    """What the labels teach, and the documents by their terms (``doc_id, tag, terms, counts``), each text split once.
+
+    ``docs`` has ``doc_id`` (long) and ``text``.
+    """
     spark = docs.sparkSession
     chosen = cut(sample_labels(labels.select("doc_id", "toxic"), "toxic", FOLDS, HELD_OUT_FOLD), "examples")
     known = cut(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").distinct(), "example-texts")  # bounded by MAX_EXAMPLES
     code: dict[bytes, int] = {}
-    rows = []
+    rows, found, held = [], array("i"), array("i")
     for r in known.withColumn("tag", F.md5(F.col("text").cast("binary"))).toLocalIterator():
         c = Counter(words_of(r["text"]))
-        codes = np.fromiter((code.setdefault(w, len(code)) for w in c), np.int32, len(c))
-        rows.append((r["doc_id"], r["label"], r["tag"] or "", codes, np.fromiter(c.values(), np.int32, len(c))))
+        rows.append((r["doc_id"], r["label"], r["tag"] or "", len(found), len(c)))
+        found.extend(code.setdefault(w, len(code)) for w in c)
+        held.extend(c.values())
+    drop(known)
+    drop(chosen)
+    found, held = np.frombuffer(found, np.int32) if found else np.zeros(0, np.int32), np.frombuffer(held, np.int32) if held else np.zeros(0, np.int32)
     rows.sort(key=lambda r: r[:3])
-    words = sorted(code)
-    place_of = np.zeros(len(code), np.int32)
-    place_of[[code[w] for w in words]] = np.arange(len(code))
+    # common words first: what is looked up often lies together
+    words, often = list(code), np.bincount(found, minlength=len(code)).tolist()
     del code
+    order = sorted(range(len(words)), key=lambda i: (-often[i], words[i]))
+    words = [words[i] for i in order]
+    place_of = np.zeros(len(words), np.int32)
+    place_of[order] = np.arange(len(words))
+    del order, often
     ids, labelled = [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)
     prior = float(labelled.mean()) if rows else 0.0
-    sizes = np.array([len(r[3]) for r in rows], np.int32)
-    found = []
-    for *_, codes, counts in rows:
-        order = np.argsort(place_of[codes])
-        found.append((place_of[codes[order]], counts[order]))
-    terms, counts = (np.concatenate([np.zeros(0, np.int32), *(f[i] for f in found)]) for i in (0, 1))
-    del rows, found
+    sizes = np.array([r[4] for r in rows], np.int32)
+    terms, counts = np.zeros(len(found), np.int32), np.zeros(len(found), np.int32)
+    by_label = np.zeros((2, len(words)), np.int64)
+    end = 0
+    for _, y, _, i, size in rows:
+        codes = place_of[found[i : i + size]]
+        order = np.argsort(codes)
+        begin, end = end, end + size
+        terms[begin:end], counts[begin:end] = codes[order], held[i : i + size][order]
+        by_label[y, codes] += 1
+    del rows, found, held, place_of
     coder = Terms(words)
     sent = spark.sparkContext.broadcast(coder)
-    df = docs.select("text").mapInArrow(_frequencies(sent), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    sent.destroy()  # workers drop it before they build the index
+    with small_batches(spark):
+        tagged = docs.withColumn("tag", text_tag(F.col("text")))
+        coded = cut(tagged.mapInArrow(_code(sent), "doc_id long, tag string, terms binary, counts binary"), "terms")
+        sent.destroy()  # workers drop it before they build the index
+        df = coded.select("terms").mapInArrow(_frequencies(len(words)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(len(words) + 1, np.int64)
     n[df.column("term").to_numpy()] = df.column("n").to_numpy()  # the last place is that of term -1
-    label = np.repeat(labelled, sizes)
-    by_label = [np.bincount(terms[label == y], minlength=len(words)) for y in (0, 1)]
     idf = (1 + np.log((n[-1] + 1) / (n[:-1] + 1))) * toxic_factor(*by_label, prior)
-    return Scorer(ids, labelled.tolist(), prior, idf, coder, (sizes, terms, counts))
+    return Scorer(ids, labelled.tolist(), prior, idf, coder, (sizes, terms, counts)), coded
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -358,8 +428,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scorer = docs.sparkSession.sparkContext.broadcast(build_scorer(docs, labels))
-    return docs.withColumn("tag", text_tag(F.col("text"))).mapInArrow(_score(scorer), "doc_id long, tag string, score double, neighbours array<long>, cosines array<double>")
+    scorer, coded = build_scorer(docs, labels)
+    scorer.terms = None  # the documents' terms are known: no task holds both the words and the index
+    scorer = docs.sparkSession.sparkContext.broadcast(scorer)
+    with small_batches(docs.sparkSession):
+        out = cut(coded.mapInArrow(_score(scorer), "doc_id long, tag string, score double, neighbours array<long>, cosines array<double>"), "scores")
+    scorer.destroy()  # nothing of it stays where later steps run
+    drop(coded)
+    return out
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -58,3 +58,49 @@ def test_terms_of_a_text():
     assert terms.tolist() == [0, 2] and counts.tolist() == [1, 2]
     assert sorted(coder.held("c x A c").tolist()) == [0, 2]
     assert [len(x) for x in coder.of(None)] == [0, 0] and len(coder.held("")) == 0
+
+
+def test_scorer_without_words_scores_by_terms():
+    """What a scoring task gets holds no words; documents' terms give what their texts give."""
+    scorer, _, _ = _scorer()
+    texts = [b"bad words unknown bad here", None, b"", "good rude text", b"unknown"]
+    want = scorer.score(texts)
+    found = [scorer.terms.of(t) for t in texts]
+    scorer, _, _ = _scorer()
+    scorer.terms = None
+    assert pickle.loads(pickle.dumps(scorer)).score_terms(found) == want
+    assert [w[0] for w in want[1:3]] == [0.5, 0.5] and want[0][1]
+
+
+def test_rare_terms_take_four_bytes_and_none_is_missed(monkeypatch):
+    """Rare terms' places and weights in whole steps, queries grouped by kind: the nearest are those of brute force."""
+    monkeypatch.setattr(toxicity, "GROUP", 3)
+    rng = np.random.default_rng(5)
+    vectors = []
+    for i in range(300):
+        terms = np.unique(np.concatenate([rng.integers(0, 12, 4) + 12 * (i % 3), rng.integers(36, 3000, 12)]))
+        w = rng.random(len(terms)) ** 6 + 1e-9
+        vectors.append(dict(zip(terms.tolist(), (w / np.sqrt((w * w).sum())).tolist())))
+    index = toxicity.BlockMaxIndex(vectors)
+    assert index.held.itemsize == 4 and len(index.matrix) and len(index.held)
+    queries = vectors[:40] + [{}]
+    got = index.search([(np.array(sorted(q), np.int64), np.array([q[t] for t in sorted(q)], float)) for q in queries], 7)
+    for q, found in zip(queries, got):
+        cosines = [sum(w * v.get(t, 0.0) for t, w in q.items()) for v in vectors]
+        best = sorted((i for i in range(300) if cosines[i] > 0), key=lambda i: (-cosines[i], i))[:7]
+        assert [i for i, _ in found] == best
+        assert np.allclose([c for _, c in found], [cosines[i] for i in best], rtol=0, atol=1e-12)
+
+
+def test_scores_are_written_once_and_the_rest_is_dropped(spark):
+    """Of what a scoring writes, only the scores stay; the texts' terms and the examples' texts are deleted."""
+    import os
+
+    docs = spark.createDataFrame([(i, f"word{i} bad here" if i % 2 else f"good plain{i}") for i in range(40)] + [(None, "bad here"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    kept = spark.sparkContext.getCheckpointDir().removeprefix("file:").rsplit("/", 1)[0]
+    before = {d for d, _, _ in os.walk(kept)}
+    scored = toxicity.score_toxicity(docs, labels)
+    assert scored.count() == 42
+    new = {os.path.basename(d).rsplit("-", 1)[0] for d, _, _ in os.walk(kept) if d not in before and os.path.basename(d).startswith("llm-")}
+    assert new == {"llm-scores"}
