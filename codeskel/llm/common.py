@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +16,24 @@ from ..session import ensure_checkpoint_dir, ship
 #: ASCII white space that separates words, as a character class body (Java, RE2 and Python alike).
 SPACE = r"\x20\x09-\x0D"
 
-__all__ = ["SPACE", "cut", "drop", "fold_of", "lower_ascii", "shared_path", "ship", "small_batches", "table", "text_tag", "without"]
+__all__ = ["SPACE", "cut", "drop", "fold_of", "forget", "kept", "lower_ascii", "shared_path", "ship", "small_batches", "table", "text_tag", "without"]
 
 _written: list[tuple[SparkSession, str]] = []
+_kept: dict = {}
+
+
+def kept(key: Hashable, make: Callable):
+    """What tasks of one worker share, made once; a worker keeps only what was asked for last."""
+    if key not in _kept:
+        forget()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    """Free what earlier tasks of this worker keep: workers outlive their stage, and the next one needs the memory."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:

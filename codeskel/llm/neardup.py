@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, drop, ship, small_batches
+from .common import SPACE, cut, drop, kept, ship, small_batches
 
 #: Shingle length and similarity of stages on documents; the contract query sets 4.
 SHINGLE_WORDS = 5
@@ -69,7 +69,6 @@ def _params(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
 
 _A, _B = _params(BANDS * ROWS)
 _MORE = _params(MORE, 2)
-_word_hash: dict[bytes, int] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -82,9 +81,9 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, remembered up to a bound."""
     import xxhash
 
-    if len(_word_hash) > 150_000:
-        _word_hash.clear()
-    known = _word_hash
+    known = kept("word hashes", dict)
+    if len(known) > 150_000:
+        known.clear()
     for w in words:
         if w not in known:
             known[w] = xxhash.xxh64_intdigest(w)

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, kept, ship, small_batches
 
 END_ID = 1
 #: Ids after which a block is closed (a longer document has a block of its own).
@@ -222,13 +222,8 @@ class WordEncoder:
         return np.insert(body, at, END_ID).astype(np.uint32), np.diff(at, prepend=0) + 1
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return kept(("encoder", path), lambda: WordEncoder(path))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
@@ -297,7 +292,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
         .select("doc_id", "text")
     )
-    return cut(ordered.mapInArrow(_packer(tokenizer_path), BLOCK_SCHEMA), "tokens")
+    with small_batches(docs.sparkSession):
+        return cut(ordered.mapInArrow(_packer(tokenizer_path), BLOCK_SCHEMA), "tokens")
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop, fold_of, ship, small_batches, text_tag, without
+from .common import cut, drop, fold_of, forget, ship, small_batches, text_tag, without
 from .words import words_of
 
 FOLDS, HELD_OUT_FOLD = 5, 0
@@ -49,14 +49,45 @@ SHARPEN = 2
 BLOCK = 64
 #: Share of the examples from which a term is in the matrix.
 FREQUENT = 0.05
-#: Documents scored at once, those of them whose products are taken at once, and examples indexed at once.
-BATCH, GROUP, BUILD = 1000, 64, 256
+#: Documents scored at once, those of them whose products are taken at once, examples indexed at once, and the
+#: matrix's rows copied at once for a product.
+BATCH, GROUP, BUILD, ROWS = 1000, 64, 256, 128
 #: Kinds of documents (languages, subjects) by which those scored at once are grouped, and examples they are found from.
 KINDS, KIND_EXAMPLES = 16, 2_000
 #: Scored vectors a worker remembers.
 CACHE = 10_000
 
 
+class Weights:
+    """The examples' unit weights, worked out anew wherever some are needed: kept are counts, a byte each as a rule, and lengths."""
+
+    def __init__(self, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray):
+        self.sizes, self.terms, self.counts, self.idf = sizes, terms, counts, idf
+        self.begin = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        self.often = 1 + np.log(np.arange(1, int(counts.max(initial=1)) + 1, dtype=np.float64))
+        self.length = np.ones(len(sizes))
+        for e, (i, j) in enumerate(zip(self.begin[:-1].tolist(), self.begin[1:].tolist())):
+            w = self.often[counts[i:j] - 1] * idf[terms[i:j]]
+            self.length[e] = math.sqrt(float((w * w).sum())) or 1.0
+
+    def of(self, examples: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """Weights of the ``examples``, whose ``terms`` lie one after the other."""
+        counts = np.concatenate([self.counts[i:j] for i, j in zip(self.begin[examples].tolist(), self.begin[examples + 1].tolist())])
+        w = self.often[counts - 1] * self.idf[terms]
+        w /= np.repeat(self.length[examples], self.sizes[examples])
+        return w
+
+
+class Given:
+    """Weights that are held as they are."""
+
+    def __init__(self, sizes: np.ndarray, weights: np.ndarray):
+        self.begin, self.weights = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), weights
+
+    def of(self, examples: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.weights[i:j] for i, j in zip(self.begin[examples].tolist(), self.begin[examples + 1].tolist())])
+
+
 class BlockMaxIndex:
     """Unit vectors by term; finds the exact nearest by cosine, by the maxima of blocks.
 
@@ -67,25 +98,27 @@ class BlockMaxIndex:
         sizes = np.array([len(v) for v in vectors], np.int64)
         terms = np.fromiter((t for v in vectors for t in v), np.int32, int(sizes.sum()))
         weights = np.fromiter((w for v in vectors for w in v.values()), np.float64, len(terms))
-        self._build(sizes, terms, weights)
+        self._build(sizes, terms, Given(sizes, weights))
 
     @classmethod
-    def from_arrays(cls, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> BlockMaxIndex:
-        """The index of vectors of ``sizes``, whose ``terms`` and ``weights`` lie one after the other."""
+    def from_arrays(cls, sizes: np.ndarray, terms: np.ndarray, weights: Weights) -> BlockMaxIndex:
+        """The index of vectors of ``sizes``, whose ``terms`` lie one after the other."""
         self = cls.__new__(cls)
         self._build(sizes, terms, weights)
         return self
 
-    def _build(self, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+    def _build(self, sizes: np.ndarray, terms: np.ndarray, weights: Weights | Given) -> None:
         """Fill the matrix and the inverted index a few vectors at a time: nothing is held twice."""
         self.n, width = len(sizes), int(terms.max()) + 1 if len(terms) else 0
         #: What is kept is summed again exactly; the search itself is of single precision.
         self.terms, self.weights = terms, weights
         self.begin = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
         parts = [(i, min(i + BUILD, self.n)) for i in range(0, self.n, BUILD)]
-        held = np.zeros(width, np.int64)
+        held, most = np.zeros(width, np.int64), 0.0
         for i, j in parts:
-            held += np.bincount(terms[self.begin[i] : self.begin[j]], minlength=width)
+            t = terms[self.begin[i] : self.begin[j]]
+            held += np.bincount(t, minlength=width)
+            most = max(most, float(weights.of(np.arange(i, j), t).max(initial=0)))
         frequent = np.flatnonzero(held > FREQUENT * self.n)
         self.column = np.full(width, -1, np.int32)
         self.column[frequent] = np.arange(len(frequent))
@@ -94,14 +127,14 @@ class BlockMaxIndex:
         self.first = np.concatenate(([0], np.cumsum(held)))
         # the place and the weight, in whole steps, side by side, so that one look finds both in little memory
         self.half, pair = (np.uint16, np.uint32) if self.n <= 1 << 16 else (np.uint32, np.uint64)
-        self.step = float(weights.max(initial=0)) / np.iinfo(self.half).max or 1.0
+        self.step = most / np.iinfo(self.half).max or 1.0
         self.held = np.zeros(self.first[-1], pair)
         places, rare = self.held.view(self.half)[::2], self.held.view(self.half)[1::2]
         free = self.first[:-1].copy()
         for i, j in parts:
-            here = slice(self.begin[i], self.begin[j])
             place = np.repeat(np.arange(i, j), sizes[i:j])
-            t, w = terms[here], weights[here]
+            t = terms[self.begin[i] : self.begin[j]]
+            w = weights.of(np.arange(i, j), t)
             column = self.column[t]
             dense = column >= 0
             self.matrix[column[dense], place[dense]] = w[dense]
@@ -147,7 +180,9 @@ class BlockMaxIndex:
             group = alike[i : i + GROUP]
             mine = part[group]
             used = np.flatnonzero(mine.any(0))
-            sums = mine[:, used] @ self.matrix[used]
+            sums = np.zeros((len(group), self.n), np.float32)
+            for j in range(0, len(used), ROWS):
+                sums += mine[:, used[j : j + ROWS]] @ self.matrix[used[j : j + ROWS]]
             for q, few in zip(group.tolist(), sums):
                 found[q] = self._nearest(*rare[q], few, slack, k)
         return found
@@ -159,8 +194,9 @@ class BlockMaxIndex:
         self.query[terms] = weights
         ranges = [slice(i, j) for i, j in zip(self.begin[hit].tolist(), self.begin[hit + 1].tolist())]
         sizes = self.begin[hit + 1] - self.begin[hit]
-        of = self.query.take(np.concatenate([self.terms[r] for r in ranges]))
-        of *= np.concatenate([self.weights[r] for r in ranges])
+        held = np.concatenate([self.terms[r] for r in ranges])
+        of = self.query.take(held)
+        of *= self.weights.of(hit, held)
         out = np.zeros(len(hit))
         full = np.flatnonzero(sizes)
         if len(full):
@@ -264,25 +300,20 @@ class Scorer:
 
     def __getstate__(self):
         sizes, terms, counts = self.held
-        packed = [zlib.compress(np.ascontiguousarray(x, np.int32).tobytes(), 1) for x in (sizes, np.diff(terms, prepend=0), counts)]
+        small = np.min_scalar_type(int(counts.max(initial=1)))
+        packed = [(k.str, zlib.compress(x.astype(k).tobytes(), 1)) for x, k in ((sizes, np.dtype("<i4")), (np.diff(terms, prepend=0), np.dtype("<i4")), (counts, small))]
         return self.ids, self.labels, self.prior, self.idf, self.terms, packed
 
     def __setstate__(self, state):
         *rest, packed = state
-        sizes, steps, counts = (np.frombuffer(zlib.decompress(x), np.int32) for x in packed)
+        sizes, steps, counts = (np.frombuffer(zlib.decompress(x), k) for k, x in packed)
         self.__init__(*rest, (sizes, np.cumsum(steps, dtype=np.int32), counts))
 
     def _built(self) -> BlockMaxIndex:
         if self.index is None:
             (sizes, terms, counts), self.held = self.held, None
-            begin = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
             # the index refers to nothing of this scorer, so both are freed as soon as nothing uses them
-            weights = np.zeros(len(terms))
-            often = 1 + np.log(np.arange(1, counts.max(initial=1) + 1, dtype=np.float64))
-            for i, j in zip(begin[:-1].tolist(), begin[1:].tolist()):
-                w = often[counts[i:j] - 1] * self.idf[terms[i:j]]
-                weights[i:j] = w / (math.sqrt(float((w * w).sum())) or 1.0)
-            self.index = BlockMaxIndex.from_arrays(sizes, terms, weights)
+            self.index = BlockMaxIndex.from_arrays(sizes, terms, Weights(sizes, terms, counts, self.idf))
         return self.index
 
     def score(self, texts: list[bytes | str | None]) -> list[tuple[float, list[int], list[float]]]:
@@ -308,6 +339,7 @@ def _code(terms):
     """Arrow batches of ids, texts and tags to ids, tags, terms (ascending) and counts, both as 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         t = terms.value
         for b in batches:
             for lo in range(0, b.num_rows, BATCH):
@@ -335,6 +367,7 @@ def _frequencies(width: int):
 
 def _score(scorer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         s = scorer.value
         for b in batches:
             for lo in range(0, b.num_rows, BATCH):

@@ -104,3 +104,44 @@ def test_scores_are_written_once_and_the_rest_is_dropped(spark):
     assert scored.count() == 42
     new = {os.path.basename(d).rsplit("-", 1)[0] for d, _, _ in os.walk(kept) if d not in before and os.path.basename(d).startswith("llm-")}
     assert new == {"llm-scores"}
+
+
+def test_examples_counts_take_a_byte_and_weights_are_the_same_doubles():
+    """The index keeps no double for every term of every example; what it works out are the unit vectors, bit by bit."""
+    scorer, held, idf = _scorer()
+    index = scorer._built()
+    assert index.weights.counts.itemsize == 1
+    got = index.weights.of(np.array([0, 2, 3]), np.concatenate([held[i][0] for i in (0, 2, 3)]))
+    assert got.tolist() == [w for i in (0, 2, 3) for w in toxicity.unit_weights(*held[i], idf).tolist()]
+    # counts beyond a byte stay whole
+    many = toxicity.Scorer([1], [1], 0.5, idf, None, (np.array([1], np.int32), np.array([2], np.int32), np.array([70_000], np.int32)))
+    assert pickle.loads(pickle.dumps(many)).held[2].tolist() == [70_000]
+
+
+def test_products_take_few_rows_of_the_matrix_at_once(monkeypatch):
+    """A batch's product is summed over runs of frequent terms; the nearest and their cosines stay the same."""
+    rng = np.random.default_rng(6)
+    vectors = [{t: float(w) for t, w in enumerate(rng.random(20) + 0.1)} for _ in range(100)]
+    vectors = [{t: w / sum(x * x for x in v.values()) ** 0.5 for t, w in v.items()} for v in vectors]
+    whole = [toxicity.BlockMaxIndex(vectors).nearest(q, 5) for q in vectors[:9]]
+    monkeypatch.setattr(toxicity, "ROWS", 3)
+    index = toxicity.BlockMaxIndex(vectors)
+    assert len(index.matrix) == 20
+    assert [index.nearest(q, 5) for q in vectors[:9]] == whole
+
+
+def test_a_scoring_task_frees_what_another_stage_left_in_its_worker():
+    """Workers outlive a stage: the tokenizer and the words it learned went on taking memory beside the scorer."""
+    from codeskel.llm import tokens
+
+    path = tokens.default_tokenizer()
+    assert tokens.encoder(path) is tokens.encoder(path)
+    for task in (toxicity._code, toxicity._score):
+        gone = weakref.ref(tokens.encoder(path))
+
+        class Sent:
+            value = None
+
+        assert gone() is not None
+        assert list(task(Sent)(iter([]))) == []
+        assert gone() is None
